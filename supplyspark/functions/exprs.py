@@ -100,7 +100,7 @@ def day_number(d: Column | str) -> Column:
 
 def iso_date(text: Column | str) -> Column:
     """Strict ISO date, NULL when the text is not one."""
-    return F.when(col(text).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(col(text), F.lit("yyyy-MM-dd")))
+    return F.when(col(text).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(col(text), "yyyy-MM-dd"))
 
 
 def flag(condition: Column) -> Column:

@@ -50,12 +50,14 @@ DAILY_HOLDING_RATE = 0.20 / 365.25
 @dataclass(frozen=True)
 class Cleaned:
     """``rows``: kept rows. ``quarantine``: removed rows with ``action`` and
-    ``copies``. ``actions``: (action, records) including repairs."""
+    ``copies``. ``actions``: (action, records) including repairs.
+    ``repaired_units``: what value repairs took from the raw unit total."""
 
     table: str
     rows: DataFrame
     quarantine: DataFrame
     actions: DataFrame
+    repaired_units: Column | None = None
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -113,7 +115,8 @@ def clean_demand(demand: DataFrame, dim_product: DataFrame, dim_date: DataFrame)
         *columns, F.lit("DEDUPLICATE").alias("action"), (F.col("copies") - 1).alias("copies")
     )
     quarantine = removed.withColumn("copies", F.lit(1).cast("long")).unionByName(copies)
-    return Cleaned("fact_demand", rows, quarantine, actions)
+    taken = kept.agg(F.coalesce(F.sum(F.when(negative, F.col("demand_requested"))), F.lit(0)).cast("double")).scalar()
+    return Cleaned("fact_demand", rows, quarantine, actions, taken)
 
 
 def clean_purchase_orders(

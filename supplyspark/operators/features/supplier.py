@@ -125,7 +125,7 @@ def delay_percentiles_by_day(orders: DataFrame) -> DataFrame:
     )
     past = Window.partitionBy("supplier_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     both = counts.unionByName(wanted)
-    p = F.percentile("delay", F.array(F.lit(0.9), F.lit(0.95)), "cnt").over(past)
+    p = F.percentile("delay", F.array(F.lit(0.9), F.lit(0.95)), F.col("cnt")).over(past)
     return (
         both.withColumn("p", p)
         .filter(F.col("delay").isNull())

@@ -18,7 +18,7 @@ def histogram_percentiles(
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     return counts.groupBy(*keys).agg(
-        *[F.percentile(value, F.lit(p), "_n").alias(name) for name, p in probs.items()]
+        *[F.percentile(value, F.lit(p), F.col("_n")).alias(name) for name, p in probs.items()]
     )
 
 

@@ -311,8 +311,8 @@ def delay_percentiles(fact_purchase_orders: DataFrame) -> DataFrame:
     """
     counts = fact_purchase_orders.groupBy("supplier_id", "delay_days").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("supplier_id").agg(
-        F.percentile("delay_days", F.lit(0.5), "n").alias("median_delay_days"),
-        F.percentile("delay_days", F.lit(0.9), "n").alias("p90_delay_days"),
+        F.percentile("delay_days", F.lit(0.5), F.col("n")).alias("median_delay_days"),
+        F.percentile("delay_days", F.lit(0.9), F.col("n")).alias("p90_delay_days"),
     )
 
 
