@@ -1,7 +1,8 @@
 """Named queries over a data folder: ``QUERIES[name](star) -> DataFrame``.
 
-``View`` holds the derived tables several queries share, built lazily from a
-star schema. The split dates below are the chronological train / validation /
+``View`` holds the derived tables several queries share, built from a star
+schema on first use. Tables that stand for a written stage (features, scores,
+decisions) are staged as Parquet, the others stay lazy. The split dates below are the chronological train / validation /
 test borders used with the adapted order data.
 """
 
@@ -21,6 +22,7 @@ from supplyspark.operators.features import inventory as fi
 from supplyspark.operators.features import supplier as fs
 from supplyspark.plans import queries as q
 from supplyspark.plans import reconcile, rollups
+from supplyspark.session import staged, staged_property
 from supplyspark.sources import io
 from supplyspark.sources.adapter import StarSchema
 
@@ -36,7 +38,7 @@ class View:
         self.spark = star.spark
 
     # --------------------------------------------------------------- rollups
-    @cached_property
+    @staged_property
     def daily_demand(self) -> DataFrame:
         s = self.star
         return rollups.daily_demand(s.fact_demand, s.dim_product, s.dim_warehouse)
@@ -64,7 +66,7 @@ class View:
         s = self.star
         return fd.base_grid(s.dim_product, s.dim_warehouse, s.dim_date, self.daily_demand)
 
-    @cached_property
+    @staged_property
     def demand_features(self) -> DataFrame:
         start = self.star.dim_date.agg(F.min("date")).scalar()
         return fd.demand_features(self.grid, self.star.event_rows, start=start)
@@ -74,7 +76,7 @@ class View:
         s = self.star
         return fi.base_ledger(s.ledger, s.dim_product, s.dim_warehouse)
 
-    @cached_property
+    @staged_property
     def inventory_features(self) -> DataFrame:
         start = self.star.dim_date.agg(F.min("date")).scalar()
         return fi.inventory_features(self.ledger_base, start=start)
@@ -83,7 +85,7 @@ class View:
     def order_base(self) -> DataFrame:
         return fs.base_orders(self.star.fact_purchase_orders, self.star.dim_supplier)
 
-    @cached_property
+    @staged_property
     def supplier_features(self) -> DataFrame:
         return fs.supplier_features(self.order_base)
 
@@ -92,16 +94,16 @@ class View:
     def series_rows(self) -> DataFrame:
         return splits.with_split(self.grid, "date", TRAIN_END, VAL_END)
 
-    @cached_property
+    @staged_property
     def baseline_forecasts(self) -> DataFrame:
         return forecast.baseline_forecasts(self.series_rows)
 
-    @cached_property
+    @staged_property
     def validation_metrics(self) -> DataFrame:
         val = self.baseline_forecasts.filter(F.col("split") == splits.VALIDATION)
         return evaluate.forecast_metrics(val, ["model", "horizon"])
 
-    @cached_property
+    @staged_property
     def selected_forecasts(self) -> DataFrame:
         """Validation and test rows of the winning model of each horizon."""
         winners = evaluate.best_model(self.validation_metrics).select(
@@ -114,7 +116,7 @@ class View:
         val = self.selected_forecasts.filter(F.col("split") == splits.VALIDATION)
         return evaluate.interval_quantiles(val, ["horizon"])
 
-    @cached_property
+    @staged_property
     def forecast_output(self) -> DataFrame:
         test = self.selected_forecasts.filter(F.col("split") == splits.TEST)
         return forecast.forecast_output(test, self.intervals)
@@ -128,7 +130,7 @@ class View:
             self.inventory_features.withColumn("forecast_demand_7d", signal), "date", TRAIN_END, VAL_END
         )
 
-    @cached_property
+    @staged_property
     def scored_inventory(self) -> DataFrame:
         rows = self.inventory_rows.filter(
             (F.col("split") == splits.TEST) & (F.col("is_target_available_7d") == 1)
@@ -139,15 +141,15 @@ class View:
     def supplier_rows(self) -> DataFrame:
         return risk.late_label(splits.with_split(self.supplier_features, "order_date", TRAIN_END, VAL_END))
 
-    @cached_property
+    @staged_property
     def scored_suppliers(self) -> DataFrame:
         return risk.score_suppliers(self.supplier_rows.filter(F.col("split") == splits.TEST))
 
-    @cached_property
+    @staged_property
     def supplier_profile(self) -> DataFrame:
         return risk.latest_supplier_profile(self.scored_suppliers)
 
-    @cached_property
+    @staged_property
     def exposure(self) -> DataFrame:
         layer = risk.exposure_layer(self.scored_inventory, self.supplier_profile, self.star.dim_product)
         return risk.with_explanations(layer)
@@ -156,7 +158,7 @@ class View:
     def snapshot(self) -> DataFrame:
         return risk.latest_snapshot(self.exposure)
 
-    @cached_property
+    @staged_property
     def rule_scores(self) -> DataFrame:
         """(domain, label, score) of both rule baselines on validation rows."""
         stock = self.inventory_rows.filter(
@@ -174,11 +176,10 @@ class View:
         return stock.unionByName(late)
 
     # ---------------------------------------------------------------- policy
-    @cached_property
+    @staged_property
     def positions(self) -> DataFrame:
         """Positions of the latest scored day, as the policies read them."""
-        layer = risk.exposure_layer(self.scored_inventory, self.supplier_profile, self.star.dim_product)
-        return risk.latest_snapshot(layer).select(
+        return risk.latest_snapshot(self.exposure).select(
             "product_id",
             "warehouse_id",
             "criticality",
@@ -194,18 +195,19 @@ class View:
         s = self.star
         return {"dim_product": s.dim_product, "dim_supplier": s.dim_supplier, "dim_warehouse": s.dim_warehouse}
 
-    @cached_property
+    @staged_property
     def scenario_positions(self) -> DataFrame:
         return policy.apply_scenarios(self.positions, policy.standard_scenarios(self.spark))
 
-    @cached_property
+    @staged_property
     def baseline(self) -> DataFrame:
         s = self.star
         return policy.baseline_plan(self.scenario_positions, s.dim_product, s.dim_supplier, s.dim_warehouse)
 
     @cached_property
     def plan(self) -> dict[str, DataFrame]:
-        return policy.coordinated_plan(self.scenario_positions, self.dims)
+        """Decision tables of the coordinated policy, each written once."""
+        return policy.coordinated_plan(self.scenario_positions, self.dims, keep=staged)
 
     @cached_property
     def baseline_totals(self) -> DataFrame:
@@ -217,7 +219,7 @@ class View:
         return policy.coordinated_totals(p["flows"], p["transfers"], p["orders"])
 
     # --------------------------------------------------------------- quality
-    @cached_property
+    @staged_property
     def raw_orders(self) -> DataFrame:
         """Order lines before key de-duplication, in purchase-order shape.
 
@@ -246,7 +248,7 @@ class View:
             .withColumn("total_procurement_cost", F.col("quantity_received") * F.col("unit_cost"))
         )
 
-    @cached_property
+    @staged_property
     def raw_demand(self) -> DataFrame:
         """Demand with deterministic faults: lost products, sign errors, days
         outside the calendar."""
@@ -265,6 +267,7 @@ class View:
 
     @cached_property
     def cleaned_demand(self) -> cleaning.Cleaned:
+        """Lazy: kept rows, quarantine and action counts are separate reads."""
         return cleaning.clean_demand(self.raw_demand, self.star.dim_product, self.star.dim_date)
 
     @cached_property
@@ -1005,7 +1008,7 @@ def sensitivity_sweep(v: View) -> DataFrame:
     """All freight, share and service sweeps in one job."""
     table = policy.sweep_scenarios(v.spark)
     swept = policy.apply_scenarios(v.positions, table)
-    plan = policy.coordinated_plan(swept, v.dims)
+    plan = policy.coordinated_plan(swept, v.dims, keep=staged)
     totals = policy.coordinated_totals(plan["flows"], plan["transfers"], plan["orders"])
     labels = table.select("scenario_name", "sweep", "sweep_value")
     return totals.join(labels, "scenario_name")

@@ -216,7 +216,7 @@ def ranking_metrics(
     for k in top:
         cut = F.greatest(F.lit(1.0), F.ceil(rows * k).cast("double"))
         share = clip((cut - (seen - n)) / n, 0.0, 1.0)
-        aggs.append(F.sum(pos * share).alias(f"_top{k}"))
+        aggs.append(F.sum(pos * share).alias(f"_top{int(k * 100)}"))
     out = curve.groupBy(*keys).agg(*aggs)
     p, negatives = F.col("_p").cast("double"), (F.col("_n") - F.col("_p")).cast("double")
     columns = [
@@ -224,7 +224,7 @@ def ranking_metrics(
         half_even(F.coalesce(F.col("_ap") / F.nullif(p, F.lit(0.0)), F.lit(0.0)), 4).alias("pr_auc"),
     ]
     for k in top:
-        captured = F.coalesce(F.col(f"_top{k}") / F.nullif(p, F.lit(0.0)), F.lit(0.0))
+        captured = F.coalesce(F.col(f"_top{int(k * 100)}") / F.nullif(p, F.lit(0.0)), F.lit(0.0))
         columns.append(half_even(captured, 4).alias(f"top_{int(k * 100)}pct_capture"))
     return out.select(*keys, *columns)
 

@@ -9,7 +9,7 @@ scenarios are rows of one job: each position is unrolled once per scenario and
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -817,9 +817,20 @@ def stamped(df: DataFrame, run_id: str) -> DataFrame:
     return df.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("created_at"), "*")
 
 
-def coordinated_plan(positions: DataFrame, dims: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Transfers, orders and flows of the coordinated policy for all scenarios."""
-    transfers = lateral_transfers(positions, dims["dim_warehouse"])
-    orders = split_orders(positions, transfers, dims["dim_product"], dims["dim_supplier"], dims["dim_warehouse"])
-    flows = coordinated_flows(positions, transfers, orders, dims["dim_product"])
+def coordinated_plan(
+    positions: DataFrame,
+    dims: Mapping[str, DataFrame],
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> dict[str, DataFrame]:
+    """Transfers, orders and flows of the coordinated policy for all scenarios.
+
+    ``keep`` decides what happens to each decision table before the next step
+    reads it: pass ``session.staged`` to write it once, since orders depend on
+    transfers and flows on both.
+    """
+    transfers = keep(lateral_transfers(positions, dims["dim_warehouse"]), "transfers")
+    orders = keep(
+        split_orders(positions, transfers, dims["dim_product"], dims["dim_supplier"], dims["dim_warehouse"]), "orders"
+    )
+    flows = keep(coordinated_flows(positions, transfers, orders, dims["dim_product"]), "flows")
     return {"transfers": transfers, "orders": orders, "flows": flows}

@@ -6,6 +6,7 @@ memory: those belong to whoever starts the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 import tempfile
 import uuid
 
@@ -69,3 +70,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class staged_property:
+    """A derived table that is written once, on first use, and then re-read.
+
+    For tables that many later jobs share: the owner's next reads start from
+    Parquet instead of repeating the whole derivation.
+    """
+
+    def __init__(self, build: Callable):
+        self.build = build
+        self.name = build.__name__
+        self.__doc__ = build.__doc__
+
+    def __get__(self, owner, owner_type=None):
+        if owner is None:
+            return self
+        if self.name not in owner.__dict__:
+            owner.__dict__[self.name] = staged(self.build(owner), self.name)
+        return owner.__dict__[self.name]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from supplyspark.functions.exprs import calendar_columns, flag
 from supplyspark.operators import ledger as L
-from supplyspark.session import tune
+from supplyspark.session import staged_property, tune
 from supplyspark.sources.io import literal_rows, with_default_member
 from supplyspark.sources.schemas import SPECS
 
@@ -437,3 +437,19 @@ class StarSchema:
     def fact_inventory(self) -> DataFrame:
         full = L.with_warehouse_load(self.ledger, self.dim_warehouse)
         return full.select(*SPECS["fact_inventory"].schema.names)
+
+
+class StagedStar(StarSchema):
+    """The same schema with its derived facts materialized on first use."""
+
+    @staged_property
+    def fact_demand(self) -> DataFrame:
+        return StarSchema.fact_demand.func(self)
+
+    @staged_property
+    def fact_purchase_orders(self) -> DataFrame:
+        return StarSchema.fact_purchase_orders.func(self)
+
+    @staged_property
+    def ledger(self) -> DataFrame:
+        return StarSchema.ledger.func(self)
