@@ -28,6 +28,11 @@ def put(name: str, query: str) -> None:
     ORACLE[name] = sql(query)
 
 
+def mean2(c: str) -> str:
+    """Mean of two-decimal values, summed exactly in hundredths."""
+    return f"(sum(CAST(round({c} * 100.0::DOUBLE) AS BIGINT))::DOUBLE / count({c})::DOUBLE / 100.0::DOUBLE)"
+
+
 def std(n: str, s1: str, s2: str, ddof: int = 1) -> str:
     n, s1, s2 = f"({n})::DOUBLE", f"({s1})::DOUBLE", f"({s2})::DOUBLE"
     return f"CASE WHEN {n} > {ddof} THEN sqrt(greatest({n} * {s2} - {s1} * {s1}, 0) / ({n} * ({n} - {ddof}))) END"
@@ -155,15 +160,15 @@ FROM (SELECT {', '.join(f"{hu(f'sum({c})', 2)} AS {c if c.startswith('total') el
      (SELECT CAST(sum(demand_requested) AS BIGINT) AS req, CAST(sum(demand_fulfilled) AS BIGINT) AS ful, CAST(sum(lost_sales_quantity) AS BIGINT) AS lost,
              count(*) AS n, CAST(sum(stockout_flag) AS BIGINT) AS outs, sum(ending_inventory) AS stock, count(DISTINCT date)::DOUBLE AS days FROM fact_inventory),
      (SELECT CAST(sum(total_orders) AS BIGINT) AS total_purchase_orders, CAST(sum(units_ordered) AS BIGINT) AS total_units_ordered,
-             CAST(sum(units_received) AS BIGINT) AS total_units_received, {hu('avg(otif_rate_pct)', 2)} AS supplier_otif_pct,
-             {hu('avg(avg_delay_days)', 2)} AS supplier_avg_delay_days FROM supplier_performance) s
+             CAST(sum(units_received) AS BIGINT) AS total_units_received, {hu(mean2('otif_rate_pct'), 2)} AS supplier_otif_pct,
+             {hu(mean2('avg_delay_days'), 2)} AS supplier_avg_delay_days FROM supplier_performance) s
 """)
 put("monthly_cost", f"SELECT year_month, {', '.join(f'{hu(f'sum({c})', 2)} AS {c}' for c in MONEY)} FROM cost_rows GROUP BY year_month")
 put("monthly_cost_one_warehouse", "SELECT * FROM cost_rows WHERE warehouse_id = 'WH-2'")
 put("supplier_scorecard", f"""
 SELECT s.supplier_id, s.supplier_name, s.tier, baseline_lead_time_days AS contractual_lead_time_days, baseline_reliability,
        CAST(sum(total_orders) AS BIGINT) AS total_orders, CAST(sum(units_ordered) AS BIGINT) AS units_ordered, CAST(sum(units_received) AS BIGINT) AS units_received,
-       {', '.join(f"{hu(f'avg({c})', 2)} AS {c}" for c in ('on_time_rate_pct', 'in_full_rate_pct', 'otif_rate_pct', 'avg_delay_days'))},
+       {', '.join(f"{hu(mean2(c), 2)} AS {c}" for c in ('on_time_rate_pct', 'in_full_rate_pct', 'otif_rate_pct', 'avg_delay_days'))},
        {hu('sum(total_procurement_cost)', 2)} AS total_spend, {hu('sum(p.total_freight_cost)', 2)} AS total_freight_cost,
        any_value(med) AS median_delay_days, any_value(p90) AS p90_delay_days
 FROM dim_supplier s LEFT JOIN supplier_performance p ON s.supplier_id = p.supplier_id
@@ -172,7 +177,7 @@ GROUP BY 1, 2, 3, 4, 5
 """)
 put("warehouse_capacity", f"""
 SELECT warehouse_id, warehouse_name, capacity_units, {hu('avg(ending_inventory)', 1)} AS avg_ending_inventory, max(ending_inventory) AS peak_ending_inventory,
-       {hu('avg(capacity_utilization_pct)', 2)} AS avg_capacity_utilization_pct, {hu('max(capacity_utilization_pct)', 2)} AS peak_capacity_utilization_pct,
+       {hu(mean2('capacity_utilization_pct'), 2)} AS avg_capacity_utilization_pct, {hu('max(capacity_utilization_pct)', 2)} AS peak_capacity_utilization_pct,
        CAST(sum(demand_requested) AS BIGINT) AS total_demand_requested, CAST(sum(demand_fulfilled) AS BIGINT) AS total_demand_fulfilled,
        CAST(sum(lost_sales_units) AS BIGINT) AS total_lost_sales_units, CAST(sum(stockout_skus_count) AS BIGINT) AS total_stockout_events,
        {hu('sum(holding_cost)', 2)} AS total_holding_cost, {hu('sum(stockout_cost)', 2)} AS total_stockout_cost
@@ -791,3 +796,238 @@ put("investigation_queue", """
 SELECT product_id, category, warehouse_id, supplier_name AS primary_supplier_name, forecast_demand_7d, ending_inventory_lag1 AS inventory_position, inventory_days_of_supply, stockout_probability_7d,
        supplier_delay_probability, operational_exposure_score, operational_exposure_band FROM snapshot WHERE operational_exposure_band <> 'LOW'
 """)
+
+# ------------------------------------------------------------------------- policy
+view("positions", "SELECT product_id, warehouse_id, criticality, forecast_demand_7d, ending_inventory_lag1, safety_stock_target, stockout_probability_7d, supplier_delay_probability FROM snapshot")
+put("decision_positions", "SELECT * FROM positions")
+view("scenarios", """
+SELECT * FROM (VALUES ('baseline',1.0e0,1.0e0,0.0e0,1.0e0,1.0e0,1.0e0,0.95e0,0.6e0), ('demand_surge',1.2e0,1.35e0,0.05e0,1.1e0,1.0e0,1.0e0,0.95e0,0.6e0),
+ ('supplier_delay_shock',1.0e0,1.0e0,0.35e0,1.05e0,0.75e0,1.0e0,0.95e0,0.6e0), ('transport_bottleneck',1.0e0,1.0e0,0.1e0,1.5e0,1.0e0,1.0e0,0.95e0,0.6e0),
+ ('inventory_constraint',1.0e0,1.0e0,0.0e0,1.0e0,1.0e0,0.7e0,0.95e0,0.6e0), ('combined_stress',1.15e0,1.25e0,0.25e0,1.4e0,0.7e0,0.85e0,0.95e0,0.6e0))
+ t(scenario_name, dg, dc, shift, freight, capf, invf, target, gamma)
+""")
+
+
+def applied(scenarios: str) -> str:
+    return f"""
+SELECT scenario_name, product_id, warehouse_id, forecast_demand_7d::DOUBLE * CASE WHEN lower(criticality) IN ('critical', 'high') THEN dc ELSE dg END AS demand,
+       coalesce(ending_inventory_lag1::DOUBLE, 0) * invf AS stock, safety_stock_target::DOUBLE AS safety, stockout_probability_7d AS p_stockout,
+       CASE WHEN shift = 0 THEN supplier_delay_probability ELSE greatest(least(supplier_delay_probability + shift, 1), 0) END AS p_delay, 2.5e0 * freight AS rate, capf, target, gamma
+FROM positions CROSS JOIN {scenarios}
+"""
+
+
+view("spos", applied("scenarios"))
+HOLD = "(0.2e0 / 365.25e0) * 7.0e0"
+view("base_plan", f"""
+SELECT *, greatest(0, demand - supply) AS shortage_quantity, greatest(0, supply - demand) AS ending_inventory, least(demand, supply) AS fulfilled_quantity,
+       order_quantity * unit_cost AS procurement_cost, order_quantity * (rate * sf * wf) AS transport_cost, order_quantity * (p_delay * lead * 0.3e0) AS risk_cost,
+       greatest(0, demand - supply) * (selling_price * 1.5e0 * (1.0e0 + p_stockout)) AS shortage_cost, greatest(0, supply - demand) * (unit_cost * {HOLD}) AS holding_cost
+FROM (SELECT *, stock + order_quantity AS supply FROM (
+  SELECT *, requested * CASE WHEN asked > weekly THEN weekly / asked ELSE 1 END AS order_quantity FROM (
+    SELECT r.*, sum(requested) OVER (PARTITION BY scenario_name, supplier_id) AS asked FROM (
+      SELECT p.*, d.unit_cost, d.selling_price, s.supplier_id, s.transport_cost_factor AS sf, s.baseline_lead_time_days AS lead, w.transport_cost_factor AS wf,
+             s.monthly_capacity_units * capf / 4.333333e0 AS weekly, greatest(0, demand + safety - stock) AS requested
+      FROM spos p JOIN dim_product d ON p.product_id = d.product_id JOIN dim_supplier s ON d.primary_supplier_id = s.supplier_id JOIN dim_warehouse w ON p.warehouse_id = w.warehouse_id) r)))
+""")
+put("baseline_policy", "SELECT scenario_name, product_id, warehouse_id, supplier_id, " + ", ".join(
+    f"{he(c, 6)} AS {c}" for c in ("order_quantity", "fulfilled_quantity", "shortage_quantity", "ending_inventory", "procurement_cost", "transport_cost", "risk_cost", "shortage_cost", "holding_cost")
+) + " FROM base_plan")
+PARTS = ("procurement_cost", "transport_cost", "transshipment_cost", "holding_cost", "shortage_cost", "supplier_risk_cost")
+UNITS = ("total_demand", "total_fulfilled", "total_shortage", "total_ordered", "total_transferred")
+
+
+def totals(src: str) -> str:
+    return ("SELECT scenario_name, " + ", ".join(f"{he(c, 2)} AS {c}" for c in PARTS) + f", {he(' + '.join(PARTS), 2)} AS total_landed_cost, "
+            + ", ".join(f"{he(c, 2)} AS {c}" for c in UNITS) + f", {he('CASE WHEN total_demand > 0 THEN total_fulfilled / total_demand ELSE 1 END', 4)} AS service_level FROM ({src})")
+
+
+view("base_totals", totals("""
+SELECT scenario_name, sum(procurement_cost) AS procurement_cost, sum(transport_cost) AS transport_cost, 0.0e0 AS transshipment_cost, sum(holding_cost) AS holding_cost, sum(shortage_cost) AS shortage_cost,
+       sum(risk_cost) AS supplier_risk_cost, sum(demand) AS total_demand, sum(fulfilled_quantity) AS total_fulfilled, sum(shortage_quantity) AS total_shortage, sum(order_quantity) AS total_ordered, 0.0e0 AS total_transferred
+FROM base_plan GROUP BY 1"""))
+put("baseline_policy_totals", "SELECT * FROM base_totals")
+
+
+def transfers(pos: str) -> str:
+    return f"""
+SELECT scenario_name, product_id, o AS origin_warehouse, d AS dest_warehouse, q AS transfer_quantity, oh + rate * ((ofac + dfac) / 2.0e0) AS unit_transfer_cost, q * (oh + rate * ((ofac + dfac) / 2.0e0)) AS total_transfer_cost
+FROM (SELECT s.scenario_name, s.product_id, s.warehouse_id AS o, d.warehouse_id AS d, s.rate, s.oh, s.fac AS ofac, d.fac AS dfac, least(s.hi, d.hi) - greatest(s.lo, d.lo) AS q
+  FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY scenario_name, product_id ORDER BY oh + rate * fac / 2.0e0, warehouse_id), 0) AS lo FROM (SELECT p.scenario_name, p.product_id, p.warehouse_id, p.rate, handling_cost_per_unit AS oh, transport_cost_factor AS fac, greatest(0, stock - demand) AS units,
+          sum(greatest(0, stock - demand)) OVER (PARTITION BY p.scenario_name, p.product_id ORDER BY handling_cost_per_unit + rate * transport_cost_factor / 2.0e0, p.warehouse_id) AS hi
+        FROM {pos} p JOIN dim_warehouse w ON p.warehouse_id = w.warehouse_id) QUALIFY units > 0) s
+  JOIN (SELECT *, coalesce(lag(hi) OVER (PARTITION BY scenario_name, product_id ORDER BY warehouse_id), 0) AS lo FROM (SELECT p.scenario_name, p.product_id, p.warehouse_id, transport_cost_factor AS fac, greatest(0, demand - stock) AS units,
+          sum(greatest(0, demand - stock)) OVER (PARTITION BY p.scenario_name, p.product_id ORDER BY p.warehouse_id) AS hi
+        FROM {pos} p JOIN dim_warehouse w ON p.warehouse_id = w.warehouse_id) QUALIFY units > 0) d
+  ON s.scenario_name = d.scenario_name AND s.product_id = d.product_id AND s.lo < d.hi AND d.lo < s.hi)
+WHERE q > 1e-4::DOUBLE
+"""
+
+
+def nets(t: str) -> str:
+    return (f"SELECT scenario_name, product_id, warehouse_id, sum(net) AS net FROM (SELECT scenario_name, product_id, dest_warehouse AS warehouse_id, transfer_quantity AS net FROM {t} "
+            f"UNION ALL SELECT scenario_name, product_id, origin_warehouse, -transfer_quantity FROM {t}) GROUP BY 1, 2, 3")
+
+
+def orders(pos: str, net: str) -> str:
+    return f"""
+SELECT scenario_name, product_id, warehouse_id, supplier_id, is_primary, order_quantity, order_quantity * puc AS procurement_cost, order_quantity * tuc AS transport_cost, order_quantity * ruc AS risk_cost,
+       order_quantity * puc + order_quantity * tuc + order_quantity * ruc AS total_order_cost
+FROM (SELECT *, CASE WHEN gamma < 1 THEN least(rq, (sum(rq) OVER (PARTITION BY scenario_name, product_id, warehouse_id) - rq) * gamma / (1.0e0 - gamma)) ELSE rq END AS order_quantity FROM (
+  SELECT *, req * CASE WHEN asked > weekly THEN weekly / asked ELSE 1 END AS rq FROM (
+    SELECT *, sum(req) OVER (PARTITION BY scenario_name, supplier_id) AS asked FROM (
+      SELECT *, need * CASE WHEN row_number() OVER (PARTITION BY scenario_name, product_id, warehouse_id ORDER BY puc + tuc + ruc, supplier_id) = 1 THEN gamma ELSE 1.0e0 - gamma END AS req FROM (
+        SELECT p.*, s.supplier_id, s.supplier_id = d.primary_supplier_id AS is_primary, CASE WHEN s.supplier_id = d.primary_supplier_id THEN d.unit_cost ELSE d.unit_cost * 1.05e0 END AS puc,
+               p.rate * s.transport_cost_factor * w.transport_cost_factor AS tuc, p.p_delay * s.baseline_lead_time_days * 0.3e0 AS ruc, s.monthly_capacity_units * capf / 4.333333e0 AS weekly
+        FROM (SELECT x.*, greatest(0, demand - stock - coalesce(net, 0)) AS need FROM {pos} x LEFT JOIN {net} n USING (scenario_name, product_id, warehouse_id)) p
+        JOIN dim_product d ON p.product_id = d.product_id JOIN dim_supplier s ON s.supplier_id IN (d.primary_supplier_id, d.secondary_supplier_id) JOIN dim_warehouse w ON p.warehouse_id = w.warehouse_id
+        WHERE need > 1e-4::DOUBLE)))))
+WHERE order_quantity > 1e-4::DOUBLE
+"""
+
+
+def flows(pos: str, net: str, ords: str) -> str:
+    return f"""
+SELECT scenario_name, product_id, warehouse_id, demand, stock, ordered, net_transfer, least(demand, supply) AS fulfilled_quantity, greatest(0, demand - supply) AS shortage_quantity, greatest(0, supply - demand) AS ending_inventory,
+       CASE WHEN demand > 0 THEN least(demand, supply) / demand ELSE 1 END AS fill_rate, greatest(0, demand - supply) * (selling_price * 1.5e0 * (1.0e0 + p_stockout)) AS shortage_cost, greatest(0, supply - demand) * (unit_cost * {HOLD}) AS holding_cost
+FROM (SELECT p.*, unit_cost, selling_price, coalesce(oq, 0) AS ordered, coalesce(net, 0) AS net_transfer, stock + coalesce(oq, 0) + coalesce(net, 0) AS supply
+  FROM {pos} p JOIN (SELECT product_id AS pid, unit_cost, selling_price FROM dim_product) d ON p.product_id = d.pid LEFT JOIN {net} n USING (scenario_name, product_id, warehouse_id)
+  LEFT JOIN (SELECT scenario_name, product_id, warehouse_id, sum(order_quantity) AS oq FROM {ords} GROUP BY 1, 2, 3) o USING (scenario_name, product_id, warehouse_id))
+"""
+
+
+def plan_sum(f: str, t: str, o: str) -> str:
+    return totals(f"""
+SELECT f.*, coalesce(tc, 0) AS transshipment_cost, coalesce(tt, 0) AS total_transferred, coalesce(pc, 0) AS procurement_cost, coalesce(fc, 0) AS transport_cost, coalesce(rc, 0) AS supplier_risk_cost, coalesce(tq, 0) AS total_ordered
+FROM (SELECT scenario_name, sum(holding_cost) AS holding_cost, sum(shortage_cost) AS shortage_cost, sum(demand) AS total_demand, sum(fulfilled_quantity) AS total_fulfilled, sum(shortage_quantity) AS total_shortage FROM {f} GROUP BY 1) f
+LEFT JOIN (SELECT scenario_name, sum(total_transfer_cost) AS tc, sum(transfer_quantity) AS tt FROM {t} GROUP BY 1) USING (scenario_name)
+LEFT JOIN (SELECT scenario_name, sum(procurement_cost) AS pc, sum(transport_cost) AS fc, sum(risk_cost) AS rc, sum(order_quantity) AS tq FROM {o} GROUP BY 1) USING (scenario_name)""")
+
+
+view("plan_moves", transfers("spos"))
+view("plan_nets", nets("plan_moves"))
+view("plan_orders", orders("spos", "plan_nets"))
+view("plan_flow_rows", flows("spos", "plan_nets", "plan_orders"))
+view("plan_total_rows", plan_sum("plan_flow_rows", "plan_moves", "plan_orders"))
+
+
+def r6(columns: tuple[str, ...], n: int = 6) -> str:
+    return ", ".join(f"{he(c, n)} AS {c}" for c in columns)
+
+
+put("lateral_rebalance", f"SELECT scenario_name, product_id, origin_warehouse, dest_warehouse, {r6(('transfer_quantity', 'unit_transfer_cost', 'total_transfer_cost'))} FROM plan_moves")
+put("order_split", f"SELECT scenario_name, product_id, warehouse_id, supplier_id, is_primary, {r6(('order_quantity', 'procurement_cost', 'transport_cost', 'risk_cost', 'total_order_cost'))} FROM plan_orders")
+put("plan_flows", f"SELECT scenario_name, product_id, warehouse_id, {r6(('demand', 'stock', 'ordered', 'net_transfer', 'fulfilled_quantity', 'shortage_quantity', 'ending_inventory', 'fill_rate', 'shortage_cost', 'holding_cost'))} FROM plan_flow_rows")
+put("lane_costs", f"""
+SELECT d.product_id, s.supplier_id, w.warehouse_id, s.supplier_id = d.primary_supplier_id AS is_primary, s.baseline_lead_time_days AS lead_time,
+       {he('CASE WHEN s.supplier_id = d.primary_supplier_id THEN d.unit_cost ELSE d.unit_cost * 1.05e0 END', 6)} AS procurement_unit_cost, {he('2.5e0 * s.transport_cost_factor * w.transport_cost_factor', 6)} AS freight_unit_cost
+FROM dim_product d JOIN dim_supplier s ON s.supplier_id IN (d.primary_supplier_id, d.secondary_supplier_id) CROSS JOIN dim_warehouse w
+""")
+put("transfer_lane_costs", """
+SELECT product_id, o.warehouse_id AS origin_warehouse, d.warehouse_id AS dest_warehouse, o.handling_cost_per_unit + 2.5e0 * ((o.transport_cost_factor + d.transport_cost_factor) / 2.0e0) AS unit_transfer_cost
+FROM dim_product CROSS JOIN dim_warehouse o JOIN dim_warehouse d ON o.warehouse_id <> d.warehouse_id
+""")
+put("scenario_sweep", f"""
+SELECT b.scenario_name, b.total_landed_cost AS baseline_total_cost, b.service_level AS baseline_service_level, b.total_shortage AS baseline_shortage_units, o.total_landed_cost AS optimized_total_cost,
+       o.service_level AS optimized_service_level, o.total_shortage AS optimized_shortage_units, o.total_transferred AS lateral_transfers_units, o.total_demand AS total_demand_units,
+       {he('b.total_landed_cost - o.total_landed_cost', 2)} AS cost_difference, {he('coalesce((b.total_landed_cost - o.total_landed_cost) / nullif(b.total_landed_cost, 0) * 100.0e0, 0)', 2)} AS cost_reduction_pct,
+       {he("b.total_landed_cost - (SELECT total_landed_cost FROM base_totals WHERE scenario_name = 'baseline')", 2)} AS baseline_vs_normal,
+       {he("o.total_landed_cost - (SELECT total_landed_cost FROM plan_total_rows WHERE scenario_name = 'baseline')", 2)} AS optimized_vs_normal
+FROM base_totals b JOIN plan_total_rows o USING (scenario_name)
+""")
+put("policy_waterfall", " UNION ALL ".join(
+    f"SELECT b.scenario_name, '{c}' AS cost_category, b.{c} AS baseline_cost, o.{c} AS optimized_cost, {he(f'b.{c} - o.{c}', 2)} AS modeled_difference, "
+    f"{he(f'CASE WHEN b.{c} > 0 THEN (b.{c} - o.{c}) / b.{c} * 100.0e0 ELSE 0 END', 2)} AS pct_change FROM base_totals b JOIN plan_total_rows o USING (scenario_name)"
+    for c in (*PARTS, "total_landed_cost")
+))
+view("shares", """
+SELECT scenario_name, supplier_id, coalesce(b, 0) AS b, coalesce(o, 0) AS o
+FROM (SELECT scenario_name, supplier_id, sum(order_quantity) AS b FROM base_plan GROUP BY 1, 2 HAVING sum(order_quantity) > 0)
+FULL JOIN (SELECT scenario_name, supplier_id, sum(order_quantity) AS o FROM plan_orders GROUP BY 1, 2) USING (scenario_name, supplier_id)
+""")
+put("sourcing_shares", f"""
+SELECT scenario_name, supplier_id, {he('b', 2)} AS baseline_quantity, {he('coalesce(b / nullif(sum(b) OVER w, 0) * 100.0e0, 0)', 2)} AS baseline_share_pct, {he('o', 2)} AS optimized_quantity,
+       {he('coalesce(o / nullif(sum(o) OVER w, 0) * 100.0e0, 0)', 2)} AS optimized_share_pct FROM shares WINDOW w AS (PARTITION BY scenario_name)
+""")
+put("sourcing_hhi", f"SELECT scenario_name, {he('coalesce(sum(b * b) * 10000.0e0 / nullif(sum(b) * sum(b), 0), 0)', 1)} AS baseline_hhi, {he('coalesce(sum(o * o) * 10000.0e0 / nullif(sum(o) * sum(o), 0), 0)', 1)} AS optimized_hhi FROM shares GROUP BY 1")
+put("warehouse_policy_comparison", f"""
+SELECT * FROM (SELECT scenario_name, warehouse_id, {he('sum(ending_inventory)', 2)} AS baseline_ending_inv, {he('sum(shortage_quantity)', 2)} AS baseline_shortage FROM base_plan GROUP BY 1, 2)
+JOIN (SELECT scenario_name, warehouse_id, {he('sum(ending_inventory)', 2)} AS optimized_ending_inv, {he('sum(shortage_quantity)', 2)} AS optimized_shortage FROM plan_flow_rows GROUP BY 1, 2) USING (scenario_name, warehouse_id)
+""")
+view("audit_rows", """
+SELECT scenario_name, 'flow_balance_' || product_id || '_' || warehouse_id AS constraint_name, 'EQUALITY' AS constraint_type, stock + ordered + net_transfer + shortage_quantity - ending_inventory - demand AS used, 0.0e0 AS bound FROM plan_flow_rows
+UNION ALL SELECT scenario_name, 'warehouse_cap_' || warehouse_id, 'INEQUALITY', sum(ending_inventory), any_value(capacity_units)::DOUBLE FROM plan_flow_rows JOIN dim_warehouse USING (warehouse_id) GROUP BY scenario_name, warehouse_id
+UNION ALL SELECT scenario_name, 'supplier_cap_' || supplier_id, 'INEQUALITY', sum(order_quantity), any_value(monthly_capacity_units * capf / 4.333333e0) FROM plan_orders JOIN dim_supplier USING (supplier_id) JOIN scenarios USING (scenario_name) GROUP BY scenario_name, supplier_id
+UNION ALL SELECT scenario_name, 'dual_source_cap_' || product_id || '_' || supplier_id, 'INEQUALITY', q, 0.6e0 * sum(q) OVER (PARTITION BY scenario_name, product_id) FROM (SELECT scenario_name, product_id, supplier_id, sum(order_quantity) AS q FROM plan_orders GROUP BY 1, 2, 3)
+UNION ALL SELECT scenario_name, 'service_level_floor', 'INEQUALITY', sum(shortage_quantity), (1.0e0 - any_value(target)) * sum(demand) FROM plan_flow_rows JOIN scenarios USING (scenario_name) GROUP BY scenario_name
+""")
+put("plan_audit", f"""
+SELECT *, CASE WHEN constraint_type = 'EQUALITY' THEN abs(slack) > 0.001e0 ELSE slack < -0.001e0 END AS is_violated
+FROM (SELECT scenario_name, constraint_name, constraint_type, {he('used', 6)} + 0.0e0 AS used, {he('bound', 6)} AS bound, {he('bound - used', 6)} + 0.0e0 AS slack FROM audit_rows)
+""")
+view("sweeps", "SELECT * FROM (VALUES " + ", ".join(
+    [f"('sweep_freight_{v:.2f}', 'freight', {v}e0, 1.0e0, 1.0e0, 0.0e0, {v}e0, 1.0e0, 1.0e0, 0.95e0, 0.6e0)" for v in (0.5, 0.75, 1.0, 1.25, 1.5, 2.0)]
+    + [f"('sweep_sourcing_cap_{v:.2f}', 'sourcing_cap', {v}e0, 1.0e0, 1.0e0, 0.0e0, 1.0e0, 1.0e0, 1.0e0, 0.95e0, {v}e0)" for v in (0.50, 0.55, 0.60, 0.70, 0.85, 1.00)]
+    + [f"('sweep_service_level_{v:.2f}', 'service_level', {v}e0, 1.0e0, 1.0e0, 0.0e0, 1.0e0, 1.0e0, 1.0e0, {v}e0, 0.6e0)" for v in (0.90, 0.92, 0.95, 0.98, 0.99)]
+) + ") t(scenario_name, sweep, sweep_value, dg, dc, shift, freight, capf, invf, target, gamma)")
+view("swept", applied("sweeps"))
+view("sw_moves", transfers("swept"))
+view("sw_nets", nets("sw_moves"))
+view("sw_orders", orders("swept", "sw_nets"))
+view("sw_flows", flows("swept", "sw_nets", "sw_orders"))
+put("sensitivity_sweep", f"SELECT t.*, s.sweep, s.sweep_value FROM ({plan_sum('sw_flows', 'sw_moves', 'sw_orders')}) t JOIN sweeps s USING (scenario_name)")
+put("decision_log", f"""
+SELECT 'RUN-1' AS run_id, scenario_name, decision_type, product_id, origin_id, dest_warehouse_id, {r6(('quantity', 'unit_cost', 'total_cost'))}, is_primary FROM (
+ SELECT scenario_name, 'ORDER' AS decision_type, product_id, supplier_id AS origin_id, warehouse_id AS dest_warehouse_id, order_quantity AS quantity, total_order_cost / order_quantity AS unit_cost, total_order_cost AS total_cost, CAST(is_primary AS INTEGER) AS is_primary FROM plan_orders
+ UNION ALL SELECT scenario_name, 'TRANSFER', product_id, origin_warehouse, dest_warehouse, transfer_quantity, unit_transfer_cost, total_transfer_cost, 1 FROM plan_moves
+ UNION ALL SELECT scenario_name, 'SHORTAGE', product_id, NULL, warehouse_id, shortage_quantity, shortage_cost / shortage_quantity, shortage_cost, 0 FROM plan_flow_rows WHERE round_even(shortage_quantity * 100.0e0, 0) > 0)
+""")
+
+
+def units(x: str) -> str:
+    return f"format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+
+
+def money(x: str) -> str:
+    cents = f"CAST(round_even(({x}) * 100.0e0, 0) AS BIGINT)"
+    return f"CASE WHEN {cents} < 0 THEN '-' ELSE '' END || format('{{:,}}', abs({cents}) // 100) || '.' || lpad(CAST(abs({cents}) % 100 AS VARCHAR), 2, '0')"
+
+
+put("transfer_explanations", f"""
+SELECT scenario_name, 'TRANSFER' AS entity_type, origin_warehouse || '->' || dest_warehouse || ':' || t.product_id AS entity_id, t.product_id, {he('q', 2)} AS quantity, {he('q * (unit_cost + 2.5e0) - c', 2)} AS impact_value,
+  'Prescribed lateral transfer of ' || {units('q')} || ' units of ' || product_name || ' (' || t.product_id || ') from ' || o.warehouse_name || ' (' || origin_warehouse || ') to ' || d.warehouse_name || ' (' || dest_warehouse
+  || ') at transfer cost of $' || {money('c')} || ' ($' || {money('unit_transfer_cost')} || '/unit). Surplus stock at ' || origin_warehouse || ' was mobilized to cover regional demand deficit at ' || dest_warehouse
+  || ', avoiding an estimated $' || {money('q * (unit_cost + 2.5e0)')} || ' in new purchase orders and freight.' AS explanation
+FROM (SELECT *, transfer_quantity AS q, total_transfer_cost AS c FROM plan_moves WHERE scenario_name = 'baseline' ORDER BY transfer_quantity DESC, product_id, origin_warehouse, dest_warehouse LIMIT 5) t
+JOIN dim_product p ON t.product_id = p.product_id JOIN dim_warehouse o ON o.warehouse_id = origin_warehouse JOIN dim_warehouse d ON d.warehouse_id = dest_warehouse
+""")
+put("dual_sourcing_explanations", f"""
+SELECT scenario_name, 'DUAL_SOURCING' AS entity_type, t.product_id || ':' || secondary_supplier_id AS entity_id, t.product_id, {he('q', 2)} AS quantity, {he('q / a * 100.0e0', 1)} AS impact_value,
+  'Allocated ' || {units('q')} || ' units (' || {f1('q / a * 100.0e0')} || '%) of ' || product_name || ' (' || t.product_id || ') to secondary supplier ' || s2.supplier_name || ' (' || secondary_supplier_id || ') alongside primary supplier '
+  || s1.supplier_name || ' (' || primary_supplier_id || '). Dual-sourcing protects delivery continuity against single-vendor delay exposure and respects the 60% single-supplier allocation policy ceiling.' AS explanation
+FROM (SELECT scenario_name, product_id, coalesce(sum(order_quantity) FILTER (NOT is_primary), 0) AS q, sum(order_quantity) AS a FROM plan_orders WHERE scenario_name = 'baseline' GROUP BY 1, 2 ORDER BY q DESC, product_id LIMIT 5) t
+JOIN dim_product p ON t.product_id = p.product_id JOIN dim_supplier s1 ON s1.supplier_id = primary_supplier_id JOIN dim_supplier s2 ON s2.supplier_id = secondary_supplier_id
+WHERE q > 0
+""")
+put("plan_narrative", f"""
+SELECT scenario_name, 'Coordinated plan for scenario ''' || scenario_name || ''' reaches a service level of ' || {f1('o.service_level * 100.0e0')} || '% across ' || {units('o.total_demand')}
+  || ' units of 7-day demand. Modeled 7-day cost is $' || {money('o.total_landed_cost')} || ', a difference of $' || {money('b.total_landed_cost - o.total_landed_cost')} || ' ('
+  || {f1('(b.total_landed_cost - o.total_landed_cost) / b.total_landed_cost * 100.0e0')} || '% lower) to the order-up-to baseline ($' || {money('b.total_landed_cost')} || '). It moves ' || {units('o.total_transferred')} || ' units over '
+  || coalesce(n, 0) || ' transfers and orders ' || {units('o.total_ordered')} || ' units under the single-supplier share ceiling.' AS narrative
+FROM plan_total_rows o JOIN base_totals b USING (scenario_name) LEFT JOIN (SELECT scenario_name, count(*) AS n FROM plan_moves GROUP BY 1) USING (scenario_name)
+""")
+
+# Columns of type DATE per query, for callers that want ISO text.
+_KEYED = (
+    "daily_demand_rollup inventory_health warehouse_daily coverage_kpis date_dimension dense_demand_grid event_overlay ledger_rows "
+    "warehouse_load demand_lags demand_rolling demand_dynamics demand_targets demand_feature_table sparse_demand_features "
+    "inventory_buffer stockout_history warehouse_pressure inventory_targets clean_demand seasonal_naive moving_average "
+    "forecast_table inventory_risk_score operational_exposure risk_explanations"
+).split()
+DATE_COLUMNS: dict[str, tuple[str, ...]] = {name: ("date",) for name in _KEYED}
+DATE_COLUMNS |= {
+    "stockout_episodes": ("first_day", "last_day"),
+    "split_bounds": ("first_day", "last_day"),
+    "clean_po": ("order_date",),
+    "risk_snapshot": ("as_of",),
+}

@@ -20,6 +20,7 @@ from supplyspark.operators import cleaning, evaluate, forecast, leakage, ledger,
 from supplyspark.operators.features import demand as fd
 from supplyspark.operators.features import inventory as fi
 from supplyspark.operators.features import supplier as fs
+from supplyspark.plans import models
 from supplyspark.plans import queries as q
 from supplyspark.plans import reconcile, rollups
 from supplyspark.session import staged, staged_property
@@ -916,7 +917,7 @@ def investigation_queue(v: View) -> DataFrame:
 
 
 # -------------------------------------------------------------------------- policy
-def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Sums of scenario-scaled doubles depend on the order of addition in the
     last bits; results are compared at ``digits`` decimals."""
     return df.select(*[half_even(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -949,7 +950,7 @@ def scenario_sweep(v: View) -> DataFrame:
 
 @query
 def lane_costs(v: View) -> DataFrame:
-    return _rounded(policy.order_lanes(**v.dims), 6)
+    return _rounded(policy.order_lanes(**v.dims))
 
 
 @query
@@ -1035,3 +1036,62 @@ def plan_narrative(v: View) -> DataFrame:
 def decision_log(v: View) -> DataFrame:
     p = v.plan
     return _rounded(policy.decision_rows(p["flows"], p["transfers"], p["orders"], "RUN-1"))
+
+
+# ------------------------------------------------------------------- learned models
+# The registered runs use all rows but few boosting rounds; the library defaults
+# are the published round counts.
+QUERY_ROUNDS = 5
+
+
+@query
+def ridge_forecast(v: View) -> DataFrame:
+    """Test forecasts at t+1 of the ridge model with the best strength."""
+    rows = staged(models.horizon_rows(v.demand_features, 1, TRAIN_END, VAL_END), "ridge_rows")
+    encoder, model, alpha, _ = models.tune_ridge(rows)
+    out = models.forecast_rows(rows, encoder, model, f"Ridge (alpha={alpha})", 1)
+    return out.filter(F.col("split") == splits.TEST)
+
+
+@query
+def gbt_forecast(v: View) -> DataFrame:
+    """Test metrics and residual spread at t+1 of boosted trees."""
+    rows = staged(models.horizon_rows(v.demand_features, 1, TRAIN_END, VAL_END), "tree_rows")
+    config = {**models.TREE_CONFIGS[0], "rounds": QUERY_ROUNDS}
+    encoder, model, name, _ = models.tune_trees(rows, [config])
+    out = models.forecast_rows(rows, encoder, model, f"Boosted ({name})", 1)
+    return evaluate.forecast_metrics(out, ["model", "horizon", "split"])
+
+
+@query
+def inventory_classifiers(v: View) -> DataFrame:
+    """Validation metrics of the stockout classifiers."""
+    rows = staged(
+        models.risk_rows(
+            v.inventory_rows.filter((F.col("is_target_available_7d") == 1) & (F.col("has_sufficient_history_28d") == 1)),
+            splits.INVENTORY_FEATURES, "target_stockout_within_7d", splits.FORBIDDEN_INVENTORY, SERIES_KEY,
+        ),
+        "stockout_rows",
+    )
+    _, _, metrics = models.fit_candidates(
+        rows, splits.INVENTORY_CATEGORICAL, splits.INVENTORY_FEATURES, ("logistic", "random_forest"), QUERY_ROUNDS
+    )
+    return metrics
+
+
+@query
+def supplier_classifiers(v: View) -> DataFrame:
+    """Calibrated test metrics of the best supplier-delay classifier."""
+    # A supplier id is a level per supplier; with very many suppliers the tier
+    # and the supplier's numbers stand in for it.
+    features = [f for f in splits.SUPPLIER_FEATURES if f != "supplier_id"]
+    rows = staged(
+        models.risk_rows(v.supplier_rows, features, "target_supplier_late", splits.FORBIDDEN_SUPPLIER, ["po_id"]),
+        "late_rows",
+    )
+    categorical = [c for c in splits.SUPPLIER_CATEGORICAL if c != "supplier_id"]
+    encoder, fitted, metrics = models.fit_candidates(rows, categorical, features, ("logistic", "boosted"), QUERY_ROUNDS)
+    best = models.best_family(metrics)
+    tuned = models.calibrate(encoder, fitted[best], rows.filter(F.col("split") == splits.VALIDATION))
+    test = tuned.score(rows.filter(F.col("split") == splits.TEST)).select("label", "score")
+    return evaluate.evaluate_classifier(test).withColumn("model", F.lit(best))

@@ -70,6 +70,17 @@ def std_from_sums(n: Column, total: Column, squares: Column, ddof: int = 1) -> C
     return F.when(n > ddof, F.sqrt(spread / (n * (n - float(ddof)))))
 
 
+def mean_of_rounded(c: Column | str, digits: int = 2) -> Column:
+    """Aggregate: mean of values that are rounded to ``digits`` decimals.
+
+    Summing whole hundredths is exact, so the mean (and its own rounding) does
+    not depend on how the partial sums of a shuffle were merged.
+    """
+    scale = float(10**digits)
+    units = F.sum(F.round(col(c) * scale).cast("long")).cast("double")
+    return units / F.nullif(F.count(col(c)), F.lit(0)).cast("double") / scale
+
+
 # --------------------------------------------------------------------- bands
 def band(score: Column | str, cuts: Sequence[float], labels: Sequence[str]) -> Column:
     """Label of the half-open interval ``[cut_i, cut_i+1)`` that holds the score."""

@@ -786,7 +786,7 @@ def narrative(coordinated: DataFrame, baseline: DataFrame, transfers: DataFrame)
 
 # ------------------------------------------------------------------- decision log
 def decision_rows(flows: DataFrame, transfers: DataFrame, orders: DataFrame, run_id: str) -> DataFrame:
-    """Orders, transfers and shortages in one common shape."""
+    """Orders, transfers and shortages (of at least a hundredth) in one shape."""
     def unit(total: str, q: str) -> Column:
         return F.coalesce(F.col(total) / F.nullif(F.col(q), F.lit(0.0)), F.lit(0.0))
 
@@ -802,7 +802,7 @@ def decision_rows(flows: DataFrame, transfers: DataFrame, orders: DataFrame, run
         F.col("transfer_quantity").alias("quantity"), F.col("unit_transfer_cost").alias("unit_cost"),
         F.col("total_transfer_cost").alias("total_cost"), F.lit(1).alias("is_primary"),
     )
-    s = flows.filter(F.col("shortage_quantity") > 0).select(
+    s = flows.filter(half_even("shortage_quantity", 2) > 0).select(
         "scenario_name", F.lit("SHORTAGE").alias("decision_type"), "product_id",
         F.lit(None).cast("string").alias("origin_id"), F.col("warehouse_id").alias("dest_warehouse_id"),
         F.col("shortage_quantity").alias("quantity"), unit("shortage_cost", "shortage_quantity").alias("unit_cost"),

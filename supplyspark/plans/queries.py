@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyspark.functions import kpis
-from supplyspark.functions.exprs import maybe_half_up, pct, ratio, std_from_sums
+from supplyspark.functions.exprs import maybe_half_up, mean_of_rounded, pct, ratio, std_from_sums
 from supplyspark.operators import series
 from supplyspark.sources.io import scan_equal
 
@@ -234,8 +234,8 @@ def executive_kpis(
             F.sum("total_orders").alias("total_purchase_orders"),
             F.sum("units_ordered").alias("total_units_ordered"),
             F.sum("units_received").alias("total_units_received"),
-            maybe_half_up(F.avg("otif_rate_pct"), 2).alias("supplier_otif_pct"),
-            maybe_half_up(F.avg("avg_delay_days"), 2).alias("supplier_avg_delay_days"),
+            maybe_half_up(mean_of_rounded("otif_rate_pct"), 2).alias("supplier_otif_pct"),
+            maybe_half_up(mean_of_rounded("avg_delay_days"), 2).alias("supplier_avg_delay_days"),
         )
     ).scalar()
     entities = F.struct(
@@ -278,7 +278,7 @@ def supplier_scorecard(
         F.sum("units_ordered").alias("units_ordered"),
         F.sum("units_received").alias("units_received"),
         *[
-            _r(F.avg(c), 2, digits).alias(c)
+            _r(mean_of_rounded(c) if digits else F.avg(c), 2, digits).alias(c)
             for c in ("on_time_rate_pct", "in_full_rate_pct", "otif_rate_pct", "avg_delay_days")
         ],
         _r(F.sum("total_procurement_cost"), 2, digits).alias("total_spend"),
@@ -322,7 +322,7 @@ def warehouse_capacity(warehouse_operations: DataFrame, digits: bool = True) ->
         .agg(
             _r(F.avg("ending_inventory"), 1, digits).alias("avg_ending_inventory"),
             F.max("ending_inventory").alias("peak_ending_inventory"),
-            _r(F.avg("capacity_utilization_pct"), 2, digits).alias("avg_capacity_utilization_pct"),
+            _r(mean_of_rounded("capacity_utilization_pct") if digits else F.avg("capacity_utilization_pct"), 2, digits).alias("avg_capacity_utilization_pct"),
             _r(F.max("capacity_utilization_pct"), 2, digits).alias("peak_capacity_utilization_pct"),
             F.sum("demand_requested").alias("total_demand_requested"),
             F.sum("demand_fulfilled").alias("total_demand_fulfilled"),

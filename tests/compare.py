@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import datetime
-import math
-from decimal import Decimal
-
 import duckdb
+import numpy as np
+import pandas as pd
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
+SPARK_NAMES = {
+    "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date",
+}
+
 
 def connect(folder: str):
     con = duckdb.connect()
@@ -21,53 +23,38 @@ def connect(folder: str):
     return con
 
 
-def canonical(value):
-    if isinstance(value, bool) or value is None:
-        return value
-    if isinstance(value, Decimal):
-        value = float(value)
-    if isinstance(value, float):
-        if math.isnan(value):
-            return "nan"
-        return float(f"{value:.10g}") + 0.0
-    if isinstance(value, datetime.datetime):
-        return value.isoformat()
-    if isinstance(value, datetime.date):
-        return value.isoformat()
-    return value
-
-
-def _key(row):
-    return tuple((v is None, type(v).__name__ if not isinstance(v, (int, float)) else "num", v if v is not None else 0) for v in row)
-
-
-SPARK_NAMES = {
-    "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date",
-    "HUGEINT": "hugeint", "TINYINT": "tinyint", "SMALLINT": "smallint", "FLOAT": "float",
-}
+def _ordered(frame: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    frame = frame[names].copy()
+    sort_keys = pd.DataFrame(
+        {
+            c: frame[c].astype("float64").astype("float32") if frame[c].dtype.kind in "fiu" else frame[c].astype(str)
+            for c in names
+        }
+    )
+    return frame.loc[sort_keys.sort_values(names, kind="stable").index].reset_index(drop=True)
 
 
 def differences(df, con, sql: str, show: int = 3) -> list[str]:
     names = sorted(df.columns)
-    got = sorted((tuple(canonical(v) for v in r) for r in df.select(*names).toLocalIterator()), key=_key)
     cur = con.execute(sql)
     types = {d[0]: str(d[1]) for d in cur.description}
     if sorted(types) != names:
         return [f"columns differ: spark {names} oracle {sorted(types)}"]
-    order = [d[0] for d in cur.description]
-    pick = [order.index(n) for n in names]
-    want = sorted((tuple(canonical(r[i]) for i in pick) for r in cur.fetchall()), key=_key)
+    want = _ordered(cur.df(), names)
+    got = _ordered(df.toPandas(), names)
     out = []
-    spark_types = dict(df.dtypes)
-    for n in names:
-        mapped = SPARK_NAMES.get(types[n], types[n].lower())
-        if mapped != spark_types[n]:
-            out.append(f"type of {n}: spark {spark_types[n]} oracle {types[n]}")
+    for n, kind in dict(df.dtypes).items():
+        if SPARK_NAMES.get(types[n], types[n].lower()) != kind:
+            out.append(f"type of {n}: spark {kind} oracle {types[n]}")
     if len(got) != len(want):
-        out.append(f"rows: spark {len(got)} oracle {len(want)}")
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    if bad:
-        out.append(f"{len(bad)} rows differ")
-        for g, w in bad[:show]:
-            out.append("   " + "; ".join(f"{n}: {a!r} != {b!r}" for n, a, b in zip(names, g, w) if a != b))
+        return out + [f"rows: spark {len(got)} oracle {len(want)}"]
+    for n in names:
+        a, b = got[n], want[n]
+        if a.dtype.kind in "fiu" or b.dtype.kind in "fiu":
+            same = np.isclose(a.astype("float64"), b.astype("float64"), rtol=1e-9, atol=1e-12, equal_nan=True)
+        else:
+            same = ((a == b) | (a.isna() & b.isna())).to_numpy()
+        if not same.all():
+            i = np.flatnonzero(~same)[:show]
+            out.append(f"{n}: {int((~same).sum())} rows differ, e.g. {[(a[k], b[k]) for k in i]}")
     return out
