@@ -44,15 +44,15 @@ class View:
         s = self.star
         return rollups.daily_demand(s.fact_demand, s.dim_product, s.dim_warehouse)
 
-    @cached_property
+    @staged_property
     def supplier_performance(self) -> DataFrame:
         return rollups.supplier_performance(self.star.fact_purchase_orders, self.star.dim_supplier)
 
-    @cached_property
+    @staged_property
     def warehouse_operations(self) -> DataFrame:
         return rollups.warehouse_operations(self.star.ledger, self.star.dim_warehouse)
 
-    @cached_property
+    @staged_property
     def cost_summary(self) -> DataFrame:
         s = self.star
         return rollups.cost_summary(s.ledger, s.fact_purchase_orders, s.dim_warehouse)
