@@ -194,17 +194,18 @@ def calendar_feature_columns() -> dict[str, Column]:
     }
 
 
-def with_cost_history(base: DataFrame) -> DataFrame:
+def with_cost_history(base: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """Mean and deviation of the unit cost of earlier orders of the product.
 
     Order is (order_date, po_id). Days are summed first; the day totals give
     everything before the day, and a short window over the orders of one
     (supplier, product, day) adds the earlier orders of the same day, so a
     popular product never puts its whole order history in one window group.
+    ``orders`` may name a cheaper source of the same order rows.
     """
     keys = ["supplier_id", "product_id"]
     c = F.col("unit_cost")
-    by_day = base.groupBy(*keys, "order_date").agg(
+    by_day = (base if orders is None else orders).groupBy(*keys, "order_date").agg(
         F.count(c).alias("n"), F.sum(c).alias("s1"), F.sum(c * c).alias("s2")
     )
     before_day = Window.partitionBy(*keys).orderBy("order_date").rowsBetween(Window.unboundedPreceding, -1)
@@ -244,4 +245,4 @@ def target_columns() -> dict[str, Column]:
 
 def supplier_features(base: DataFrame) -> DataFrame:
     out = with_history(base).withColumns(calendar_feature_columns())
-    return with_cost_history(out).withColumns(target_columns())
+    return with_cost_history(out, base).withColumns(target_columns())

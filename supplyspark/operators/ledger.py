@@ -40,7 +40,7 @@ def dense_grid(products: DataFrame, warehouses: DataFrame, dates: DataFrame) ->
     """One row per product, warehouse and calendar day.
 
     Days are unrolled after the pairs are hashed, so the (large) grid itself is
-    never shuffled. Sparse facts hashed the same way join to it in place.
+    never shuffled. Sparse facts hashed the same way merge into it in place.
     """
     span = F.struct(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
     bounds = dates.agg(span).scalar()
@@ -50,12 +50,22 @@ def dense_grid(products: DataFrame, warehouses: DataFrame, dates: DataFrame) ->
 
 
 def align_to_grid(grid: DataFrame, sparse: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Left-join a one-row-per-(series, day) table to the grid, filling gaps."""
+    """Put a one-row-per-(series, day) table on the grid, filling gaps.
+
+    Grid rows and sparse rows are stacked and merged by key instead of joined.
+    Both sides are hashed by series, the stack keeps that, and grouping by
+    (series, day) is satisfied by it: only the sparse rows are ever shuffled,
+    and series windows that follow need no shuffle either.
+    """
+    types = dict(sparse.dtypes)
+    blank = grid.select(*SERIES, "date", *[F.lit(None).cast(types[c]).alias(c) for c in defaults])
     keyed = sparse.select(*SERIES, "date", *defaults).repartition(*SERIES)
-    joined = grid.join(keyed, [*SERIES, "date"], "left")
-    return joined.select(
-        *[c for c in grid.columns],
-        *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()],
+    on_grid = blank.withColumn("_grid", F.lit(1)).unionByName(keyed.withColumn("_grid", F.lit(0)))
+    merged = on_grid.groupBy(*SERIES, "date").agg(
+        *[F.max(c).alias(c) for c in defaults], F.max("_grid").alias("_grid")
+    )
+    return merged.filter(F.col("_grid") == 1).select(
+        *SERIES, "date", *[F.coalesce(F.col(c), F.lit(v).cast(types[c])).alias(c) for c, v in defaults.items()]
     )
 
 

@@ -13,16 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans rely on.
-#  * adaptive execution re-plans joins on measured sizes, splits skewed join
-#    partitions and merges small ones;
-#  * co-partitioning on a subset of the join keys lets a (product, warehouse,
-#    date) join run on data hashed by (product, warehouse), the same hashing
-#    every series window needs, so one shuffle serves both.
+# Adaptive execution re-plans joins on measured sizes, splits skewed join
+# partitions and merges small ones. Joins keep hashing on all their keys: a
+# (supplier, day) join must not fall back to the supplier alone, because one
+# supplier may hold a third of all orders.
 PLAN_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }
 
 
