@@ -75,35 +75,54 @@ def order_days(orders: DataFrame) -> DataFrame:
 
 
 MEASURES = ("placed", "placed_units", "n", "received", "ordered", "on_time", "otif", "delay", "delay_sq")
+# Look-back windows in days and the measures they need.
+RECENT = {30: ("n", "delay", "otif"), 90: ("n", "otif")}
+
+
+def with_expiries(days: DataFrame) -> DataFrame:
+    """Add the rows that take a day's deliveries out of the look-back windows.
+
+    A delivery on day d counts for days d+1 .. d+w. Adding it on d and taking
+    it away on d+w makes the window sum a plain running sum, so each row costs
+    the same however many days the window spans.
+    """
+    keys, zero = ["supplier_id"], F.lit(0).cast("long")
+    names = [f"d{w}_{c}" for w, cs in RECENT.items() for c in cs]
+    arrivals = days.select(
+        *keys, "day", "asked", *MEASURES, *[F.col(c).alias(f"d{w}_{c}") for w, cs in RECENT.items() for c in cs]
+    )
+    out = arrivals
+    for width, measures in RECENT.items():
+        leaving = days.filter(F.col("n") > 0).select(
+            *keys,
+            (F.col("day") + width).alias("day"),
+            F.lit(0).alias("asked"),
+            *[zero.alias(c) for c in MEASURES],
+            *[(-F.col(n.split("_")[1])).alias(n) if n in {f"d{width}_{c}" for c in measures} else zero.alias(n) for n in names],
+        )
+        out = out.unionByName(leaving)
+    sums = [F.sum(c).alias(c) for c in (*MEASURES, *names)]
+    return out.groupBy("supplier_id", "day").agg(F.max("asked").alias("asked"), *sums)
 
 
 def history_by_day(orders: DataFrame) -> DataFrame:
     """Sums over all deliveries before each day, and over the last 30 and 90 days."""
-    events = daily_events(orders)
     wanted = order_days(orders).select(
-        "supplier_id", "day", *[F.lit(0).cast("long").alias(c) for c in MEASURES], F.lit(1).alias("asked")
+        "supplier_id", "day", F.lit(1).alias("asked"), *[F.lit(0).cast("long").alias(c) for c in MEASURES]
     )
-    days = (
-        events.withColumn("asked", F.lit(0))
-        .unionByName(wanted)
-        .groupBy("supplier_id", "day")
-        .agg(*[F.sum(c).alias(c) for c in MEASURES], F.max("asked").alias("asked"))
-    )
-    w = Window.partitionBy("supplier_id").orderBy("day")
-    past = w.rangeBetween(Window.unboundedPreceding, -1)
-    last30, last90 = w.rangeBetween(-30, -1), w.rangeBetween(-90, -1)
+    days = with_expiries(daily_events(orders).withColumn("asked", F.lit(0)).unionByName(wanted))
+    past = Window.partitionBy("supplier_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
 
-    def total(c: str, frame) -> Column:
-        return F.coalesce(F.sum(c).over(frame), zero)
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c).over(past), zero)
 
     out = days.select(
         "supplier_id",
         "day",
         "asked",
-        *[total(c, past).alias(f"past_{c}") for c in MEASURES],
-        *[total(c, last30).alias(f"d30_{c}") for c in ("n", "delay", "otif")],
-        *[total(c, last90).alias(f"d90_{c}") for c in ("n", "otif")],
+        *[total(c).alias(f"past_{c}") for c in MEASURES],
+        *[total(f"d{w}_{c}").alias(f"d{w}_{c}") for w, cs in RECENT.items() for c in cs],
         F.max(F.when(F.col("n") > 0, F.col("day"))).over(past).alias("last_delivery_day"),
     )
     return out.filter(F.col("asked") == 1).drop("asked")

@@ -15,14 +15,16 @@ MONTH = "month_key"
 
 
 # ------------------------------------------------------------------- reading
-def read_csv_tables(spark: SparkSession, folder: str, as_text: bool = True) -> dict[str, DataFrame]:
-    """All ten header CSVs of a folder, one DataFrame per table name."""
+def read_csv_tables(
+    spark: SparkSession, folder: str, as_text: bool = True, names: Iterable[str] = tuple(SPECS)
+) -> dict[str, DataFrame]:
+    """Header CSVs of a folder (all ten tables by default), by table name."""
     return {
-        name: spark.read.schema(text_schema(name) if as_text else spec.schema)
+        name: spark.read.schema(text_schema(name) if as_text else SPECS[name].schema)
         .option("header", True)
         .option("dateFormat", "yyyy-MM-dd")
         .csv(f"{folder}/{name}.csv")
-        for name, spec in SPECS.items()
+        for name in names
     }
 
 
