@@ -156,7 +156,13 @@ def clean_purchase_orders(
             _count(kept.filter(bad_cost), "REPAIR_NEGATIVE_PRICE"),
         ],
     )
-    later = distinct.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") > 1)
+    # Everything that is not its key's first row, found by a join with the first
+    # rows: a key with very many conflicting rows is then split by the skew
+    # handling of the join instead of being ranked by one task.
+    chosen = first.select(F.col("po_id").alias("_key"), F.struct(*columns).alias("_chosen"))
+    later = distinct.join(chosen, F.col("po_id").eqNullSafe(F.col("_key"))).filter(
+        ~F.struct(*columns).eqNullSafe(F.col("_chosen"))
+    )
     one = F.lit(1).cast("long")
     quarantine = reduce(
         DataFrame.unionByName,

@@ -97,6 +97,10 @@ def test_clean_orders_keeps_first_and_restores_price(spark):
     assert set(kept) == {"1", "3", "4"} and kept["1"].quantity_received == 3
     assert (kept["3"].unit_cost, kept["3"].total_procurement_cost) == (5.5, 22.0)
     assert kept["4"].unit_cost == 25.0
+    removed = {(r.action, r.po_id, r.quantity_received, r.copies) for r in c.quarantine.collect()}
+    assert removed == {
+        ("DEDUPLICATE", "1", 3, 1), ("DEDUPLICATE_PRIMARY_KEY", "1", 9, 1), ("QUARANTINE_NULL_OR_ORPHAN_KEY", "2", 1, 1),
+    }
     actions = {r.action: r.records_affected for r in c.actions.collect()}
     assert actions == {
         "DEDUPLICATE": 1, "DEDUPLICATE_PRIMARY_KEY": 1, "QUARANTINE_NULL_OR_ORPHAN_KEY": 1, "REPAIR_NEGATIVE_PRICE": 2,
