@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from supplyspark.llm.common import read, texts_of
+from supplyspark.llm.bpe import decode_documents, encode_documents
+from supplyspark.llm.common import read
 from supplyspark.llm.exact import exact_groups
 
 
@@ -14,7 +17,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = encode_documents(read(spark, sf_dir, "documents"), path, pattern)
+    return decode_documents(encoded, path, pattern).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
