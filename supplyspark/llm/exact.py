@@ -65,6 +65,13 @@ def refine(
 LEVELS = ["_bytes", "_prefix", "_full"]
 
 
+def _small(groups: DataFrame, options: dict) -> DataFrame:
+    """The groups, to be broadcast if there are few. Else Spark joins and splits the hot ones."""
+    groups = staged(groups, "groups")
+    few = groups.count() <= options.get("broadcast_groups", BROADCAST_GROUPS)
+    return F.broadcast(groups) if few else groups
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -74,7 +81,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows, groups = refine(slim, id_col="doc_id", text_col="_text", hash_all=True, **options)
-    joined = rows.drop("_text", "_alive").join(groups, LEVELS, "left")
+    joined = rows.drop("_text", "_alive").join(_small(groups, options), LEVELS, "left")
     return joined.select(
         "doc_id",
         F.coalesce("_keep", "doc_id").alias("keep_id"),
@@ -94,10 +101,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     names = docs.columns
     rows, groups = refine(docs, id_col=id_col, text_col=text_col, **options)
-    groups = staged(groups, "groups")
-    if groups.count() <= options.get("broadcast_groups", BROADCAST_GROUPS):
-        groups = F.broadcast(groups)
-    joined = rows.filter("_alive").join(groups, LEVELS, "left")
+    joined = rows.filter("_alive").join(_small(groups, options), LEVELS, "left")
     winners = joined.filter(F.col("_size").isNotNull() & F.col(id_col).eqNullSafe(F.col("_keep")))
     return (
         rows.filter(~F.col("_alive"))
