@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from supplyspark.llm.bpe import decode_documents, encode_documents
 from supplyspark.llm.common import read
 from supplyspark.llm.exact import exact_groups
+from supplyspark.llm.packing import pack
 from supplyspark.llm.sketch import near_duplicates
 
 
@@ -22,6 +23,13 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode_documents(read(spark, sf_dir, "documents"), path, pattern)
@@ -35,6 +43,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_packing": op3_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
