@@ -5,16 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyspark.llm.bpe import decode_documents, encode_documents
 from supplyspark.llm.common import read
 from supplyspark.llm.exact import exact_groups
 from supplyspark.llm.packing import pack
+from supplyspark.llm.pii import KINDS, find_personal_data
 from supplyspark.llm.sketch import near_duplicates
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    found = find_personal_data(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
@@ -45,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
