@@ -12,7 +12,7 @@ from supplyspark.llm.bpe import decode_documents, encode_documents
 from supplyspark.llm.common import read
 from supplyspark.llm.exact import exact_groups
 from supplyspark.llm.packing import pack
-from supplyspark.llm.pii import KINDS, find_personal_data
+from supplyspark.llm.pii import BASE_KINDS, find_personal_data
 from supplyspark.llm.sketch import near_duplicates
 
 
@@ -21,7 +21,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     found = find_personal_data(read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in KINDS[:4]]
+
+    def count_of(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count_of(kind) for kind in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
