@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyspark.llm.bpe import decode_documents, encode_documents
-from supplyspark.llm.common import read
+from supplyspark.llm.common import read, texts_of
 from supplyspark.llm.exact import exact_groups
 from supplyspark.llm.packing import pack
 from supplyspark.llm.pii import BASE_KINDS, find_personal_data
 from supplyspark.llm.sketch import near_duplicates
+from supplyspark.llm.toxicity import fit, held_out, score_texts
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs, read(spark, sf_dir, "labels"))
+    return score_texts(texts_of(docs), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode_documents(read(spark, sf_dir, "documents"), path, pattern)
@@ -58,6 +65,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
