@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from supplyspark.llm.bpe import decode_documents, encode_documents
 from supplyspark.llm.common import read, texts_of
 from supplyspark.llm.exact import exact_groups
+from supplyspark.llm.language_model import score, train
 from supplyspark.llm.packing import pack
 from supplyspark.llm.pii import BASE_KINDS, find_personal_data
 from supplyspark.llm.sketch import near_duplicates
@@ -51,6 +52,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(texts_of(docs), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = train(docs.filter(~apart))
+    return score(docs, model).select(
+        "doc_id",
+        apart.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode_documents(read(spark, sf_dir, "documents"), path, pattern)
@@ -66,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
