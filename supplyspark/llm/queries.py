@@ -12,6 +12,7 @@ from supplyspark.llm.bpe import decode_documents, encode_documents
 from supplyspark.llm.common import read, texts_of
 from supplyspark.llm.exact import exact_groups
 from supplyspark.llm.language_model import score, train
+from supplyspark.llm.neighbours import GraphIndex
 from supplyspark.llm.packing import pack
 from supplyspark.llm.pii import BASE_KINDS, find_personal_data
 from supplyspark.llm.sketch import near_duplicates
@@ -78,6 +79,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GraphIndex(read(spark, sf_dir, "embeddings")).search(F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_graph_ann": op10_graph_ann,
 }
 
 # For DuckDB. The other operators have no SQL form; tests/llm compares them with brute force.
