@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyspark.llm.bpe import decode_documents, encode_documents
+from supplyspark.llm.chat import ESCAPE, Template, format_turns, read_back, text_parts, with_turns
 from supplyspark.llm.common import read, texts_of
 from supplyspark.llm.exact import exact_groups
 from supplyspark.llm.language_model import score, train
@@ -47,6 +48,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Escaping has to hold for texts made of another template's control strings.
+CONTROL_TURNS = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = with_turns(read(spark, sf_dir, "conversations"), CONTROL_TURNS)
+    return read_back(format_turns(turns, text_parts(F.col("text"))))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(docs, read(spark, sf_dir, "labels"))
@@ -86,6 +96,7 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
+    "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_byte_bpe": op7_byte_bpe,
@@ -94,8 +105,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_graph_ann": op10_graph_ann,
 }
 
+
+def _escaped_sql(column: str) -> str:
+    text = f"replace({column}, '{ESCAPE}', '{ESCAPE}{ESCAPE}')"
+    for control in Template().controls:
+        text = f"replace({text}, '{control}', '{control[0]}{ESCAPE}{control[1:]}')"
+    return text
+
+
 # For DuckDB. The other operators have no SQL form; tests/llm compares them with brute force.
 ORACLE: dict[str, str] = {
+    "op4_chat_format": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), escaped AS (
+            SELECT *,
+                   {_escaped_sql("role")} AS safe_role,
+                   {_escaped_sql("text")} AS safe_text
+            FROM turns
+        )
+        SELECT conv_id,
+               count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(safe_role) + length(safe_text) + 12 + 10 + 10) AS BIGINT) AS formatted_chars
+        FROM escaped
+        GROUP BY conv_id
+    """,
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
