@@ -1,5 +1,67 @@
-"""The corpus pipeline: operators of ``supplyspark.llm`` applied to ``documents`` in turn."""
+"""The corpus pipeline: operators of ``supplyspark.llm`` applied to ``documents`` in turn.
+
+Every stage takes ``(spark, docs, sf_dir)``. The first four return documents
+with the columns they got; the last returns pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
-from supplyspark.llm.queries import ORACLE, QUERIES  # noqa: F401
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from supplyspark.llm import exact, packing, pii, queries, sketch, toxicity
+from supplyspark.llm.common import prepare, read, staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go."""
+    prepare(spark)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    prepare(spark)
+    return exact.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates, directly or through others, the document with the smallest id stays."""
+    prepare(spark)
+    return sketch.drop_near_copies(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; ``n_chars`` follows."""
+    prepare(spark)
+    return pii.redact(docs, count_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences in training order, as pieces with their ids."""
+    prepare(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+# A fitted classifier and tokens have no SQL form; tests/llm runs the stages against plain Python.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = queries.QUERIES | {"pipeline": run}
+ORACLE = queries.ORACLE | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

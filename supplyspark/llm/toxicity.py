@@ -293,3 +293,15 @@ def score_texts(docs: DataFrame, model: Classifier, text_col: str = "text") -> D
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     schema = ", ".join([*fields, "score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:double>>"])
     return docs.mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted to be toxic; same columns, whatever their names."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [model.score(t or "")[0] < 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
