@@ -34,11 +34,12 @@ REGISTERS = BANDS * BAND_SIZE
 LOG_BASE = np.log(1.001)
 RATE = 20.0
 TOP = (1 << 16) - 1
-# A pair is ruled out if some lower similarity is e^12 times likelier than any
-# from the threshold on (about five standard deviations).
-RULED_OUT = 12.0
-# Members of a bucket that are compared with each other in one task.
-BLOCK = 1000
+# A pair is ruled out if some lower similarity is e^10 times likelier than any
+# from the threshold on (about four and a half standard deviations).
+RULED_OUT = 10.0
+LEAST_EQUAL = 36
+# Nodes of a bucket (or their shingles) that are compared with each other in one task.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 # Ids that go to every task of a scan (8 bytes each); with more, the scan is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -107,7 +108,10 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.full(len(rows), band + 1, dtype=np.uint64)
             for i in range(band * BAND_SIZE, (band + 1) * BAND_SIZE):
                 key = mix(key * _MULTIPLY[0] + rows[:, i])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(np.full(len(rows), band, dtype=np.int32)), batch.column(0), batch.column(1)],
+                ["key", "band", "node", "n"],
+            )
 
 
 def _registers_of(sketches: list[bytes]) -> np.ndarray:
@@ -123,7 +127,7 @@ def likelihood(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     equal = REGISTERS - larger - smaller
     highest = np.minimum(u / v, v / u)
-    grid = np.linspace(0.0, 1.0, 81)[None, :]
+    grid = np.linspace(0.0, 1.0, 41)[None, :]
     j = np.minimum(grid, highest[:, None])
     base = np.exp(LOG_BASE)
 
@@ -154,29 +158,76 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between two blocks of a bucket (or within one) in different components that are not ruled out."""
+def _undecided(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of the left block, each with the rows of the right block that it has to be compared with.
+
+    These are nodes of other components that the registers don't rule out. A
+    pair that already met in an earlier band is left to that one.
+    """
     side = rows["i"].to_numpy() == rows["own"].to_numpy()
     same = bool((rows["i"] == rows["j"]).iloc[0])
-    left = rows[side].sort_values("node")
-    right = left if same else rows[~side].sort_values("node")
+    left = np.flatnonzero(side)
+    right = left if same else np.flatnonzero(~side)
+    if not len(left) or not len(right):
+        return
+    band = int(rows["band"].iloc[0])
+    sketches = _registers_of(rows["sketch"].tolist())
+    sizes, components_, nodes = (rows[c].to_numpy() for c in ("n", "component", "node"))
+    for k in left:
+        at = right[components_[right] != components_[k]]
+        if same:
+            at = at[nodes[at] > nodes[k]]
+        at = at[100 * np.minimum(sizes[at], sizes[k]) >= THRESHOLD * np.maximum(sizes[at], sizes[k])]
+        if not len(at):
+            continue
+        x, y = sketches[k], sketches[at]
+        equal = x == y
+        # Fewer equal registers have no chance: 63 are expected at the threshold, with deviation 4.
+        few = equal.sum(axis=1) >= LEAST_EQUAL
+        few &= equal.reshape(len(at), BANDS, BAND_SIZE).all(axis=2).argmax(axis=1) == band
+        at, y = at[few], y[few]
+        if len(at):
+            larger, smaller = (x > y).sum(axis=1), (x < y).sum(axis=1)
+            _, possible = likelihood(larger, smaller, np.full(len(at), float(sizes[k])), sizes[at].astype(np.float64))
+            if possible.any():
+                yield int(k), at[possible]
+
+
+def _contested(rows: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of two blocks that have to be compared with others."""
+    found = np.zeros(len(rows), dtype=bool)
+    for k, at in _undecided(rows):
+        found[k] = True
+        found[at] = True
+    return rows.loc[found, ["key", "i", "j", "node"]]
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between nodes of two blocks, as many as join their components."""
+    members = [np.frombuffer(m, dtype=np.uint64) for m in rows["members"]]
+    nodes, parts = rows["node"].to_numpy(), rows["component"].to_numpy()
+    parent = {c: c for c in set(parts.tolist())}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
     out = []
-    if len(left) and len(right):
-        sk_r, n_r = _registers_of(right["sketch"].tolist()), right["n"].to_numpy(dtype=np.float64)
-        comp_r, node_r = right["component"].to_numpy(), right["node"].to_numpy()
-        sk_l = _registers_of(left["sketch"].tolist())
-        for k, (node, component, n) in enumerate(zip(left["node"], left["component"], left["n"], strict=True)):
-            ok = comp_r != component
-            if same:
-                ok &= node_r > node
-            ok &= (100 * np.minimum(n_r, n) >= THRESHOLD * np.maximum(n_r, n))
-            at = np.flatnonzero(ok)
-            if len(at):
-                x, y = sk_l[k], sk_r[at]
-                _, possible = likelihood((x > y).sum(axis=1), (x < y).sum(axis=1), np.full(len(at), float(n)), n_r[at])
-                hit = node_r[at[possible]]
-                out.append(pd.DataFrame({"a": np.minimum(hit, node), "b": np.maximum(hit, node)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    for k, at in _undecided(rows):
+        for other in at:
+            a, b = root(int(parts[k])), root(int(parts[other]))
+            if a != b and _linked(members[k], members[other]):
+                parent[max(a, b)] = min(a, b)
+                out.append((min(nodes[k], nodes[other]), max(nodes[k], nodes[other])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= THRESHOLD * (len(both) - common)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +243,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            linked.append(100 * common >= THRESHOLD * (len(x) + len(y) - common))
+            linked.append(_linked(x, y))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
@@ -213,8 +263,8 @@ class NearDuplicates:
         )
 
     def buckets(self) -> DataFrame:
-        """(key, node, n) of all buckets with two nodes or more."""
-        rows = self.nodes.select("node", "n", "sketch").mapInArrow(_banded, "key long, node long, n long")
+        """(key, band, node, n) of all buckets with two nodes or more."""
+        rows = self.nodes.select("node", "n", "sketch").mapInArrow(_banded, "key long, band int, node long, n long")
         several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
         return staged(rows.join(several, "key"), "buckets")
 
@@ -225,13 +275,18 @@ class NearDuplicates:
         joined = joined.filter(100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
         return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_estimate, "a long, b long, guess double")
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """``node`` and ``members`` (its sorted shingle hashes) for each of ``nodes``."""
+        needed = staged(nodes.select(F.col("node").alias("doc_id")).distinct(), "needed")
+        if needed.count() <= BROADCAST_IDS:
+            needed = F.broadcast(needed)
+        rows = self.texts.join(needed, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, members binary")
+        return staged(rows, "sets")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """``linked`` for each pair (a, b), by full sets."""
         pairs = staged(pairs, "pairs")
-        needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
-        if needed.count() <= BROADCAST_IDS:
-            needed = F.broadcast(needed)
-        sets = staged(self.texts.join(needed, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, members binary"), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}")) for x in "ab")
         joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "m_a", "m_b")
         return joined.mapInArrow(_verify, "a long, b long, linked boolean")
@@ -244,13 +299,13 @@ class NearDuplicates:
         best = self.possible(pairs).groupBy("b").agg(F.max_by("a", "guess").alias("a")).select("a", "b")
         tested = staged(self.verified(best), "tested")
         tested = self._other_hubs(buckets, tested)
-        return self._rest(buckets, tested).filter("linked").select("a", "b")
+        return tested.filter("linked").select("a", "b").unionByName(self._rest(buckets, tested))
 
     def _labelled(self, buckets: DataFrame, tested: DataFrame) -> DataFrame:
         """Buckets whose nodes are in several components, with each node's."""
         found = components(tested.filter("linked"))
         rows = buckets.join(found.withColumnRenamed("component", "c"), "node", "left")
-        rows = rows.select("key", "node", "n", F.coalesce("c", "node").alias("component"))
+        rows = rows.select("key", "band", "node", "n", F.coalesce("c", "node").alias("component"))
         rows = staged(rows, "labelled")
         mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
         return rows.join(mixed.select("key"), "key")
@@ -265,19 +320,24 @@ class NearDuplicates:
         return staged(tested.unionByName(self.verified(pairs)), "tested")
 
     def _rest(self, buckets: DataFrame, tested: DataFrame) -> DataFrame:
-        """Compare all nodes of a bucket that are still in different components, in blocks."""
-        rows = staged(self._labelled(buckets, tested), "rest")
-        sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        rows = rows.join(sizes, "key").join(self.nodes.select("node", "sketch"), "node")
+        """Links that are still missing: nodes of a bucket in different components, compared block by block.
+
+        Registers alone tell which nodes are contested; only their full sets
+        are brought together. A task returns a link for each two components
+        that it joins, never a list of pairs.
+        """
+        rows = self._labelled(buckets, tested)
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+        rows = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key").join(self.nodes.select("node", "sketch"), "node")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
         # Block x meets block y in the task of (min, max).
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select(
-            "key", "node", "n", "component", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-        )
-        pairs = rows.groupBy("key", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        return staged(tested.unionByName(self.verified(pairs)), "tested")
+        names = ["key", "band", "node", "n", "component", "sketch", "own"]
+        rows = rows.select(*names, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        task = ["key", "i", "j"]
+        contested = staged(rows.groupBy(*task).applyInPandas(_contested, "key long, i long, j long, node long"), "contested")
+        rows = rows.join(contested, [*task, "node"], "left_semi").join(self.sets(contested), "node")
+        return rows.groupBy(*task).applyInPandas(_block_links, "a long, b long").distinct()
 
     def result(self) -> DataFrame:
         found = components(self.links())
@@ -300,3 +360,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result; other columns are ignored.
     """
     return NearDuplicates(docs, id_col, text_col).result()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one document for each group; same columns. Rows without an id stay."""
+    found = NearDuplicates(docs, id_col, text_col).result()
+    gone = staged(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
