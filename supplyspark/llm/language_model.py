@@ -210,7 +210,9 @@ class _Counter:
         shard = shard_of(keys).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         keys, counts, shard = keys[order], counts[order], shard[order]
-        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(keys) else np.empty(0, np.int64)
+        if not len(keys):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
         for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard[a]]), pa.array([b - a]), pa.array([_squeeze(keys[a:b])], pa.binary()), pa.array([_counts_blob(counts[a:b])], pa.binary())],
