@@ -62,7 +62,8 @@ def beam_search(data: np.ndarray, graph: np.ndarray, start: int, queries: np.nda
         opened[live, at[live]] = True
         around = graph[node[live]]
         fresh = (around >= 0) & ~seen[live[:, None], around]
-        seen[live[:, None], around] |= around >= 0
+        row, column = np.nonzero(around >= 0)
+        seen[live[row], around[row, column]] = True
         far = np.where(fresh, _squared(queries[live], data[around]), np.inf)
         all_ids = np.concatenate([ids[live], np.where(fresh, around, -1)], axis=1)
         all_dist = np.concatenate([dist[live], far], axis=1)
