@@ -328,16 +328,22 @@ class NearDuplicates:
         """
         rows = self._labelled(buckets, tested)
         blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
-        rows = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key").join(self.nodes.select("node", "sketch"), "node")
+        # The pair of a bucket of two has been a hub and its partner before.
+        sizes = rows.groupBy("key").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("c")).filter("c > 2").drop("c")
+        rows = rows.join(sizes, "key").join(self.nodes.select("node", "sketch"), "node")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
         # Block x meets block y in the task of (min, max).
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         names = ["key", "band", "node", "n", "component", "sketch", "own"]
         rows = rows.select(*names, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         task = ["key", "i", "j"]
-        contested = staged(rows.groupBy(*task).applyInPandas(_contested, "key long, i long, j long, node long"), "contested")
+        # The rows are small and the work on them isn't: keep Spark from merging these partitions by their bytes.
+        parts = int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = staged(rows, "blocks")
+        contested = rows.repartition(parts, *task).groupBy(*task).applyInPandas(_contested, "key long, i long, j long, node long")
+        contested = staged(contested, "contested")
         rows = rows.join(contested, [*task, "node"], "left_semi").join(self.sets(contested), "node")
-        return rows.groupBy(*task).applyInPandas(_block_links, "a long, b long").distinct()
+        return rows.repartition(parts, *task).groupBy(*task).applyInPandas(_block_links, "a long, b long").distinct()
 
     def result(self) -> DataFrame:
         found = components(self.links())
