@@ -225,9 +225,13 @@ class GraphIndex:
         found = []
         for b in range(blocks):
             rows = wanted.filter(number == b).orderBy("vec_id").collect()  # about ``block`` queries
+            if not rows:
+                continue
             ids = np.array([r["vec_id"] for r in rows], dtype="i8")
             queries = np.array([r["vector"] for r in rows], dtype=self.kind).reshape(len(ids), -1)
             found.append(self._near_nodes(ids, queries, k + 1, beam))
+        if not found:
+            return wanted.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         nearest = functools.reduce(DataFrame.unionAll, found)
         nearest = _first(nearest, F.col("score"), F.col("node"), k + 1).drop("rank")
         each = nearest.join(self.members, "node").filter("vec_id <> query_id")

@@ -22,6 +22,7 @@ class Plain:
         self.n, self.v = sum(self.word.values()), len(self.word)
         self.before = Counter(w for _, w in self.pair)
         self.d, self.u = self.discounts(self.pair), self.discounts(self.before)
+        self.rest = sum(self.u[min(k, 3)] for k in self.before.values())
         self.total, self.kinds = Counter(), defaultdict(Counter)
         for (c, _), k in self.pair.items():
             self.total[c] += k
@@ -39,9 +40,8 @@ class Plain:
     def one(self, w):
         if not self.pair:
             return 1 / (self.v + 1)
-        rest = sum(self.u[min(k, 3)] for k in self.before.values())
         k = self.before[w]
-        return max(k - self.u[min(k, 3)], 0) / len(self.pair) + rest / len(self.pair) / (self.v + 1)
+        return max(k - self.u[min(k, 3)], 0) / len(self.pair) + self.rest / len(self.pair) / (self.v + 1)
 
     def two(self, c, w):
         if c not in self.total:
