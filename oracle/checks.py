@@ -368,8 +368,8 @@ put("demand_dynamics", f"SELECT {K}, {cols(DYN)} FROM demand_wide")
 put("demand_targets", f"SELECT {K}, {', '.join(TGT)}, {cols(AVAIL)} FROM demand_wide")
 put("demand_feature_table", f"""
 SELECT g.*, {cols(DYN)}, day_of_week, week AS week_of_year, month, quarter, is_weekend, is_month_start AS month_start, is_month_end AS month_end,
-       0 AS holiday_flag, o.* EXCLUDE (date), {cols(AVAIL)}
-FROM demand_wide g JOIN (SELECT date AS cal_date, day_of_week, week, month, quarter, is_weekend, is_month_start, is_month_end FROM dim_date) c ON g.date = c.cal_date
+       holiday_flag, o.* EXCLUDE (date), {cols(AVAIL)}
+FROM demand_wide g JOIN (SELECT date AS cal_date, day_of_week, week, month, quarter, is_weekend, is_month_start, is_month_end, holiday_flag FROM dim_date) c ON g.date = c.cal_date
 JOIN (SELECT *, date AS o_date FROM overlay) o ON g.date = o.o_date
 """.replace("o.* EXCLUDE (date)", "o.event_active, o.event_type, o.event_severity, o.event_demand_multiplier, o.event_lead_time_multiplier, o.event_transport_multiplier, o.days_since_event_start, o.days_until_event_end")
    .replace("CAST(date >=", "CAST(g.date >=").replace("PARTITION BY product_id, warehouse_id ORDER BY date", "PARTITION BY g.product_id, g.warehouse_id ORDER BY g.date"))

@@ -98,7 +98,9 @@ SELECT date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) A
        CAST(strftime(date, '%m-%d') IN ('01-01','05-01','07-04','11-28','12-25') AS INTEGER) AS holiday_flag,
        CAST(strftime(date, '%m-%d') BETWEEN '03-22' AND '03-29' OR strftime(date, '%m-%d') BETWEEN '07-10' AND '07-17'
          OR strftime(date, '%m-%d') BETWEEN '11-24' AND '12-02' OR strftime(date, '%m-%d') BETWEEN '12-15' AND '12-22' AS INTEGER) AS promotion_period
-FROM (SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS date FROM orders)
+FROM (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS date FROM (
+  SELECT o_orderdate AS day FROM orders UNION ALL SELECT l_shipdate FROM lineitem
+  UNION ALL SELECT l_shipdate + INTERVAL 22 DAY FROM lineitem))
 """)
 
 view("event_rows", """
@@ -132,7 +134,7 @@ FROM (
 """)
 
 view("fact_purchase_orders", """
-SELECT 'PO-' || l_orderkey || '-' || l_linenumber AS po_id, order_date, 'SUP-' || s_suppkey AS supplier_id,
+SELECT 'PO-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || s_suppkey || '-' || strftime(order_date, '%Y%m%d') AS po_id, order_date, 'SUP-' || s_suppkey AS supplier_id,
        'WH-' || n_regionkey AS warehouse_id, p_brand AS product_id, q AS quantity_ordered,
        elt AS expected_lead_time_days, alt AS actual_lead_time_days,
        order_date + elt AS expected_delivery_date, order_date + alt AS actual_delivery_date,
@@ -148,7 +150,6 @@ FROM (
          floor(l_extendedprice / l_quantity * 64.0::DOUBLE + 0.5::DOUBLE) / 64.0::DOUBLE AS uc
   FROM lineitem l JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1
 )
 """)
 

@@ -25,7 +25,7 @@ from supplyspark.plans import queries as q
 from supplyspark.plans import reconcile, rollups
 from supplyspark.session import staged, staged_property
 from supplyspark.sources import io
-from supplyspark.sources.adapter import StarSchema
+from supplyspark.sources.adapter import HOLIDAYS, StarSchema
 
 TRAIN_END, VAL_END = "1999-06-30", "2000-06-30"
 LEAK_CUTOFF = "2000-06-30"
@@ -57,9 +57,19 @@ class View:
         s = self.star
         return rollups.cost_summary(s.ledger, s.fact_purchase_orders, s.dim_warehouse)
 
+    @staged_property
+    def inventory_health(self) -> DataFrame:
+        s = self.star
+        return rollups.inventory_health(s.ledger, s.dim_product, s.dim_warehouse)
+
     @cached_property
-    def all_rollups(self) -> dict[str, DataFrame]:
-        return rollups.build_all(self.star)
+    def stored_rollups(self) -> dict[str, DataFrame]:
+        """The written rollups that the queries read."""
+        return {
+            "analytics_daily_demand": self.daily_demand,
+            "analytics_inventory_health": self.inventory_health,
+            "analytics_cost_summary": self.cost_summary,
+        }
 
     # -------------------------------------------------------------- features
     @cached_property
@@ -70,7 +80,7 @@ class View:
     @staged_property
     def demand_features(self) -> DataFrame:
         start = self.star.dim_date.agg(F.min("date")).scalar()
-        return fd.demand_features(self.grid, self.star.event_rows, start=start)
+        return fd.demand_features(self.grid, self.star.event_rows, HOLIDAYS, start)
 
     @cached_property
     def ledger_base(self) -> DataFrame:
@@ -293,7 +303,7 @@ def daily_demand_rollup(v: View) -> DataFrame:
 
 @query
 def inventory_health(v: View) -> DataFrame:
-    return rollups.inventory_health(v.star.ledger, v.star.dim_product, v.star.dim_warehouse)
+    return v.inventory_health
 
 
 @query
@@ -431,7 +441,7 @@ def coverage_kpis(v: View) -> DataFrame:
 # ----------------------------------------------------------------- reconciliation
 @query
 def reconcile_all(v: View) -> DataFrame:
-    return reconcile.reconcile_all(v.star, v.all_rollups)
+    return reconcile.reconcile_all(v.star, v.stored_rollups)
 
 
 @query
@@ -729,7 +739,7 @@ def severity_before_after(v: View) -> DataFrame:
 def leakage_demand(v: View) -> DataFrame:
     start = v.star.dim_date.agg(F.min("date")).scalar()
     return leakage.demand_leakage(
-        lambda d: fd.demand_features(d, v.star.event_rows, start=start), v.grid, LEAK_CUTOFF
+        lambda d: fd.demand_features(d, v.star.event_rows, HOLIDAYS, start), v.grid, LEAK_CUTOFF
     )
 
 
@@ -890,7 +900,8 @@ def risk_snapshot(v: View) -> DataFrame:
 
 @query
 def exposure_matrix(v: View) -> DataFrame:
-    return risk.exposure_matrix(v.snapshot, [f"WH-{i}" for i in range(5)])
+    places = v.star.dim_warehouse.select("warehouse_id").orderBy("warehouse_id").collect()  # one column for each
+    return risk.exposure_matrix(v.snapshot, [row.warehouse_id for row in places])
 
 
 @query

@@ -21,7 +21,7 @@ HORIZONS = (1, 7, 14, 28)
 SUM_HORIZONS = (7, 14, 28)
 WARMUP_DAYS = 28
 
-# Holidays flagged in the feature table.
+# Holidays flagged in the feature table, unless the caller names others.
 HOLIDAY_DATES = (
     "2024-01-01", "2024-05-27", "2024-07-04", "2024-09-02", "2024-11-29", "2024-12-25",
     "2025-01-01", "2025-05-26", "2025-07-04", "2025-09-01", "2025-11-28", "2025-12-25",
@@ -74,6 +74,7 @@ def dynamics_columns() -> dict[str, Column]:
 
 
 def calendar_feature_columns(holidays: Sequence[str] = HOLIDAY_DATES) -> dict[str, Column]:
+    """``holidays`` are dates (yyyy-MM-dd) or days of every year (MM-dd)."""
     cal = calendar_columns("date")
     return {
         "day_of_week": cal["day_of_week"],
@@ -83,7 +84,9 @@ def calendar_feature_columns(holidays: Sequence[str] = HOLIDAY_DATES) -> dict[st
         "is_weekend": cal["is_weekend"],
         "month_start": cal["is_month_start"],
         "month_end": cal["is_month_end"],
-        "holiday_flag": flag(F.date_format("date", "yyyy-MM-dd").isin(*holidays)),
+        "holiday_flag": flag(
+            F.date_format("date", "yyyy-MM-dd").isin(*holidays) | F.date_format("date", "MM-dd").isin(*holidays)
+        ),
     }
 
 

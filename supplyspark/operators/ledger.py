@@ -22,6 +22,16 @@ def series_window(order: str = "date"):
     return Window.partitionBy(*SERIES).orderBy(order)
 
 
+def series_parts(df: DataFrame) -> int:
+    """Partitions for tables hashed by series.
+
+    Given explicitly, because adaptive execution would size these exchanges by
+    the few pairs that cross them and merge them into one task, before each
+    pair is unrolled to a whole calendar.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def series_pairs(products: DataFrame, warehouses: DataFrame) -> DataFrame:
     """Every product with every warehouse, hashed by the series key.
 
@@ -32,7 +42,7 @@ def series_pairs(products: DataFrame, warehouses: DataFrame) -> DataFrame:
     return (
         products.select("product_id")
         .withColumn("warehouse_id", F.explode(warehouse_list))
-        .repartition(*SERIES)
+        .repartition(series_parts(products), *SERIES)
     )
 
 
@@ -59,7 +69,7 @@ def align_to_grid(grid: DataFrame, sparse: DataFrame, defaults: dict[str, object
     """
     types = dict(sparse.dtypes)
     blank = grid.select(*SERIES, "date", *[F.lit(None).cast(types[c]).alias(c) for c in defaults])
-    keyed = sparse.select(*SERIES, "date", *defaults).repartition(*SERIES)
+    keyed = sparse.select(*SERIES, "date", *defaults).repartition(series_parts(sparse), *SERIES)
     on_grid = blank.withColumn("_grid", F.lit(1)).unionByName(keyed.withColumn("_grid", F.lit(0)))
     merged = on_grid.groupBy(*SERIES, "date").agg(
         *[F.max(c).alias(c) for c in defaults], F.max("_grid").alias("_grid")

@@ -197,7 +197,7 @@ def with_family(importances: DataFrame, families) -> DataFrame:
 def _learner(family: str, n: int, rounds: int | None, seed: int, c: float = 0.5):
     common = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight"}
     if family == "logistic":
-        return LogisticRegression(maxIter=200, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, **common)
+        return LogisticRegression(maxIter=1000, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, **common)
     if family == "random_forest":
         return RandomForestClassifier(numTrees=rounds or 120, maxDepth=8, minInstancesPerNode=15, seed=seed, **common)
     if family == "boosted":

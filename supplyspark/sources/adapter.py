@@ -28,6 +28,8 @@ PROMOTION_WINDOWS = (("03-22", "03-29"), ("07-10", "07-17"), ("11-24", "12-02"),
 HOLIDAYS = ("01-01", "05-01", "07-04", "11-28", "12-25")
 
 # Part types in the source tables.
+# Longest lead time of a supplier (5 + 13 days) and longest delay beyond it.
+LONGEST_LEAD_DAYS = 18 + 4
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 # The event calendar of the adapted data (sequence order matters:
@@ -193,9 +195,11 @@ class StarSchema:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        span = self.raw("orders").agg(
-            F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day")
-        )
+        """From the first order or shipment to the last possible delivery, so every fact date is a member."""
+        ordered = self.raw("orders").select(F.col("o_orderdate").cast("date").alias("day"))
+        shipped = self.raw("lineitem").agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))
+        shipped = shipped.select(F.explode(F.array("lo", F.date_add("hi", LONGEST_LEAD_DAYS))).alias("day"))
+        span = ordered.unionByName(shipped).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
         return date_dimension(days_between(span))
 
     @cached_property
@@ -283,7 +287,7 @@ class StarSchema:
         Events are unrolled to days first, so the interval match becomes an
         equality join on a table no larger than days x warehouses x categories.
         """
-        every = F.array(*[F.lit(c) for c in CATEGORIES])
+        every = self.dim_product.agg(F.sort_array(F.collect_set("category"))).scalar()
         categories = F.when(F.col("affected_categories") == "ALL", every).otherwise(
             F.split("affected_categories", r",\s*")
         )
@@ -301,29 +305,6 @@ class StarSchema:
             .agg(F.max_by("event_id", "ev_seq").alias("event_id"))
         )
 
-    @cached_property
-    def _purchase_lines(self) -> DataFrame:
-        """First line per (order, line number) in a stated total order."""
-        order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-            "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
-        )
-        return (
-            self.raw("lineitem")
-            .select(
-                "l_orderkey",
-                "l_linenumber",
-                "l_shipdate",
-                "l_partkey",
-                "l_suppkey",
-                "l_quantity",
-                "l_extendedprice",
-                "l_returnflag",
-            )
-            .withColumn("rn", F.row_number().over(order))
-            .filter(F.col("rn") == 1)
-            .drop("rn")
-        )
-
     @cached_property
     def fact_purchase_orders(self) -> DataFrame:
         parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_id"))
@@ -344,7 +325,7 @@ class StarSchema:
         jitter = (7 * F.col("l_partkey") + 3 * F.col("l_orderkey") + F.col("l_linenumber")) % 8 - 3
         quantity = F.col("l_quantity").cast("long")
         return (
-            self._purchase_lines.join(parts, "l_partkey")
+            self.raw("lineitem").join(parts, "l_partkey")
             .join(suppliers, "l_suppkey")
             .withColumn("order_date", F.col("l_shipdate").cast("date"))
             .withColumn("quantity_ordered", quantity)
@@ -361,7 +342,10 @@ class StarSchema:
             .withColumn("on_time_flag", flag(F.col("delay_days") == 0))
             .withColumn("in_full_flag", flag(F.col("quantity_received") == F.col("quantity_ordered")))
             .select(
-                F.concat_ws("-", F.lit("PO"), "l_orderkey", "l_linenumber").alias("po_id"),
+                # The source repeats (order, line number); part, supplier and day tell the lines apart.
+                F.concat_ws(
+                    "-", F.lit("PO"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("order_date", "yyyyMMdd")
+                ).alias("po_id"),
                 "order_date",
                 "supplier_id",
                 "warehouse_id",
