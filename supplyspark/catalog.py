@@ -9,7 +9,7 @@ test borders used with the adapted order data.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -1050,28 +1050,53 @@ def decision_log(v: View) -> DataFrame:
 
 
 # ------------------------------------------------------------------- learned models
-# The registered runs use all rows but few boosting rounds; the library defaults
-# are the published round counts.
-QUERY_ROUNDS = 5
+# Labelled rows that boosted trees and forests are fitted on; validation and test
+# rows are all used. Rounds, depths and configurations are the published ones.
+TREE_ROWS = 20_000
+
+
+def _horizon_rows(v: View, horizon: int, name: str, limit: int | None = None) -> DataFrame:
+    rows = models.horizon_rows(v.demand_features, horizon, TRAIN_END, VAL_END)
+    return staged(models.bounded(rows, SERIES_KEY, limit) if limit else rows, name)
 
 
 @query
 def ridge_forecast(v: View) -> DataFrame:
-    """Test forecasts at t+1 of the ridge model with the best strength."""
-    rows = staged(models.horizon_rows(v.demand_features, 1, TRAIN_END, VAL_END), "ridge_rows")
-    encoder, model, alpha, _ = models.tune_ridge(rows)
-    out = models.forecast_rows(rows, encoder, model, f"Ridge (alpha={alpha})", 1)
-    return out.filter(F.col("split") == splits.TEST)
+    """Test forecasts of the ridge model with the best strength, at every horizon."""
+    parts = []
+    for horizon in fd.HORIZONS:
+        rows = _horizon_rows(v, horizon, "ridge_rows")
+        encoder, model, alpha, _ = models.tune_ridge(rows)
+        parts.append(models.forecast_rows(rows, encoder, model, f"Ridge (alpha={alpha})", horizon))
+    return reduce(DataFrame.unionByName, parts).filter(F.col("split") == splits.TEST)
+
+
+def _boosted(v: View, horizon: int) -> DataFrame:
+    """Metrics and residual spread of the best of the three configurations."""
+    rows = _horizon_rows(v, horizon, "tree_rows", TREE_ROWS)
+    encoder, model, name, _ = models.tune_trees(rows)
+    out = models.forecast_rows(rows, encoder, model, f"Boosted ({name})", horizon)
+    return evaluate.forecast_metrics(out, ["model", "horizon", "split"])
 
 
 @query
 def gbt_forecast(v: View) -> DataFrame:
-    """Test metrics and residual spread at t+1 of boosted trees."""
-    rows = staged(models.horizon_rows(v.demand_features, 1, TRAIN_END, VAL_END), "tree_rows")
-    config = {**models.TREE_CONFIGS[0], "rounds": QUERY_ROUNDS}
-    encoder, model, name, _ = models.tune_trees(rows, [config])
-    out = models.forecast_rows(rows, encoder, model, f"Boosted ({name})", 1)
-    return evaluate.forecast_metrics(out, ["model", "horizon", "split"])
+    return _boosted(v, 1)
+
+
+@query
+def gbt_forecast_7(v: View) -> DataFrame:
+    return _boosted(v, 7)
+
+
+@query
+def gbt_forecast_14(v: View) -> DataFrame:
+    return _boosted(v, 14)
+
+
+@query
+def gbt_forecast_28(v: View) -> DataFrame:
+    return _boosted(v, 28)
 
 
 @query
@@ -1084,10 +1109,8 @@ def inventory_classifiers(v: View) -> DataFrame:
         ),
         "stockout_rows",
     )
-    _, _, metrics = models.fit_candidates(
-        rows, splits.INVENTORY_CATEGORICAL, splits.INVENTORY_FEATURES, ("logistic", "random_forest"), QUERY_ROUNDS
-    )
-    return metrics
+    rows = models.bounded(rows, SERIES_KEY, TREE_ROWS)
+    return models.fit_candidates(rows, splits.INVENTORY_CATEGORICAL, splits.INVENTORY_FEATURES)[2]
 
 
 @query
@@ -1101,7 +1124,8 @@ def supplier_classifiers(v: View) -> DataFrame:
         "late_rows",
     )
     categorical = [c for c in splits.SUPPLIER_CATEGORICAL if c != "supplier_id"]
-    encoder, fitted, metrics = models.fit_candidates(rows, categorical, features, ("logistic", "boosted"), QUERY_ROUNDS)
+    bounded = models.bounded(rows, ["po_id"], TREE_ROWS)
+    encoder, fitted, metrics = models.fit_candidates(bounded, categorical, features, settings=models.SUPPLIER_SETTINGS)
     best = models.best_family(metrics)
     tuned = models.calibrate(encoder, fitted[best], rows.filter(F.col("split") == splits.VALIDATION))
     test = tuned.score(rows.filter(F.col("split") == splits.TEST)).select("label", "score")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyspark.operators import evaluate, splits
+from supplyspark.session import staged
 
 # Ridge strengths and boosted-tree candidates.
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 500.0, 1000.0)
@@ -28,6 +29,17 @@ TREE_CONFIGS = (
     {"name": "deep_expressive", "rounds": 120, "depth": 6, "step": 0.06, "subsample": 0.8, "min_rows": 3},
 )
 SEED = 42
+# Classifier settings of the two risk models.
+INVENTORY_SETTINGS = {
+    "logistic": {"c": 0.5},
+    "random_forest": {"trees": 120, "depth": 8, "min_rows": 15},
+    "boosted": {"rounds": 100, "depth": 5, "step": 0.08},
+}
+SUPPLIER_SETTINGS = {
+    "logistic": {"c": 1.0},
+    "random_forest": {"trees": 100, "depth": 6, "min_rows": 10},
+    "boosted": {"rounds": 80, "depth": 4, "step": 0.06},
+}
 
 
 @dataclass
@@ -46,7 +58,7 @@ class Encoder:
     def fit(self, train: DataFrame) -> Encoder:
         doubles = train.select(*[F.col(c).cast("double").alias(c) for c in self.numeric], *self.categorical)
         self._filled = [f"{c}__f" for c in self.numeric]
-        self._imputer = Imputer(strategy="median", inputCols=list(self.numeric), outputCols=self._filled).fit(doubles)
+        self._imputer = Imputer(strategy="median", relativeError=0.0, inputCols=list(self.numeric), outputCols=self._filled).fit(doubles)
         self._levels: dict[str, list[str]] = {}
         for c in self.categorical:
             known = doubles.select(F.coalesce(c, F.lit("missing")).alias(c))
@@ -88,6 +100,19 @@ def horizon_rows(features: DataFrame, horizon: int, train_end: str, val_end: str
     return rows.filter(warm).select(*keys, *wanted, F.col(target).cast("double").alias("label"))
 
 
+def bounded(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """At most about ``limit`` training rows, chosen by the hash of their keys; all rows of the other splits.
+
+    Fitting is iterative, so its cost is bounded by a stated number of labelled
+    rows. Validation and test rows are never left out.
+    """
+    n = _part(rows, splits.TRAIN).count()
+    if n <= limit:
+        return rows
+    drawn = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(limit / n * (1 << 30))
+    return rows.filter((F.col("split") != splits.TRAIN) | drawn)
+
+
 def _part(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("split") == name)
 
@@ -194,14 +219,21 @@ def with_family(importances: DataFrame, families) -> DataFrame:
     return importances.withColumn("family", out.otherwise("Other"))
 
 
-def _learner(family: str, n: int, rounds: int | None, seed: int, c: float = 0.5):
+def _learner(family: str, n: int, settings: Mapping, rounds: int | None, seed: int):
     common = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight"}
+    own = settings[family] if family in settings else {}
     if family == "logistic":
-        return LogisticRegression(maxIter=1000, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, **common)
+        return LogisticRegression(
+            maxIter=1000, regParam=1.0 / (own["c"] * n), elasticNetParam=0.0, standardization=False, **common
+        )
     if family == "random_forest":
-        return RandomForestClassifier(numTrees=rounds or 120, maxDepth=8, minInstancesPerNode=15, seed=seed, **common)
+        return RandomForestClassifier(
+            numTrees=rounds or own["trees"], maxDepth=own["depth"], minInstancesPerNode=own["min_rows"], seed=seed, **common
+        )
     if family == "boosted":
-        return GBTClassifier(maxIter=rounds or 100, maxDepth=5, stepSize=0.08, subsamplingRate=0.8, seed=seed, **common)
+        return GBTClassifier(
+            maxIter=rounds or own["rounds"], maxDepth=own["depth"], stepSize=own["step"], subsamplingRate=0.8, seed=seed, **common
+        )
     raise ValueError(f"unknown model family: {family}")
 
 
@@ -218,8 +250,9 @@ def fit_candidates(
     families: Sequence[str] = ("logistic", "random_forest", "boosted"),
     rounds: int | None = None,
     seed: int = SEED,
+    settings: Mapping = INVENTORY_SETTINGS,
 ):
-    """Fit every family on class-balanced training rows.
+    """Fit every family on class-balanced training rows. ``rounds`` overrides the number of trees.
 
     Returns the encoder, the fitted models and one row of validation metrics
     per model.
@@ -234,12 +267,13 @@ def fit_candidates(
     weighted = train.withColumn("weight", F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * neg)))
     models, scored = {}, []
     for family in families:
-        model = _learner(family, n, rounds, seed).fit(weighted)
+        model = _learner(family, n, settings, rounds, seed).fit(weighted)
         models[family] = model
         scored.append(
             model.transform(val).select(F.lit(family).alias("model"), "label", positive_probability().alias("score"))
         )
-    metrics = evaluate.evaluate_classifier(reduce(DataFrame.unionByName, scored), ["model"])
+    metrics = staged(evaluate.evaluate_classifier(reduce(DataFrame.unionByName, scored), ["model"]), "classifier_metrics")
+    encoded.unpersist()
     return encoder, models, metrics
 
 
