@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from oracle.star import sql, view
+import re
+
+from oracle.star import VIEWS, names_in, sql, view
 
 ORACLE: dict[str, str] = {}
 TRAIN_END, VAL_END, CUTOFF = "DATE '1999-06-30'", "DATE '2000-06-30'", "2000-06-30"
@@ -609,9 +611,60 @@ put("table_profile", " UNION ALL ".join([
 ]))
 
 # ----------------------------------------------------------------------- leakage
-for _name, _domain in (("leakage_demand", "demand"), ("leakage_inventory", "inventory"), ("leakage_supplier", "supplier"), ("leakage_rollup", "daily_demand")):
-    put(_name, f"SELECT '{_domain}' AS domain, '{CUTOFF}' AS cutoff_date, 0.0::DOUBLE AS max_abs_diff, CAST(0 AS BIGINT) AS violating_columns, true AS is_leakage_free")
-put("lag_alignment", "SELECT 0.0::DOUBLE AS max_abs_diff, CAST(0 AS BIGINT) AS mismatches, true AS aligned")
+def rebuilt(target: str, base: str, changes: str) -> str:
+    """A copy of view ``target`` for which the rows of ``base`` have been changed."""
+    touched, path = {base}, {target}
+    for _ in VIEWS:
+        touched |= {n for n in VIEWS if touched & set(names_in(VIEWS[n]))}
+        path |= {n for p in path for n in names_in(VIEWS[p])}
+    copied = (touched & path) - {base}
+    mark = f"__{target}"
+    view(base + mark, f"SELECT * REPLACE ({changes}) FROM {base}")
+    word = re.compile(r"\b(" + "|".join(copied | {base}) + r")\b")
+    for n in copied:
+        view(n + mark, word.sub(lambda m: m[1] + mark, VIEWS[n]))
+    return target + mark
+
+
+def leak(name: str, domain: str, target: str, base: str, changes: dict[str, str], keys: str, columns: list[str], day: str = "date") -> None:
+    """Build the features twice, the second time with a changed future, and compare the past."""
+    future = f"{day} > DATE '{CUTOFF}'"
+    other = rebuilt(target, base, ", ".join(f"CASE WHEN {future} THEN {e} ELSE {c} END AS {c}" for c, e in changes.items()))
+    gaps = ", ".join(f"coalesce(max(abs(coalesce(a.{c}, 0)::DOUBLE - coalesce(b.{c}, 0)::DOUBLE)), 0.0::DOUBLE) AS g{i}" for i, c in enumerate(columns))
+    bad = " + ".join(f"CAST(g{i} > 1e-6::DOUBLE AS BIGINT)" for i in range(len(columns)))
+    put(name, f"""
+    SELECT '{domain}' AS domain, '{CUTOFF}' AS cutoff_date, greatest({", ".join(f"g{i}" for i in range(len(columns)))}, 0.0::DOUBLE) AS max_abs_diff,
+           CAST({bad} AS BIGINT) AS violating_columns, ({bad}) = 0 AS is_leakage_free
+    FROM (SELECT {gaps} FROM {target} a JOIN {other} b USING ({keys}) WHERE a.{day} <= DATE '{CUTOFF}')
+    """)
+
+
+view("demand_built", f"SELECT *, {cols(DYN)} FROM demand_wide")
+view("demand_leaking", f"SELECT {K}, lead({X}, 1) OVER ({W}) AS next_day FROM grid")
+view("rollup_built", f"SELECT {K}, {cols(_SP)} FROM daily_demand")
+view("inv_built", "SELECT * FROM inv_features")
+view("sup_built", "SELECT * FROM sup_features")
+_SHOCK = {"demand_requested": "demand_requested + 10000"}
+leak("leakage_demand", "demand", "demand_built", "grid", _SHOCK, K, [X, *LAGC, *ROLLC, *DYN])
+leak("leakage_detected", "demand", "demand_leaking", "grid", _SHOCK, K, ["next_day"])
+leak("leakage_rollup", "daily_demand", "rollup_built", "daily_demand", {X: f"{X} * 10 + 500"}, K, list(_SP))
+leak(
+    "leakage_inventory", "inventory", "inv_built", "fact_inventory",
+    {"ending_inventory": "0", "stockout_flag": "1", "lost_sales_quantity": "5000"}, K,
+    [c for c in (*INV1, *INV2) if not c.startswith(("target_", "is_target_"))] + ["warehouse_total_inv_lag1", "warehouse_utilization_7d"],
+)
+leak(
+    "leakage_supplier", "supplier", "sup_built", "fact_purchase_orders",
+    {"delay_days": "delay_days + 50", "actual_lead_time_days": "actual_lead_time_days + 50", "on_time_flag": "0", "otif_flag": "0"}, "po_id",
+    ["hist_order_count", "hist_order_volume", "hist_on_time_rate", "hist_otif_rate", "hist_fill_rate", "hist_mean_delay", "hist_std_delay",
+     "hist_p90_delay", "hist_p95_delay", "recent_delay_30d", "recent_otif_30d", "recent_otif_90d", "delay_trend", "supplier_active_orders_count",
+     "supplier_active_volume", "supplier_capacity_pressure", "days_since_last_delivery", "is_cold_start"], "order_date",
+)
+put("lag_alignment", f"""
+SELECT coalesce(max(abs(l - p)), 0.0::DOUBLE) AS max_abs_diff, count(*) FILTER (l IS DISTINCT FROM p) AS mismatches, count(*) FILTER (l IS DISTINCT FROM p) = 0 AS aligned
+FROM (SELECT g.demand_lag_1::DOUBLE AS l, q.{X}::DOUBLE AS p FROM demand_wide g
+      LEFT JOIN grid q ON q.product_id = g.product_id AND q.warehouse_id = g.warehouse_id AND q.date = g.date - 1)
+""")
 
 # ---------------------------------------------------------------------- forecasts
 view("series_rows", f"SELECT {K}, category, demand_requested, {SPLIT.format(d='date')} AS split FROM grid")

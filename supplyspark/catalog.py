@@ -744,15 +744,16 @@ def leakage_demand(v: View) -> DataFrame:
 
 
 @query
-def leakage_inventory(v: View) -> DataFrame:
-    start = v.star.dim_date.agg(F.min("date")).scalar()
-    past_only = ["ending_inventory_lag1", "stockout_count_28d", "consecutive_stockout_days", "lost_sales_28d",
-                 "warehouse_utilization_7d", "inventory_days_of_supply"]
+def leakage_detected(v: View) -> DataFrame:
+    """A builder that looks a day ahead, which the check has to find."""
+    tomorrow = series.lead("demand_requested", 1).alias("next_day")
+    return leakage.demand_leakage(lambda d: d.select(*SERIES_KEY, tomorrow), v.grid, LEAK_CUTOFF)
 
-    def build(d: DataFrame) -> DataFrame:
-        return fi.inventory_features(d, start=start).select(*SERIES_KEY, *past_only)
 
-    return leakage.inventory_leakage(build, v.ledger_base, LEAK_CUTOFF)
+@query
+def leakage_inventory(v: View) -> DataFrame:
+    start = v.star.dim_date.agg(F.min("date")).scalar()
+    return leakage.inventory_leakage(lambda d: fi.inventory_features(d, start=start), v.ledger_base, LEAK_CUTOFF)
 
 
 @query

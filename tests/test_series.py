@@ -86,6 +86,39 @@ def test_dense_grid_fills_gaps_without_shuffling_the_grid(spark):
     assert "Exchange" not in body  # window and merge reuse the hashing of the inputs
 
 
+def test_grid_and_windows_are_spread(spark):
+    """25 products in 5 places: every task gets a few times the mean share at most."""
+    products = spark.range(25).selectExpr("concat('P', id) AS product_id")
+    places = spark.range(5).selectExpr("concat('W', id) AS warehouse_id")
+    days = spark.createDataFrame([(DAY0,), (DAY0 + dt.timedelta(999),)], "date date")
+    sparse = spark.createDataFrame([("P1", "W1", DAY0, 5)], "product_id string, warehouse_id string, date date, demand_requested long")
+    grid = ledger.align_to_grid(ledger.dense_grid(products, places, days), sparse, {"demand_requested": 0})
+    lagged = grid.withColumn("x", series.lag("demand_requested", 1))
+    shares = [r["count"] for r in lagged.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 125_000 and len(shares) >= 6 and max(shares) <= 4 * 125_000 / 8
+
+
+def test_events_for_all_reach_every_category(spark):
+    """A seventh category and a sixth warehouse get the events that name ALL."""
+    from supplyspark.sources.adapter import StarSchema
+
+    star = StarSchema(spark, "/root/testdata/sf0.001")
+    star.__dict__["dim_product"] = star.dim_product.withColumn("category", F.lit("NEW"))
+    extra = star.dim_warehouse.limit(1).withColumn("warehouse_id", F.lit("WH-9"))
+    star.__dict__["dim_warehouse"] = star.dim_warehouse.unionByName(extra)
+    found = star._event_of_day().filter("event_id = 'EVT-06'")
+    assert found.select("category").distinct().collect()[0][0] == "NEW"
+    assert "WH-9" in {r[0] for r in found.select("warehouse_id").distinct().collect()}
+
+
+def test_holidays_of_every_year(spark):
+    from supplyspark.operators.features import demand
+
+    df = spark.createDataFrame([(dt.date(1996, 12, 25),), (dt.date(1999, 12, 25),), (dt.date(1999, 12, 26),)], "date date")
+    flags = df.withColumns(demand.calendar_feature_columns(["12-25"])).orderBy("date").collect()
+    assert [r["holiday_flag"] for r in flags] == [1, 1, 0]
+
+
 @pytest.mark.parametrize("p", [0.1, 0.5, 0.9])
 def test_exact_percentiles(spark, p):
     rng = np.random.default_rng(5)

@@ -106,3 +106,26 @@ def test_classifier_is_calibrated_and_deterministic(spark):
     assert test.agg(F.avg("score")).first()[0] == pytest.approx(y[1200:].mean(), abs=0.08)
     again = models.fit_candidates(rows, ["g"], ["x", "g"], ("logistic", "random_forest"), rounds=5)[2]
     assert sorted(metrics.collect()) == sorted(again.collect())
+
+
+def test_lines_dates_and_reconciliation(spark):
+    """No order line is lost, the calendar covers every fact, and every check passes."""
+    from supplyspark import catalog
+    from supplyspark.sources.adapter import StagedStar
+
+    folder = "/root/testdata/sf0.001"
+    view = catalog.View(StagedStar(spark, folder))
+    orders = view.star.fact_purchase_orders
+    assert orders.count() == spark.read.parquet(f"{folder}/lineitem.parquet").count() == orders.select("po_id").distinct().count()
+    last = orders.agg({"actual_delivery_date": "max"}).first()[0]
+    assert view.star.dim_date.agg({"date": "max"}).first()[0] >= last
+    assert all(r["passed"] for r in catalog.QUERIES["reconcile_all"](view).collect())
+
+
+def test_bounded_training_rows(spark):
+    from supplyspark.plans import models
+
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 5 = 0 THEN 'VAL' ELSE 'TRAIN' END AS split")
+    found = {r["split"]: r["count"] for r in models.bounded(rows, ["id"], 1000).groupBy("split").count().collect()}
+    assert found["VAL"] == 1000 and 850 < found["TRAIN"] < 1150
+    assert models.bounded(rows, ["id"], 4000).count() == 5000
