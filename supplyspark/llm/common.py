@@ -17,7 +17,7 @@ from supplyspark.session import shared_dir, staged, tune  # noqa: F401
 # Rows handed to Python at once, and bytes of text worked on at once. Both only
 # bound memory; results do not depend on them.
 BATCH_ROWS = 1000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
