@@ -185,7 +185,8 @@ class GraphIndex:
                 {"ids": [part["node"].to_numpy("i8").tobytes()], "data": [data.tobytes()], "graph": [graph.astype("i4").tobytes()], "start": [start]}
             )
 
-        sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)))
+        # A partition for each shard: the rows are few and the work on them isn't.
+        sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards))).repartition(shards, "shard")
         self.shards = staged(sharded.groupBy("shard").applyInPandas(build, "ids binary, data binary, graph binary, start long"), "graphs")
         self.rows = rows
 
