@@ -660,6 +660,11 @@ leak(
      "hist_p90_delay", "hist_p95_delay", "recent_delay_30d", "recent_otif_30d", "recent_otif_90d", "delay_trend", "supplier_active_orders_count",
      "supplier_active_volume", "supplier_capacity_pressure", "days_since_last_delivery", "is_cold_start"], "order_date",
 )
+# Column counts of the feature tables: keys, descriptions, features, targets and flags.
+put("feature_summary", " UNION ALL ".join(
+    f"SELECT '{d}' AS domain, (SELECT count(*) FROM {t}) AS n_rows, {n} AS n_columns, (SELECT is_leakage_free FROM ({ORACLE[q]})) AS is_leakage_free"
+    for d, t, n, q in (("demand", "grid", 55, "leakage_demand"), ("inventory", "fact_inventory", 53, "leakage_inventory"), ("supplier", "fact_purchase_orders", 58, "leakage_supplier"))
+))
 put("lag_alignment", f"""
 SELECT coalesce(max(abs(l - p)), 0.0::DOUBLE) AS max_abs_diff, count(*) FILTER (l IS DISTINCT FROM p) AS mismatches, count(*) FILTER (l IS DISTINCT FROM p) = 0 AS aligned
 FROM (SELECT g.demand_lag_1::DOUBLE AS l, q.{X}::DOUBLE AS p FROM demand_wide g
@@ -1015,7 +1020,7 @@ UNION ALL SELECT scenario_name, 'dual_source_cap_' || product_id || '_' || suppl
 UNION ALL SELECT scenario_name, 'service_level_floor', 'INEQUALITY', sum(shortage_quantity), (1.0e0 - any_value(target)) * sum(demand) FROM plan_flow_rows JOIN scenarios USING (scenario_name) GROUP BY scenario_name
 """)
 put("plan_audit", f"""
-SELECT *, CASE WHEN constraint_type = 'EQUALITY' THEN abs(slack) > 0.001e0 ELSE slack < -0.001e0 END AS is_violated
+SELECT *, abs(slack) < 0.0001::DOUBLE AS is_binding, CASE WHEN constraint_type = 'EQUALITY' THEN abs(slack) > 0.001e0 ELSE slack < -0.001e0 END AS is_violated
 FROM (SELECT scenario_name, constraint_name, constraint_type, {he('used', 6)} + 0.0e0 AS used, {he('bound', 6)} AS bound, {he('bound - used', 6)} + 0.0e0 AS slack FROM audit_rows)
 """)
 view("sweeps", "SELECT * FROM (VALUES " + ", ".join(

@@ -743,6 +743,18 @@ def leakage_demand(v: View) -> DataFrame:
     )
 
 
+@query
+def feature_summary(v: View) -> DataFrame:
+    """Rows, columns and leakage verdict of each feature table."""
+    tables = {"demand": v.demand_features, "inventory": v.inventory_features, "supplier": v.supplier_features}
+    sizes = [
+        df.agg(F.lit(name).alias("domain"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+        for name, df in tables.items()
+    ]
+    verdicts = reduce(DataFrame.unionByName, [leakage_demand(v), leakage_inventory(v), leakage_supplier(v)])
+    return reduce(DataFrame.unionByName, sizes).join(verdicts.select("domain", "is_leakage_free"), "domain")
+
+
 @query
 def leakage_detected(v: View) -> DataFrame:
     """A builder that looks a day ahead, which the check has to find."""
@@ -992,7 +1004,7 @@ def plan_audit(v: View) -> DataFrame:
     rows = policy.plan_audit(
         v.scenario_positions, p["flows"], p["transfers"], p["orders"], s.dim_supplier, s.dim_warehouse, s.dim_product
     )
-    out = _rounded(rows.drop("is_binding"))
+    out = _rounded(rows.drop("is_binding")).withColumn("is_binding", F.abs("slack") < policy.BINDING)
     return out.withColumn("is_violated", F.when(F.col("constraint_type") == "EQUALITY", F.abs("slack") > 0.001).otherwise(F.col("slack") < -0.001))
 
 
