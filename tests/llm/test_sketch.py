@@ -78,7 +78,7 @@ def test_estimate(similarity):
     rng = np.random.default_rng(3)
     guesses, kept = [], 0
     for _ in range(40):
-        common = int(400 * similarity / (2 - similarity) * 2)
+        common = round(800 * similarity / (1 + similarity))
         a, b = (rng.integers(0, 1 << 63, 400, dtype=np.uint64) for _ in range(2))
         b[:common] = a[:common]
         r = sketch.registers(np.concatenate([a, b]), np.array([0, 400, 800]))
