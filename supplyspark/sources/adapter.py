@@ -252,9 +252,7 @@ class StarSchema:
         parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_id"))
         categories = self.dim_product.select("product_id", "category")
         rows = (
-            line.join(orders, "l_orderkey")
-            .join(customers, "o_custkey")
-            .join(nations, "c_nationkey")
+            line.join(orders.join(customers.join(nations, "c_nationkey"), "o_custkey"), "l_orderkey")
             .join(parts, "l_partkey")
             .select(
                 "date",
