@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,23 +22,44 @@ def histogram_percentiles(
     )
 
 
+def _celled(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """Rows as (keys, ``_v``, ``_cell``); cells rise with the value."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    quartiles = F.percentile_approx("_v", [0.25, 0.5, 0.75], 1000)
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), quartiles.alias("_quartiles"))
+    unit = F.coalesce(
+        F.nullif(F.col("_quartiles")[2] - F.col("_quartiles")[0], F.lit(0.0)), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(1.0)
+    )
+
+    def scaled(column: str) -> Column:
+        x = (F.col(column) - F.col("_quartiles")[1]) / unit
+        return F.signum(x) * F.log1p(F.abs(x))
+
+    width = F.nullif(scaled("_hi") - scaled("_lo"), F.lit(0.0))
+    cell = F.least(F.floor((scaled("_v") - scaled("_lo")) / width * buckets), F.lit(buckets - 1))
+    return _join(rows, span, keys).withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("_lo", "_hi", "_quartiles")
+
+
+def cell_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+    """Rows in each cell of the rank search below."""
+    return _celled(df, list(keys), value, buckets).groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 4096
 ) -> DataFrame:
     """Percentiles of arbitrary doubles, equal to linear interpolation on the
     sorted group.
 
-    Rank search in three steps: the group range is cut into ``buckets`` equal
-    cells and counted; running counts over the cells tell which cells hold the
+    Rank search in three steps: the group range is cut into ``buckets`` cells
+    and counted; running counts over the cells tell which cells hold the
     wanted ranks; only rows of those cells are ranked. No task sees more than
-    one cell of distinct values.
+    one cell of distinct values. Cells are equal on a logarithmic scale around
+    the approximate median, in units of the approximate quartile distance, so a
+    far outlier adds a few empty cells and does not press the others together.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
-    celled = _join(rows, span, keys).withColumn("_cell", F.coalesce(cell, F.lit(0)).cast("int")).drop("_lo", "_hi")
+    celled = _celled(df, keys, value, buckets)
     counts = celled.groupBy(*keys, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
     cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
     upto = Window.partitionBy(*keys).orderBy("_cell")

@@ -131,6 +131,16 @@ def test_exact_percentiles(spark, p):
     assert whole == pytest.approx(np.percentile(values, p * 100), abs=1e-9)
 
 
+def test_percentiles_with_a_far_outlier_have_no_heavy_cell(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=20_000), [1e12]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = quantiles.exact_percentiles(df, [], "v", {"q": 0.3})
+    assert got.first().q == pytest.approx(np.percentile(values, 30), abs=1e-9)
+    cells = quantiles.cell_counts(df.select("v"), [], "v")
+    assert cells.agg(F.max("rows")).first()[0] < 0.02 * len(values)
+
+
 def test_supplier_history_equals_brute_force(spark):
     rng = random.Random(9)
     rows = []
