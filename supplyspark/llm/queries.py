@@ -13,6 +13,7 @@ from supplyspark.llm.chat import ESCAPE, Template, format_turns, read_back, text
 from supplyspark.llm.common import read, texts_of
 from supplyspark.llm.exact import exact_groups
 from supplyspark.llm.language_model import score, train
+from supplyspark.llm.materialize import read_shards, write_shards
 from supplyspark.llm.neighbours import GraphIndex
 from supplyspark.llm.packing import pack
 from supplyspark.llm.pii import BASE_KINDS, find_personal_data
@@ -37,6 +38,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each sequence, read back from the shards."""
+    docs = read(spark, sf_dir, "documents")
+    manifest = write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return read_shards(manifest).select("slot", "shard", "byte_offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -94,6 +102,7 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_packing": op3_packing,
     "op4_chat_format": op4_chat_format,
