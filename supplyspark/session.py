@@ -10,6 +10,7 @@ from collections.abc import Callable
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans rely on.
@@ -67,10 +68,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    _staged_paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_staged_paths: list[str] = []
+
+
+def release_staged() -> int:
+    """Remove every folder that ``staged`` has written in this process; returns how many.
+
+    For the end of a session: results that still read them can't be used afterwards.
+    """
+    removed = 0
+    while _staged_paths:
+        path = _staged_paths.pop()
+        store, place = FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        if store.get_file_info(place).type == FileType.Directory:
+            store.delete_dir(place)
+            removed += 1
+    return removed
+
+
 class staged_property:
     """A derived table that is written once, on first use, and then re-read.
 

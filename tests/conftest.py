@@ -10,7 +10,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 @pytest.fixture(scope="session")
 def spark():
-    from supplyspark.session import build_session
+    from supplyspark.session import build_session, release_staged
 
     session = build_session(
         "tests",
@@ -26,4 +26,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release_staged()
     session.stop()

@@ -129,3 +129,15 @@ def test_bounded_training_rows(spark):
     found = {r["split"]: r["count"] for r in models.bounded(rows, ["id"], 1000).groupBy("split").count().collect()}
     assert found["VAL"] == 1000 and 850 < found["TRAIN"] < 1150
     assert models.bounded(rows, ["id"], 4000).count() == 5000
+
+
+def test_staged_folders_can_be_released(spark, monkeypatch):
+    import os
+
+    from supplyspark import session
+
+    monkeypatch.setattr(session, "_staged_paths", [])
+    held = session.staged(spark.range(3), "numbers")
+    folder = held.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert held.count() == 3 and os.path.isdir(folder)
+    assert session.release_staged() == 1 and not os.path.exists(folder)
