@@ -71,6 +71,16 @@ def stride(size: int, width: int) -> int:
     return 4 + size * width
 
 
+def _as_binary(rows: np.ndarray) -> pa.Array:
+    """A binary array with one value for each row of bytes."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _lengths(block: bytes, stride_: int) -> np.ndarray:
+    return np.ndarray(len(block) // stride_, dtype="<u4", buffer=block, strides=(stride_,)).astype(np.int64)
+
+
 def _documents(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[np.ndarray]:
     use = _encoder(path, pattern)
     for batch in batches:
@@ -115,19 +125,26 @@ def write_shards(
     order = Permutation(n, key)
     shards = math.ceil(n / shard_sequences)
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    width = np.dtype(np.uint16 if _encoder(path, pattern).fast.n_vocab <= 1 << 16 else np.uint32)
+    record_bytes = stride(size, width.itemsize)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        width = np.uint16 if _encoder(path, pattern).fast.n_vocab <= 1 << 16 else np.uint32
         done, held, held_n, tokens = 0, [], 0, 0
 
-        def out(sequences: list[np.ndarray]) -> pa.RecordBatch:
+        def out(stream: np.ndarray) -> pa.RecordBatch:
+            """Records of the sequences that ``stream`` is cut into; the last may be padded."""
             nonlocal done
-            slots = order.slot(np.arange(starts[part] + done, starts[part] + done + len(sequences)))
-            done += len(sequences)
-            blobs = [np.uint32(len(s)).tobytes() + np.pad(s, (0, size - len(s)), constant_values=END_ID).astype(width).tobytes() for s in sequences]
+            n_out = -(-len(stream) // size)
+            slots = order.slot(np.arange(starts[part] + done, starts[part] + done + n_out))
+            done += n_out
+            padded = np.full(n_out * size, END_ID, dtype=width)
+            padded[: len(stream)] = stream
+            lengths = np.full(n_out, size, dtype="<u4")
+            lengths[-1] = len(stream) - (n_out - 1) * size
+            records = np.concatenate([lengths.view(np.uint8).reshape(n_out, 4), padded.view(np.uint8).reshape(n_out, -1)], axis=1)
             return pa.RecordBatch.from_arrays(
-                [pa.array(slots // shard_sequences, pa.int32()), pa.array(slots), pa.array(blobs, pa.binary())], ["shard", "slot", "record"]
+                [pa.array(slots // shard_sequences, pa.int32()), pa.array(slots), _as_binary(records)], ["shard", "slot", "record"]
             )
 
         for ids in _documents(batches, path, pattern):
@@ -136,13 +153,12 @@ def write_shards(
             tokens += len(ids)
             if held_n >= 256 * size:
                 stream = np.concatenate(held)
-                whole = len(stream) // size
-                yield out(list(stream[: whole * size].reshape(whole, size)))
-                held = [stream[whole * size :]]
+                whole = len(stream) // size * size
+                yield out(stream[:whole])
+                held = [stream[whole:]]
                 held_n = len(held[0])
         if held_n:
-            stream = np.concatenate(held)
-            yield out([stream[a : a + size] for a in range(0, len(stream), size)])
+            yield out(np.concatenate(held))
         if tokens != counted.get(part, 0):
             raise RuntimeError("the scan was split differently than in the counting pass")
 
@@ -152,23 +168,26 @@ def write_shards(
 
         def close() -> pa.RecordBatch:
             file.close()
-            row = [[v] for v in (now["shard"], now["path"], now["first"], now["n"], now["stride"], (now["stride"] - 4) // size, now["tokens"])]
+            row = [[v] for v in (now["shard"], now["path"], now["first"], now["n"], now["stride"], width.itemsize, now["tokens"])]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in MANIFEST.split(", ")])
 
         for batch in batches:
-            for shard, slot, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or now["shard"] != shard:
+            shards_, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            firsts = np.flatnonzero(np.diff(shards_, prepend=-1)) if len(shards_) else []
+            for a, b in zip(firsts, [*firsts[1:], len(shards_)], strict=True):
+                if now is None or now["shard"] != shards_[a]:
                     if now is not None:
                         yield close()
                     # A new name for every attempt; only finished tasks report theirs.
-                    name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
+                    name = f"shard-{shards_[a]:06d}-{uuid.uuid4().hex}.bin"
                     fs.create_dir(root, recursive=True)
                     file = fs.open_output_stream(f"{root}/{name}")
-                    now = {"shard": shard, "path": f"{folder}/{name}", "first": slot, "n": 0, "stride": len(record), "tokens": 0}
-                file.write(record)
-                now["n"] += 1
-                now["tokens"] += int.from_bytes(record[:4], "little")
+                    now = {"shard": int(shards_[a]), "path": f"{folder}/{name}", "first": int(slots[a]), "n": 0, "stride": record_bytes, "tokens": 0}
+                block = b"".join(batch.column(2).slice(a, b - a).to_pylist())
+                file.write(block)
+                now["n"] += int(b - a)
+                now["tokens"] += int(_lengths(block, record_bytes).sum())
         if now is not None:
             yield close()
 
@@ -177,35 +196,44 @@ def write_shards(
     return staged(ranged.mapInArrow(write, MANIFEST), "manifest")
 
 
-def read_records(path: str, first_slot: int, stride_: int, width: int, from_slot: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) of a shard in order, from ``from_slot`` on."""
+def _blocks(path: str, offset: int, stride_: int, slot: int) -> Iterator[tuple[int, bytes]]:
+    """(first slot, bytes) of a file from a byte offset on, a bounded number of whole records at a time."""
     fs, name = place(path)
-    kind = np.uint16 if width == 2 else np.uint32
-    slot = first_slot if from_slot is None else max(first_slot, from_slot)
     with fs.open_input_file(name) as file:
-        file.seek((slot - first_slot) * stride_)
+        file.seek(offset)
         while block := file.read(256 * stride_):
-            for at in range(0, len(block), stride_):
-                n = int.from_bytes(block[at : at + 4], "little")
-                yield slot, np.frombuffer(block, kind, n, at + 4).astype("<u4")
-                slot += 1
+            yield slot, block
+            slot += len(block) // stride_
+
+
+def read_records(path: str, first_slot: int, stride_: int, width: int, from_slot: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) of a shard in order, from ``from_slot`` on."""
+    kind = np.uint16 if width == 2 else np.uint32
+    start = first_slot if from_slot is None else max(first_slot, from_slot)
+    for slot, block in _blocks(path, (start - first_slot) * stride_, stride_, start):
+        for k, n in enumerate(_lengths(block, stride_).tolist()):
+            yield slot + k, np.frombuffer(block, kind, n, k * stride_ + 4).astype("<u4")
 
 
 def read_shards(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
     """``slot``, ``shard``, ``byte_offset``, ``n_tokens``, ``ids`` of all records from ``from_slot`` on, read from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "shard", "byte_offset", "n_tokens", "ids"]
         for batch in batches:
             for row in batch.to_pylist():
-                rows: list[tuple] = []
-                for slot, ids in read_records(row["path"], row["first_slot"], row["stride"], row["width"], from_slot):
-                    rows.append((slot, row["shard"], (slot - row["first_slot"]) * row["stride"], len(ids), ids.tobytes()))
-                    if len(rows) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                step, first = row["stride"], max(row["first_slot"], from_slot)
+                for slot, block in _blocks(row["path"], (first - row["first_slot"]) * step, step, first):
+                    n = len(block) // step
+                    lengths = _lengths(block, step)
+                    bodies = np.frombuffer(block, np.uint8).reshape(n, step)[:, 4:]
+                    ids = np.ascontiguousarray(bodies).view(np.uint16 if row["width"] == 2 else np.uint32).astype("<u4")
+                    whole = (lengths == ids.shape[1]).all()
+                    blobs = _as_binary(ids.view(np.uint8)) if whole else pa.array([r[:k].tobytes() for r, k in zip(ids, lengths, strict=True)], pa.binary())
+                    slots = np.arange(slot, slot + n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slots), pa.array(np.full(n, row["shard"])), pa.array((slots - row["first_slot"]) * step), pa.array(lengths), blobs],
+                        ["slot", "shard", "byte_offset", "n_tokens", "ids"],
+                    )
 
     wanted = manifest.filter(F.col("first_slot") + F.col("sequences") > from_slot)
     return wanted.mapInArrow(run, "slot long, shard long, byte_offset long, n_tokens long, ids binary")
