@@ -230,34 +230,10 @@ class View:
         return policy.coordinated_totals(p["flows"], p["transfers"], p["orders"])
 
     # --------------------------------------------------------------- quality
-    @staged_property
+    @property
     def raw_orders(self) -> DataFrame:
-        """Order lines before key de-duplication, in purchase-order shape.
-
-        The source repeats (order, line number) keys with different content,
-        which is the conflicting-key fault of real order files.
-        """
-        parts = self.star.raw("part").select(
-            F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_id")
-        )
-        return (
-            self.star.raw("lineitem")
-            .join(parts, "l_partkey")
-            .select(
-                F.concat_ws("-", F.lit("PO"), "l_orderkey", "l_linenumber").alias("po_id"),
-                F.col("l_shipdate").cast("date").alias("order_date"),
-                F.concat(F.lit("SUP-"), F.col("l_suppkey").cast("string")).alias("supplier_id"),
-                "product_id",
-                F.col("l_partkey").alias("line_part"),
-                F.col("l_quantity").cast("long").alias("quantity_received"),
-                # Returned lines carry no price, the fault the price repair is for.
-                F.when(F.col("l_returnflag") == "R", 0.0)
-                .otherwise(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 64.0 + 0.5).cast("double") / 64.0)
-                .alias("unit_cost"),
-                F.col("l_tax").alias("transport_cost"),
-            )
-            .withColumn("total_procurement_cost", F.col("quantity_received") * F.col("unit_cost"))
-        )
+        """Purchase orders as given: every order line under its own id."""
+        return self.star.fact_purchase_orders
 
     @staged_property
     def raw_demand(self) -> DataFrame:
@@ -281,10 +257,16 @@ class View:
         """Lazy: kept rows, quarantine and action counts are separate reads."""
         return cleaning.clean_demand(self.raw_demand, self.star.dim_product, self.star.dim_date)
 
+    @property
+    def order_rank(self) -> list[str]:
+        """Which of two conflicting rows of one po_id came first: by date, then by all other columns."""
+        return ["order_date", *(c for c in self.raw_orders.columns if c not in ("po_id", "order_date"))]
+
     @cached_property
     def cleaned_orders(self) -> cleaning.Cleaned:
-        order = ["order_date", "line_part", "supplier_id", "quantity_received", "unit_cost"]
-        return cleaning.clean_purchase_orders(self.raw_orders, self.star.dim_supplier, self.star.dim_product, order)
+        return cleaning.clean_purchase_orders(
+            self.raw_orders, self.star.dim_supplier, self.star.dim_product, self.order_rank
+        )
 
 
 QUERIES: dict[str, Callable[[View], DataFrame]] = {}
@@ -461,8 +443,7 @@ def cross_stage_demand(v: View) -> DataFrame:
 def cross_stage_cost(v: View) -> DataFrame:
     """On orders that already carry a price, cleaning only removes rows."""
     priced = v.raw_orders.filter(F.col("unit_cost") > 0)
-    order = ["order_date", "line_part", "supplier_id", "quantity_received", "unit_cost"]
-    c = cleaning.clean_purchase_orders(priced, v.star.dim_supplier, v.star.dim_product, order)
+    c = cleaning.clean_purchase_orders(priced, v.star.dim_supplier, v.star.dim_product, v.order_rank)
     out = reconcile.cross_stage_cost(priced, c.rows, c.quarantine)
     return out.select(*[half_even(x, 2).alias(x) if t == "double" else F.col(x) for x, t in out.dtypes])
 
