@@ -252,6 +252,12 @@ class View:
             "outlier_flag",
         )
 
+    @cached_property
+    def given_tables(self) -> dict[str, DataFrame]:
+        """All ten tables before cleaning."""
+        own = {"fact_demand": self.raw_demand, "fact_purchase_orders": self.raw_orders, "fact_inventory": self.star.ledger}
+        return self.star.tables() | own
+
     @cached_property
     def cleaned_demand(self) -> cleaning.Cleaned:
         """Lazy: kept rows, quarantine and action counts are separate reads."""
@@ -268,6 +274,11 @@ class View:
             self.raw_orders, self.star.dim_supplier, self.star.dim_product, self.order_rank
         )
 
+    @cached_property
+    def cleaned_tables(self) -> tuple[dict[str, DataFrame], dict[str, cleaning.Cleaned]]:
+        """All ten tables after cleaning, and the details of each fact."""
+        return cleaning.clean_all(self.given_tables, self.order_rank)
+
 
 QUERIES: dict[str, Callable[[View], DataFrame]] = {}
 
@@ -467,10 +478,7 @@ def declared_keys(v: View) -> DataFrame:
 
 @query
 def table_profile(v: View) -> DataFrame:
-    s = v.star
-    return quality.profile_all(
-        {"fact_demand": v.raw_demand, "fact_purchase_orders": v.raw_orders, "dim_supplier": s.dim_supplier}
-    )
+    return quality.profile_all(v.given_tables | {"fact_inventory": v.star.fact_inventory})
 
 
 @query
@@ -639,18 +647,14 @@ def split_bounds(v: View) -> DataFrame:
 
 
 # -------------------------------------------------------------------- data quality
+def _audited(v: View, tables: dict[str, DataFrame]) -> DataFrame:
+    span = v.star.dim_date.agg(F.count(F.lit(1))).scalar()
+    return quality.audit(tables, years=(1995, 2001), expected_days=span)
+
+
 @query
 def dq_issues(v: View) -> DataFrame:
-    s = v.star
-    tables = {
-        "dim_product": s.dim_product,
-        "dim_supplier": s.dim_supplier,
-        "dim_warehouse": s.dim_warehouse,
-        "fact_demand": v.raw_demand,
-        "fact_purchase_orders": v.raw_orders,
-    }
-    span = s.dim_date.agg(F.count(F.lit(1))).scalar()
-    return quality.audit(tables, years=(1995, 2001), expected_days=span).drop("samples", "action_suggested")
+    return _audited(v, v.given_tables).drop("samples", "action_suggested")
 
 
 @query
@@ -694,25 +698,15 @@ def clean_po(v: View) -> DataFrame:
 
 @query
 def audit_trail(v: View) -> DataFrame:
-    details = {c.table: c for c in (v.cleaned_demand, v.cleaned_orders)}
-    return cleaning.audit_trail(details)
+    return cleaning.audit_trail(v.cleaned_tables[1])
 
 
 @query
 def severity_before_after(v: View) -> DataFrame:
-    s = v.star
-
-    def issues(demand: DataFrame, orders: DataFrame) -> DataFrame:
-        tables = {
-            "dim_product": s.dim_product, "dim_supplier": s.dim_supplier, "fact_demand": demand,
-            "fact_purchase_orders": orders,
-        }
-        span = s.dim_date.agg(F.count(F.lit(1))).scalar()
-        return quality.audit(tables, years=(1995, 2001), expected_days=span)
-
-    before = issues(v.raw_demand, v.raw_orders)
-    after = issues(v.cleaned_demand.rows, v.cleaned_orders.rows)
-    return quality.severity_totals(before, after)
+    after, details = v.cleaned_tables
+    # Each rule reads its table again: cleaned facts are written once.
+    after = after | {name: staged(c.rows, f"clean_{name}") for name, c in details.items()}
+    return quality.severity_totals(_audited(v, v.given_tables), _audited(v, after))
 
 
 # ------------------------------------------------------------------------- leakage

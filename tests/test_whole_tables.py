@@ -2,10 +2,13 @@
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
 from oracle.star import sql
 from supplyspark import catalog
+from supplyspark.operators import quality
 from supplyspark.sources.adapter import StagedStar
+from supplyspark.sources.schemas import SPECS
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -26,3 +29,56 @@ def test_cleaning_keeps_every_purchase(view, oracle):
     assert rows.count() == oracle.execute("SELECT count(*) FROM lineitem").fetchone()[0]
     actions = {(r.table_name, r.action) for r in catalog.QUERIES["audit_trail"](view).collect()}
     assert ("fact_purchase_orders", "DEDUPLICATE_PRIMARY_KEY") not in actions
+
+
+def test_audit_reports_ledger_transport_and_calendar_faults(spark, view):
+    s = view.star
+    key = s.ledger.agg(F.min("product_id"), F.min("warehouse_id"), F.min("date")).first()
+    one = s.ledger.filter((F.col("product_id") == key[0]) & (F.col("warehouse_id") == key[1]) & (F.col("date") == key[2]))
+    stock = s.ledger.unionByName(one).unionByName(
+        one.withColumns({"product_id": F.lit("Brand#999"), "warehouse_id": F.lit("WH-X"), "ending_inventory": F.lit(-1).cast("long")})
+    )
+    lost = s.fact_transport.orderBy("transport_id").limit(1).withColumns({"po_id": F.lit("PO-X"), "transport_id": F.lit("")})
+    day = s.dim_date.limit(1).withColumn("date", F.lit("2050-01-01").cast("date"))
+    changed = view.given_tables | {
+        "fact_inventory": stock, "fact_transport": s.fact_transport.unionByName(lost), "dim_date": s.dim_date.unionByName(day),
+    }
+    faulty = catalog.View(s)
+    faulty.__dict__["given_tables"] = changed
+
+    def found(v):
+        rows = catalog.QUERIES["dq_issues"](v).collect()
+        return {(r.rule_id, r.table_name, r.column_name): r.row_count for r in rows}
+
+    before, after = found(view), found(faulty)
+    assert {k: n for k, n in after.items() if before.get(k) != n} == {
+        ("DQ-001", "fact_transport", "transport_id"): 1,
+        ("DQ-002", "dim_date", "date"): 1,
+        ("DQ-003", "fact_inventory", "date, product_id, warehouse_id"): 1,
+        ("DQ-004", "fact_inventory", "ending_inventory"): 1,
+        ("DQ-005", "fact_inventory", "product_id"): 1,
+        ("DQ-005", "fact_inventory", "warehouse_id"): 1,
+        ("DQ-005", "fact_transport", "po_id"): 1,
+    }
+
+
+def test_audit_fails_without_a_table_or_column(view):
+    tables = view.given_tables
+    with pytest.raises(ValueError, match="fact_inventory"):
+        quality.audit({t: df for t, df in tables.items() if t != "fact_inventory"})
+    with pytest.raises(ValueError, match="fact_purchase_orders.quantity_ordered"):
+        quality.audit(tables | {"fact_purchase_orders": tables["fact_purchase_orders"].drop("quantity_ordered")})
+
+
+def test_profile_has_every_table(view, oracle):
+    rows = {r.table_name: r for r in catalog.QUERIES["table_profile"](view).collect()}
+    assert set(rows) == set(SPECS)
+    for name in ("fact_inventory", "fact_purchase_orders", "dim_date", "dim_product"):
+        assert rows[name].rows == oracle.execute(sql(f"SELECT count(*) FROM {name}")).fetchone()[0]
+    assert {n: r.columns for n, r in rows.items()} == {n: len(spec.schema) for n, spec in SPECS.items()}
+
+
+def test_cleaning_covers_the_four_facts(view):
+    assert set(view.cleaned_tables[1]) == {"fact_demand", "fact_purchase_orders", "fact_inventory", "fact_transport"}
+    totals = {(r.phase, r.severity): r.row_count for r in catalog.QUERIES["severity_before_after"](view).collect()}
+    assert totals.get(("after", "ERROR"), 0) <= totals.get(("before", "ERROR"), 0)
