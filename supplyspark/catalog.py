@@ -452,10 +452,11 @@ def cross_stage_demand(v: View) -> DataFrame:
 
 @query
 def cross_stage_cost(v: View) -> DataFrame:
-    """On orders that already carry a price, cleaning only removes rows."""
-    priced = v.raw_orders.filter(F.col("unit_cost") > 0)
-    c = cleaning.clean_purchase_orders(priced, v.star.dim_supplier, v.star.dim_product, v.order_rank)
-    out = reconcile.cross_stage_cost(priced, c.rows, c.quarantine)
+    """Raw cost = clean + quarantined - what the price repairs added, over all orders."""
+    c = v.cleaned_orders
+    costs = ("total_procurement_cost", "transport_cost")
+    quarantined = c.quarantine.withColumns({x: F.col(x) * F.col("copies") for x in costs})
+    out = reconcile.cross_stage_cost(v.raw_orders, c.rows, quarantined, c.repaired_cost)
     return out.select(*[half_even(x, 2).alias(x) if t == "double" else F.col(x) for x, t in out.dtypes])
 
 

@@ -51,13 +51,15 @@ DAILY_HOLDING_RATE = 0.20 / 365.25
 class Cleaned:
     """``rows``: kept rows. ``quarantine``: removed rows with ``action`` and
     ``copies``. ``actions``: (action, records) including repairs.
-    ``repaired_units``: what value repairs took from the raw unit total."""
+    ``repaired_units``: what value repairs took from the raw unit total.
+    ``repaired_cost``: what price repairs added to the raw cost total."""
 
     table: str
     rows: DataFrame
     quarantine: DataFrame
     actions: DataFrame
     repaired_units: Column | None = None
+    repaired_cost: Column | None = None
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -176,7 +178,13 @@ def clean_purchase_orders(
             ),
         ],
     )
-    return Cleaned("fact_purchase_orders", rows, quarantine, actions)
+    # From the orders before the repair, with one price a product, so cost that the repair invents or loses shows.
+    prices = master.groupBy("product_id").agg(F.min("master_cost").alias("price"))
+    faulty = kept.filter(bad_cost).join(prices, "product_id", "left")
+    owed = half_even(F.col("quantity_received") * F.coalesce("price", F.lit(UNKNOWN_UNIT_COST)), 2)
+    change = F.coalesce(owed, F.lit(0.0)) - F.coalesce("total_procurement_cost", F.lit(0.0))
+    added = faulty.agg(F.coalesce(F.sum(change), F.lit(0.0))).scalar()
+    return Cleaned("fact_purchase_orders", rows, quarantine, actions, repaired_cost=added)
 
 
 def clean_inventory(ledger: DataFrame, dim_product: DataFrame) -> Cleaned:

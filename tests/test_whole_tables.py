@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from oracle.star import sql
 from supplyspark import catalog
-from supplyspark.operators import quality
+from supplyspark.operators import cleaning, quality
+from supplyspark.plans import reconcile
 from supplyspark.sources.adapter import StagedStar
 from supplyspark.sources.schemas import SPECS
 
@@ -82,3 +83,23 @@ def test_cleaning_covers_the_four_facts(view):
     assert set(view.cleaned_tables[1]) == {"fact_demand", "fact_purchase_orders", "fact_inventory", "fact_transport"}
     totals = {(r.phase, r.severity): r.row_count for r in catalog.QUERIES["severity_before_after"](view).collect()}
     assert totals.get(("after", "ERROR"), 0) <= totals.get(("before", "ERROR"), 0)
+
+
+def test_cost_identity_covers_repaired_orders(spark, view):
+    s = view.star
+    returned = F.xxhash64("po_id") % 3 == 0
+    twice = s.fact_purchase_orders.filter(F.xxhash64("po_id") % 50 == 1)
+    raw = s.fact_purchase_orders.unionByName(twice).unionByName(twice).withColumns(
+        {c: F.when(returned, -F.col(c)).otherwise(F.col(c)) for c in ("unit_cost", "total_procurement_cost")}
+    )
+    faulty = catalog.View(s)
+    faulty.__class__ = type("Faulty", (catalog.View,), {"raw_orders": property(lambda _: raw)})
+    row = catalog.QUERIES["cross_stage_cost"](faulty).first()
+    total = raw.agg(F.sum(F.col("total_procurement_cost") + F.col("transport_cost"))).first()[0]
+    assert row.source_value == pytest.approx(total, abs=0.01)
+    assert row.passed and row.difference <= 0.05
+    # A repair that pays double for a product is found: here one with two master rows.
+    double = s.dim_product.unionByName(s.dim_product.orderBy("product_id").limit(1))
+    c = cleaning.clean_purchase_orders(raw, s.dim_supplier, double, faulty.order_rank)
+    quarantined = c.quarantine.withColumns({x: F.col(x) * F.col("copies") for x in ("total_procurement_cost", "transport_cost")})
+    assert not reconcile.cross_stage_cost(raw, c.rows, quarantined, c.repaired_cost).first().passed
