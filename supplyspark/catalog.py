@@ -1105,16 +1105,15 @@ def inventory_classifiers(v: View) -> DataFrame:
 @query
 def supplier_classifiers(v: View) -> DataFrame:
     """Calibrated test metrics of the best supplier-delay classifier."""
-    # A supplier id is a level per supplier; with very many suppliers the tier
-    # and the supplier's numbers stand in for it.
-    features = [f for f in splits.SUPPLIER_FEATURES if f != "supplier_id"]
+    features = splits.SUPPLIER_FEATURES
     rows = staged(
         models.risk_rows(v.supplier_rows, features, "target_supplier_late", splits.FORBIDDEN_SUPPLIER, ["po_id"]),
         "late_rows",
     )
-    categorical = [c for c in splits.SUPPLIER_CATEGORICAL if c != "supplier_id"]
     bounded = models.bounded(rows, ["po_id"], TREE_ROWS)
-    encoder, fitted, metrics = models.fit_candidates(bounded, categorical, features, settings=models.SUPPLIER_SETTINGS)
+    encoder, fitted, metrics = models.fit_candidates(
+        bounded, splits.SUPPLIER_CATEGORICAL, features, settings=models.SUPPLIER_SETTINGS
+    )
     best = models.best_family(metrics)
     tuned = models.calibrate(encoder, fitted[best], rows.filter(F.col("split") == splits.VALIDATION))
     test = tuned.score(rows.filter(F.col("split") == splits.TEST)).select("label", "score")

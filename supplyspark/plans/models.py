@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +47,8 @@ class Encoder:
     """Median imputation, optional scaling and one-hot without the first level.
 
     Fitted on training rows only. A level that training never saw gets zeros in
-    every indicator, like the dropped first level.
+    every indicator, like the dropped first level. Indicators are one sparse
+    vector per column, so a column may have very many levels.
     """
 
     numeric: Sequence[str]
@@ -78,13 +79,16 @@ class Encoder:
         numbers = self._number_vector.transform(self._imputer.transform(casted))
         if self.scale:
             numbers = self._scaler.transform(numbers)
-        flags = {
-            f"_d{i}_{j}": (F.coalesce(F.col(c), F.lit("missing")) == level).cast("double")
-            for i, (c, levels) in enumerate(self._levels.items())
-            for j, level in enumerate(levels)
-        }
-        inputs = ["scaled" if self.scale else "numbers", *flags]
-        out = VectorAssembler(inputCols=inputs, outputCol="features").transform(numbers.withColumns(flags))
+        inputs = ["scaled" if self.scale else "numbers"]
+        for i, (c, levels) in enumerate(self._levels.items()):
+            if levels:
+                known = numbers.withColumn(f"_c{i}", F.coalesce(F.col(c), F.lit("missing")))
+                # Kept as one more index: the first level and those never seen. The encoder drops that last index.
+                indexer = StringIndexerModel.from_labels(levels, f"_c{i}", f"_i{i}", handleInvalid="keep")
+                indexed = indexer.transform(known)
+                numbers = OneHotEncoder(inputCol=f"_i{i}", outputCol=f"_d{i}", dropLast=True).fit(indexed).transform(indexed)
+                inputs.append(f"_d{i}")
+        out = VectorAssembler(inputCols=inputs, outputCol="features").transform(numbers)
         return out.select(*[F.col(c) for c in kept if c not in self.numeric], *[F.col(c) for c in kept if c in self.numeric], "features")
 
 
