@@ -235,22 +235,10 @@ class View:
         """Purchase orders as given: every order line under its own id."""
         return self.star.fact_purchase_orders
 
-    @staged_property
+    @property
     def raw_demand(self) -> DataFrame:
-        """Demand with deterministic faults: lost products, sign errors, days
-        outside the calendar."""
-        d = self.star.fact_demand
-        q_ = F.col("demand_requested")
-        return d.select(
-            F.when(q_ == 13, F.date_add("date", 4000)).otherwise(F.col("date")).alias("date"),
-            F.when(q_ == 7, F.lit(None)).when(q_ == 8, F.lit("Brand#999")).otherwise(F.col("product_id")).alias("product_id"),
-            "market_id",
-            "warehouse_id",
-            F.when(q_ % 10 == 9, -q_).otherwise(q_).alias("demand_requested"),
-            "promotion_flag",
-            F.when(F.col("event_id") == "NONE", F.lit("")).otherwise(F.col("event_id")).alias("event_id"),
-            "outlier_flag",
-        )
+        """Demand as given."""
+        return self.star.fact_demand
 
     @cached_property
     def given_tables(self) -> dict[str, DataFrame]:

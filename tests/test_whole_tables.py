@@ -103,3 +103,37 @@ def test_cost_identity_covers_repaired_orders(spark, view):
     c = cleaning.clean_purchase_orders(raw, s.dim_supplier, double, faulty.order_rank)
     quarantined = c.quarantine.withColumns({x: F.col(x) * F.col("copies") for x in ("total_procurement_cost", "transport_cost")})
     assert not reconcile.cross_stage_cost(raw, c.rows, quarantined, c.repaired_cost).first().passed
+
+
+def with_faults(demand):
+    """Deterministic faults: lost and unknown products, sign errors, days outside the calendar, blank events."""
+    q = F.col("demand_requested")
+    return demand.select(
+        F.when(q == 13, F.date_add("date", 4000)).otherwise(F.col("date")).alias("date"),
+        F.when(q == 7, F.lit(None)).when(q == 8, F.lit("Brand#999")).otherwise(F.col("product_id")).alias("product_id"),
+        "market_id",
+        "warehouse_id",
+        F.when(q % 10 == 9, -q).otherwise(q).alias("demand_requested"),
+        "promotion_flag",
+        F.when(F.col("event_id") == "NONE", F.lit("")).otherwise(F.col("event_id")).alias("event_id"),
+        "outlier_flag",
+    )
+
+
+def test_demand_is_read_as_given(view, oracle):
+    columns = "date, product_id, market_id, warehouse_id, demand_requested, promotion_flag, event_id"
+    cleaned = catalog.QUERIES["clean_demand"](view).select(*columns.split(", "))
+    assert compare.differences(cleaned, oracle, sql(f"SELECT DISTINCT {columns} FROM fact_demand")) == []
+    row = catalog.QUERIES["cross_stage_demand"](view).first()
+    assert row.passed and row.source_value == oracle.execute(sql("SELECT sum(demand_requested) FROM fact_demand")).fetchone()[0]
+    found = {(r.rule_id, r.column_name) for r in catalog.QUERIES["dq_issues"](view).collect() if r.table_name == "fact_demand"}
+    assert not found & {("DQ-001", "product_id"), ("DQ-002", "date"), ("DQ-004", "demand_requested"), ("DQ-005", "product_id")}
+
+
+def test_demand_with_faults_is_cleaned_by_the_operator(view):
+    s = view.star
+    raw = with_faults(s.fact_demand)
+    faulty = type("Faulty", (catalog.View,), {"raw_demand": property(lambda _: raw)})(s)
+    actions = {r.action for r in faulty.cleaned_demand.actions.filter("records_affected > 0").collect()}
+    assert actions >= {"QUARANTINE_NULL_OR_ORPHAN_KEY", "QUARANTINE_INVALID_DATE", "REPAIR_NEGATIVE_VALUE"}
+    assert catalog.QUERIES["cross_stage_demand"](faulty).first().passed
