@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
     """
     start = 0
     array = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(array), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(array), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0

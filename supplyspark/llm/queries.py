@@ -12,6 +12,7 @@ from supplyspark.llm.bpe import decode_documents, encode_documents
 from supplyspark.llm.chat import ESCAPE, Template, format_turns, read_back, text_parts, with_turns
 from supplyspark.llm.common import read, texts_of
 from supplyspark.llm.exact import exact_groups
+from supplyspark.llm.fim import fill_in_middle, restored
 from supplyspark.llm.language_model import score, train
 from supplyspark.llm.materialize import read_shards, write_shards
 from supplyspark.llm.neighbours import GraphIndex
@@ -101,6 +102,18 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GraphIndex(read(spark, sf_dir, "embeddings")).search(F.col("vec_id") % 100 == 0)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -112,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_graph_ann": op10_graph_ann,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 
@@ -153,4 +167,33 @@ ORACLE: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_fill_in_middle": """
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+                   [CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * g - 7, 8) AS BIGINT) FOR g IN [1, 2, 3, 4]] AS h
+            FROM documents
+        ), cuts AS (
+            SELECT doc_id, text, units, len(units) AS n,
+                   least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a,
+                   greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM units
+        ), parts AS (
+            SELECT doc_id, text, n, form,
+                   array_to_string(units[1:a], '') AS prefix,
+                   array_to_string(units[a + 1:b], '') AS middle,
+                   array_to_string(units[b + 1:n], '') AS suffix
+            FROM cuts
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                                WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
