@@ -11,6 +11,7 @@ cut into sequences of power-of-two lengths, so no sequence needs padding.
 from __future__ import annotations
 
 from collections.abc import Iterator
+import functools
 import json
 import math
 
@@ -45,7 +46,7 @@ class Encoder:
     """Ids as the tokenizers library gives them for a byte-level BPE file whose ids are merge ranks."""
 
     def __init__(self, path: str, pattern: str):
-        self.exact = tokenizers.Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = {token["content"]: token["id"] for token in spec["added_tokens"]}
@@ -53,6 +54,11 @@ class Encoder:
         ranks = {bytes(as_bytes[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
+    @functools.cached_property
+    def exact(self) -> tokenizers.Tokenizer:
+        """Loaded when a long text needs it; it takes more memory than the ranks."""
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if len(text) > LONG_TEXT:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from supplyspark.llm.bestfit import best_fit_pack
 from supplyspark.llm.bpe import decode_documents, encode_documents
 from supplyspark.llm.chat import ESCAPE, Template, format_turns, read_back, text_parts, with_turns
 from supplyspark.llm.common import read, texts_of
@@ -114,6 +115,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit_pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_graph_ann": op10_graph_ann,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 
