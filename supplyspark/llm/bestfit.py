@@ -119,14 +119,14 @@ def mutate(sizes: np.ndarray, a: np.ndarray, order: np.ndarray, size: int, rng:
     gone = rng.random(len(fills)) < 0.02
     gone[np.argsort(fills, kind="stable")[: max(2, len(fills) // 50)]] = True
     bin_of, free = a.copy(), gone[a]
-    # A free piece can take the place of a shorter one if the bin is then full.
+    # A free piece can take the place of a shorter one if the bin is then full, or nearly.
     held = np.flatnonzero(~free)
     wanted = size - fills[bin_of[held]] + sizes[held]
     by = np.argsort(wanted, kind="stable")
     held, wanted = held[by], wanted[by]
     touched = np.zeros(len(fills), dtype=bool)
     for i in order[free[order]].tolist():
-        low, high = np.searchsorted(wanted, (sizes[i], sizes[i] + 1))
+        low, high = np.searchsorted(wanted, (sizes[i], sizes[i] + 1 + size // 128))
         for j in held[low : min(high, low + 8)].tolist():
             if not touched[bin_of[j]] and sizes[j] < sizes[i]:
                 touched[bin_of[j]] = True

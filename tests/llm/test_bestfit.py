@@ -2,6 +2,7 @@ import zlib
 
 from helpers import SF, awkward_docs, clashing, empty_docs
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -135,35 +136,25 @@ def test_crossover_keeps_bins_whole():
     assert len(groups(child) & groups(b)) > 5 and len(groups(child) & groups(a)) > 5
 
 
-def triplets(n, rng, size=1000):
-    """Pieces that fill n bins exactly, three to a bin: hard for best fit."""
-    out = []
-    for _ in range(n):
-        first = rng.integers(380, 490)
-        second = rng.integers((size - first) // 4, (size - first) // 2)
-        out += [first, second, size - first - second]
-    return np.array(out)
-
-
-def test_search_beats_best_fit():
+@pytest.mark.parametrize("low, high, n, size", [(20, 101, 250, 150), (350, 900, 1000, 2048)])
+def test_search_beats_best_fit(low, high, n, size):
     rng = np.random.default_rng(11)
-    sizes = triplets(60, rng)
-    bin_of = np.empty(len(sizes), np.int64)
-    plain = best_fit(sizes, bin_of, np.argsort(-sizes, kind="stable"), [], 1000)
-    found = evolve(sizes, [bin_of], 60, 1000, rng, 60, 8)
-    assert fitness(sizes, found[0])[0] < plain
-    again = evolve(sizes, found, 60, 1000, rng, 5, 8)
+    sizes = rng.integers(low, high, n)
+    bin_of = np.empty(n, np.int64)
+    plain = best_fit(sizes, bin_of, np.argsort(-sizes, kind="stable"), [], size)
+    bound = lower_bound(sizes, size)
+    found = evolve(sizes, [bin_of], bound, size, rng, 30, 8)
+    assert bound <= fitness(sizes, found[0])[0] < plain
+    assert all(valid(sizes, p, size) for p in found)
+    again = evolve(sizes, found, bound, size, rng, 5, 8)
     assert fitness(sizes, again[0]) <= fitness(sizes, found[0])
 
 
 def test_islands_migrate(spark):
     """An island without packings of its own gets at least what its neighbour sends."""
-    rng = np.random.default_rng(2)
-    sizes = triplets(30, rng)
+    sizes = np.tile([500, 300, 200], 30)
     rows = np.arange(len(sizes))
     good = np.repeat(np.arange(30), 3)
-    import pandas as pd
-
     own = bestfit._row(5, 1, False, 30, len(sizes), rows, sizes, [])
     guest = bestfit._row(5, 1, True, 30, 30, np.empty(0), np.empty(0), [good])
     out = bestfit._epoch(1000, 3, 0, 0, 4)((5, 1), pd.DataFrame([own, guest]))
