@@ -92,9 +92,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         start = stop
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, *, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, *, lower: bool = True, separators: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of the texts, and each text's first word.
 
+    ``separators`` says for each byte whether it stands between words, if others do.
+
     A word's hash is a polynomial over its (lower-cased) bytes, read off one
     running sum, so no Python object is made per word.
     """
@@ -103,7 +107,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, *, lower: bool = True) ->
     if n == 0:
         return np.empty(0, np.uint64), counts_at
     low = _LOWER[data] if lower else data
-    space = _SPACE[data]
+    space = separators[data]
     starts_new = np.zeros(n, dtype=bool)
     starts_new[offsets[:-1][offsets[:-1] < n]] = True
     word = ~space

@@ -15,6 +15,7 @@ from supplyspark.llm.common import read, texts_of
 from supplyspark.llm.exact import exact_groups
 from supplyspark.llm.fim import fill_in_middle, restored
 from supplyspark.llm.language_model import score, train
+from supplyspark.llm.lexical import LexicalIndex
 from supplyspark.llm.materialize import read_shards, write_shards
 from supplyspark.llm.neighbours import GraphIndex
 from supplyspark.llm.packing import pack
@@ -103,6 +104,10 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GraphIndex(read(spark, sf_dir, "embeddings")).search(F.col("vec_id") % 100 == 0)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LexicalIndex(read(spark, sf_dir, "documents")).search(read(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(read(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_graph_ann": op10_graph_ann,
+    "op11_lexical_search": op11_lexical_search,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
@@ -174,6 +180,38 @@ ORACLE: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), lengths AS (
+            SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+        ), total AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+        ), norms AS (
+            SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM lengths, total
+        ), counts AS (
+            SELECT doc_id, term, count(*) AS tf FROM words SEMI JOIN wanted USING (term) GROUP BY doc_id, term
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), total
+        ), scores AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN norms USING (doc_id)
+            GROUP BY item_id, doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scores
+        WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+    """,
     "op12_fill_in_middle": """
         WITH units AS (
             SELECT doc_id, coalesce(text, '') AS text,

@@ -12,7 +12,7 @@ from supplyspark.llm.common import read
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {name.split("_")[0] for name in corpus_pipeline.QUERIES} == {f"op{n}" for n in (*range(1, 11), 12, 13)} | {"pipeline"}
+    assert {name.split("_")[0] for name in corpus_pipeline.QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
     assert set(corpus_pipeline.QUERIES) <= set(names)
     assert set(corpus_pipeline.ORACLE) <= set(__spark_entry__.oracle_sql())
 
