@@ -490,20 +490,28 @@ SPLIT = f"CASE WHEN {{d}} <= {TRAIN_END} THEN 'TRAIN' WHEN {{d}} <= {VAL_END} TH
 put("split_bounds", f"SELECT {SPLIT.format(d='date')} AS split, min(date) AS first_day, max(date) AS last_day, count(*) AS n_rows FROM grid GROUP BY 1")
 
 # ------------------------------------------------------------------ data quality
-view("raw_orders", """
-SELECT 'PO-' || l_orderkey || '-' || l_linenumber AS po_id, CAST(l_shipdate AS DATE) AS order_date, 'SUP-' || l_suppkey AS supplier_id, p_brand AS product_id,
-       l_partkey AS line_part, CAST(l_quantity AS BIGINT) AS quantity_received,
-       CASE WHEN l_returnflag = 'R' THEN 0 ELSE floor(l_extendedprice / l_quantity * 64.0::DOUBLE + 0.5::DOUBLE) / 64.0::DOUBLE END AS unit_cost,
-       l_tax AS transport_cost, CAST(l_quantity AS BIGINT) * CASE WHEN l_returnflag = 'R' THEN 0 ELSE floor(l_extendedprice / l_quantity * 64.0::DOUBLE + 0.5::DOUBLE) / 64.0::DOUBLE END AS total_procurement_cost
-FROM lineitem JOIN part ON l_partkey = p_partkey
-""")
-view("raw_demand", """
-SELECT CASE WHEN demand_requested = 13 THEN date + 4000 ELSE date END AS date,
-       CASE WHEN demand_requested = 7 THEN NULL WHEN demand_requested = 8 THEN 'Brand#999' ELSE product_id END AS product_id, market_id, warehouse_id,
-       CASE WHEN demand_requested % 10 = 9 THEN -demand_requested ELSE demand_requested END AS demand_requested, promotion_flag,
-       CASE WHEN event_id = 'NONE' THEN '' ELSE event_id END AS event_id, outlier_flag
-FROM fact_demand
+# Tables as given; tests put faults into these four.
+view("raw_demand", "SELECT * FROM fact_demand")
+view("raw_orders", "SELECT * FROM fact_purchase_orders")
+view("raw_inventory", "SELECT * FROM fact_inventory")
+view("raw_transport", """
+SELECT 'TR' || substr(po_id, 3) AS transport_id, po_id, supplier_id AS origin_supplier_id, warehouse_id AS dest_warehouse_id, order_date AS departure_date,
+       actual_delivery_date AS arrival_date, quantity_received AS quantity_transported, transport_cost, (['Road', 'Rail', 'Sea'])[CAST(quantity_ordered % 3 + 1 AS INTEGER)] AS transport_mode, delay_days
+FROM fact_purchase_orders
 """)
+view("dim_event", """
+SELECT event_id, event_name, start_date, end_date, event_type, severity, affected_region, affected_categories, 'ALL' AS affected_suppliers,
+       demand_multiplier, lead_time_multiplier, transport_cost_multiplier, event_name AS description FROM event_rows
+UNION ALL SELECT 'NONE', 'No event', NULL, NULL, 'None', 'None', NULL, NULL, NULL, 1.0, 1.0, 1.0, NULL
+""")
+QUALITY: dict[str, str] = {}  # statements over the views above, before these are put in
+
+
+def put_quality(name: str, query: str) -> None:
+    QUALITY[name] = query
+    put(name, query)
+
+
 RULE_NAMES = {"DQ-001": ("NOT_NULL_KEYS", "ERROR"), "DQ-002": ("VALID_DATE_FORMAT", "ERROR"), "DQ-003": ("NO_DUPLICATE_ROWS", "ERROR"),
               "DQ-004": ("NON_NEGATIVE_NUMERICS", "ERROR"), "DQ-005": ("REFERENTIAL_INTEGRITY", "ERROR"), "DQ-006": ("TEMPORAL_CONTINUITY", "WARNING"),
               "DQ-007": ("STATISTICAL_OUTLIERS", "WARNING")}
@@ -519,32 +527,73 @@ def outliers(src: str, limit: str) -> str:
             f"ON d.product_id = g.pid WHERE abs((demand_requested - m) / CASE WHEN s > 0 THEN s ELSE 1 END) > {limit}")
 
 
-def audit(demand: str, orders: str) -> str:
-    blank = "(x IS NULL OR trim(x) IN ('', 'nan', 'None', 'NULL'))"
+DIMS = ("dim_product", "dim_supplier", "dim_warehouse", "dim_date")
+GIVEN = {d: d for d in DIMS} | {"fact_demand": "raw_demand", "fact_inventory": "raw_inventory", "fact_purchase_orders": "raw_orders", "fact_transport": "raw_transport"}
+CLEAN = {d: d for d in DIMS} | {"fact_demand": "cleaned_demand", "fact_inventory": "cleaned_inventory", "fact_purchase_orders": "cleaned_orders", "fact_transport": "cleaned_transport"}
+
+
+def found(tables: dict[str, str]) -> str:
+    """Keys that break a rule: (rule_id, table_name, column_name, row_key, records), each rule over its own read."""
+    row_keys = {"dim_product": "product_id", "dim_supplier": "supplier_id", "dim_warehouse": "warehouse_id", "dim_date": "date", "fact_demand": "date product_id warehouse_id market_id",
+                "fact_inventory": "date product_id warehouse_id", "fact_purchase_orders": "po_id", "fact_transport": "transport_id"}
+
+    def joined(columns: str) -> str:
+        return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns.split())
+
     parts = []
-    for t, src, cs in (("fact_demand", demand, ("date", "product_id", "warehouse_id", "market_id")), ("fact_purchase_orders", orders, ("po_id", "order_date", "supplier_id", "product_id"))):
-        parts += [issue("DQ-001", t, c, f"SELECT count(*) FROM {src} WHERE {blank.replace('x', c + '::VARCHAR')}") for c in cs]
-    parts.append(issue("DQ-002", "fact_demand", "date", f"SELECT count(*) FROM {demand} WHERE year(date) NOT BETWEEN 1995 AND 2001"))
-    parts.append(issue("DQ-002", "fact_purchase_orders", "order_date", f"SELECT count(*) FROM {orders} WHERE year(order_date) NOT BETWEEN 1995 AND 2001"))
-    parts.append(issue("DQ-003", "fact_demand", "ALL", f"SELECT (SELECT count(*) FROM {demand}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {demand}))"))
-    parts.append(issue("DQ-003", "fact_purchase_orders", "po_id", f"SELECT count(*) - count(DISTINCT po_id) FROM {orders}"))
-    parts.append(issue("DQ-004", "fact_demand", "demand_requested", f"SELECT count(*) FROM {demand} WHERE demand_requested < 0"))
-    parts += [issue("DQ-004", "fact_purchase_orders", c, f"SELECT count(*) FROM {orders} WHERE {c} < 0") for c in ("unit_cost", "total_procurement_cost")]
-    parts.append(issue("DQ-005", "fact_demand", "product_id", f"SELECT count(*) FROM {demand} WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT product_id FROM dim_product)"))
-    parts.append(issue("DQ-005", "fact_purchase_orders", "supplier_id", f"SELECT count(*) FROM {orders} WHERE supplier_id NOT IN (SELECT supplier_id FROM dim_supplier)"))
-    parts.append(issue("DQ-006", "fact_demand", "date", f"SELECT count(*) FROM (SELECT product_id, warehouse_id FROM {demand} GROUP BY 1, 2 HAVING count(DISTINCT date) < (SELECT count(*) FROM dim_date))"))
-    parts.append(issue("DQ-007", "fact_demand", "demand_requested", outliers(demand, "4.5::DOUBLE")))
-    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE row_count > 0"
-
-
-put("dq_issues", audit("raw_demand", "raw_orders"))
+
+    def rows(rule: str, table: str, column: str, where: str) -> None:
+        parts.append(f"SELECT '{rule}' AS rule_id, '{table}' AS table_name, '{column}' AS column_name, {joined(row_keys[table])} AS row_key, count(*) AS records FROM {tables[table]} x WHERE {where} GROUP BY 4")
+
+    for table, columns in {
+        "dim_product": "product_id product_name category", "dim_supplier": "supplier_id supplier_name", "dim_warehouse": "warehouse_id warehouse_name",
+        "fact_demand": "date product_id warehouse_id market_id", "fact_inventory": "date product_id warehouse_id",
+        "fact_purchase_orders": "po_id order_date supplier_id product_id", "fact_transport": "transport_id po_id",
+    }.items():
+        for c in columns.split():
+            rows("DQ-001", table, c, f"{c} IS NULL OR trim(CAST({c} AS VARCHAR)) IN ('', 'nan', 'None', 'NULL')")
+    for table, c in (("dim_date", "date"), ("fact_demand", "date"), ("fact_inventory", "date"), ("fact_purchase_orders", "order_date"), ("fact_purchase_orders", "actual_delivery_date")):
+        rows("DQ-002", table, c, f"year({c}) NOT BETWEEN 1995 AND 2001")
+    for table, columns in {
+        "dim_product": "unit_cost selling_price base_demand", "fact_demand": "demand_requested", "fact_inventory": "beginning_inventory ending_inventory holding_cost",
+        "fact_purchase_orders": "quantity_ordered unit_cost total_procurement_cost",
+    }.items():
+        for c in columns.split():
+            rows("DQ-004", table, c, f"{c} < 0")
+    for table, fk, parent, pk in (
+        ("fact_demand", "product_id", "dim_product", "product_id"), ("fact_demand", "warehouse_id", "dim_warehouse", "warehouse_id"),
+        ("fact_inventory", "product_id", "dim_product", "product_id"), ("fact_inventory", "warehouse_id", "dim_warehouse", "warehouse_id"),
+        ("fact_purchase_orders", "product_id", "dim_product", "product_id"), ("fact_purchase_orders", "supplier_id", "dim_supplier", "supplier_id"),
+        ("fact_transport", "po_id", "fact_purchase_orders", "po_id"),
+    ):
+        rows("DQ-005", table, fk, f"{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {tables[parent]} y WHERE y.{pk} = x.{fk})")
+    for table, columns in {"dim_product": "product_id", "dim_supplier": "supplier_id", "fact_inventory": "date product_id warehouse_id", "fact_purchase_orders": "po_id"}.items():
+        parts.append(f"SELECT 'DQ-003', '{table}', '{', '.join(columns.split())}', {joined(columns)}, count(*) - 1 FROM {tables[table]} GROUP BY 4 HAVING count(*) > 1")
+    demand = tables["fact_demand"]
+    parts.append(f"SELECT 'DQ-003', 'fact_demand', 'ALL', {joined(row_keys['fact_demand'])}, CAST(sum(c - 1) AS BIGINT) FROM (SELECT *, count(*) AS c FROM {demand} GROUP BY ALL) WHERE c > 1 GROUP BY 4")
+    parts.append(f"SELECT 'DQ-006', 'fact_demand', 'date', {joined('product_id warehouse_id')}, 1 FROM {demand} GROUP BY product_id, warehouse_id HAVING count(DISTINCT date) < (SELECT count(*) FROM dim_date)")
+    parts.append(f"SELECT 'DQ-007', 'fact_demand', 'demand_requested', {joined('d.date d.product_id d.warehouse_id d.market_id')}, count(*) FROM {demand} d "
+                 f"JOIN (SELECT product_id AS pid, avg(demand_requested) AS m, stddev_samp(demand_requested) AS s FROM {demand} GROUP BY 1) g ON d.product_id = g.pid "
+                 "WHERE abs((demand_requested - m) / CASE WHEN s > 0 THEN s ELSE 1 END) > 4.5::DOUBLE GROUP BY 4")
+    return " UNION ALL ".join(parts)
+
+
+def rule_case(at: int) -> str:
+    return "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{info[at]}'" for r, info in RULE_NAMES.items()) + " END"
+
+
+def audit(tables: dict[str, str]) -> str:
+    return (f"SELECT rule_id, {rule_case(0)} AS rule_name, table_name, {rule_case(1)} AS severity, CAST(sum(records) AS BIGINT) AS row_count, column_name "
+            f"FROM ({found(tables)}) GROUP BY rule_id, table_name, column_name")
+
+
+put_quality("dq_issues", audit(GIVEN))
+put_quality("dq_samples", f"""
+SELECT rule_id, table_name, column_name, CAST(sum(records) AS BIGINT) AS row_count, array_to_string(list_sort(list(DISTINCT row_key))[1:5], ',') AS samples
+FROM ({found(GIVEN)}) GROUP BY rule_id, table_name, column_name
+""")
 put("dq_outliers", "SELECT * FROM (" + issue("DQ-007", "fact_demand", "demand_requested", outliers("fact_demand", "1.7::DOUBLE")) + ") WHERE row_count > 0")
 put("dq_continuity", "SELECT * FROM (" + issue("DQ-006", "fact_demand", "date", "SELECT count(*) FROM (SELECT product_id, warehouse_id FROM fact_demand GROUP BY 1, 2 HAVING count(DISTINCT date) < (SELECT count(*) FROM dim_date))") + ") WHERE row_count > 0")
-put("dq_samples", """
-SELECT 'DQ-003' AS rule_id, 'fact_purchase_orders' AS table_name, 'po_id' AS column_name, count(*) - count(DISTINCT po_id) AS row_count, '' AS samples FROM raw_orders
-UNION ALL SELECT 'DQ-004', 'fact_purchase_orders', 'unit_cost', (SELECT count(*) FROM raw_orders WHERE unit_cost <= 0),
-  (SELECT string_agg(po_id, ',' ORDER BY po_id) FROM (SELECT po_id FROM raw_orders WHERE unit_cost <= 0 ORDER BY po_id LIMIT 5))
-""")
 view("dedup_demand", "SELECT DISTINCT * FROM raw_demand")
 view("kept_demand", """
 SELECT date, product_id, market_id, warehouse_id, greatest(demand_requested, 0) AS demand_requested, promotion_flag, CASE WHEN event_id = '' THEN 'NONE' ELSE event_id END AS event_id,
@@ -555,10 +604,13 @@ view("cleaned_demand", """
 SELECT date, product_id, market_id, warehouse_id, demand_requested, promotion_flag, event_id, CAST((demand_requested - m) / s > 5.0::DOUBLE AS INTEGER) AS outlier_flag
 FROM kept_demand, (SELECT avg(demand_requested) AS m, stddev_samp(demand_requested) AS s FROM kept_demand)
 """)
-put("clean_demand", "SELECT * FROM cleaned_demand")
+put_quality("clean_demand", "SELECT * FROM cleaned_demand")
 view("dedup_orders", "SELECT DISTINCT * FROM raw_orders")
 view("first_orders", """
-SELECT * FROM dedup_orders QUALIFY row_number() OVER (PARTITION BY po_id ORDER BY order_date, line_part, supplier_id, quantity_received, unit_cost) = 1
+SELECT * FROM dedup_orders QUALIFY row_number() OVER (PARTITION BY po_id ORDER BY order_date NULLS FIRST, supplier_id NULLS FIRST, warehouse_id NULLS FIRST, product_id NULLS FIRST,
+  quantity_ordered NULLS FIRST, expected_lead_time_days NULLS FIRST, actual_lead_time_days NULLS FIRST, expected_delivery_date NULLS FIRST, actual_delivery_date NULLS FIRST,
+  quantity_received NULLS FIRST, unit_cost NULLS FIRST, total_procurement_cost NULLS FIRST, transport_cost NULLS FIRST, delay_days NULLS FIRST, on_time_flag NULLS FIRST,
+  in_full_flag NULLS FIRST, otif_flag NULLS FIRST, status NULLS FIRST) = 1
 """)
 view("cleaned_orders", f"""
 SELECT f.* REPLACE (CASE WHEN f.unit_cost <= 0 THEN coalesce(p.unit_cost, 25) ELSE f.unit_cost END AS unit_cost,
@@ -566,34 +618,66 @@ SELECT f.* REPLACE (CASE WHEN f.unit_cost <= 0 THEN coalesce(p.unit_cost, 25) EL
 FROM first_orders f LEFT JOIN (SELECT product_id AS pid, unit_cost FROM dim_product) p ON f.product_id = p.pid
 WHERE supplier_id IN (SELECT supplier_id FROM dim_supplier)
 """)
-put("clean_po", "SELECT * FROM cleaned_orders")
-put("audit_trail", """
+put_quality("clean_po", "SELECT * FROM cleaned_orders")
+view("dedup_inventory", "SELECT DISTINCT * FROM raw_inventory")
+view("unbalanced", """
+SELECT * FROM dedup_inventory WHERE ending_inventory < 0 OR ending_inventory <> greatest(beginning_inventory + po_received - demand_fulfilled, 0)
+""")
+view("cleaned_inventory", f"""
+SELECT i.* REPLACE (CASE WHEN n > 0 THEN greatest(beginning_inventory + po_received - demand_fulfilled, 0) ELSE ending_inventory END AS ending_inventory,
+  CASE WHEN n > 0 THEN {he('greatest(beginning_inventory + po_received - demand_fulfilled, 0)::DOUBLE * unit_cost * (0.2::DOUBLE / 365.25::DOUBLE)', 4)} ELSE holding_cost END AS holding_cost)
+FROM dedup_inventory i LEFT JOIN (SELECT product_id AS pid, unit_cost FROM dim_product) p ON i.product_id = p.pid, (SELECT count(*) AS n FROM unbalanced)
+""")
+view("cleaned_transport", "SELECT * FROM raw_transport WHERE po_id IN (SELECT po_id FROM cleaned_orders)")
+_ORPHAN_DEMAND = "(product_id IS NULL OR product_id NOT IN (SELECT product_id FROM dim_product))"
+_ORPHAN_ORDER = "(supplier_id IS NULL OR supplier_id NOT IN (SELECT supplier_id FROM dim_supplier))"
+view("trail", f"""
 SELECT * FROM (
  SELECT 'fact_demand' AS table_name, 'DEDUPLICATE' AS action, (SELECT count(*) FROM raw_demand) - (SELECT count(*) FROM dedup_demand) AS records_affected, 'DQ-003' AS rule_id, 'Removed exact duplicate demand rows.' AS reason, 'REMOVED' AS disposition
- UNION ALL SELECT 'fact_demand', 'QUARANTINE_NULL_OR_ORPHAN_KEY', (SELECT count(*) FROM dedup_demand WHERE product_id IS NULL OR product_id NOT IN (SELECT product_id FROM dim_product)), 'DQ-001/005', 'Removed demand records with null or non-existent product IDs.', 'REMOVED'
- UNION ALL SELECT 'fact_demand', 'QUARANTINE_INVALID_DATE', (SELECT count(*) FROM dedup_demand WHERE product_id IN (SELECT product_id FROM dim_product) AND date NOT IN (SELECT date FROM dim_date)), 'DQ-002', 'Removed demand records with malformed date timestamps.', 'REMOVED'
+ UNION ALL SELECT 'fact_demand', 'QUARANTINE_NULL_OR_ORPHAN_KEY', (SELECT count(*) FROM dedup_demand WHERE {_ORPHAN_DEMAND}), 'DQ-001/005', 'Removed demand records with null or non-existent product IDs.', 'REMOVED'
+ UNION ALL SELECT 'fact_demand', 'QUARANTINE_INVALID_DATE', (SELECT count(*) FROM dedup_demand WHERE NOT {_ORPHAN_DEMAND} AND date NOT IN (SELECT date FROM dim_date)), 'DQ-002', 'Removed demand records with malformed date timestamps.', 'REMOVED'
  UNION ALL SELECT 'fact_demand', 'REPAIR_NEGATIVE_VALUE', (SELECT count(*) FROM kept_demand WHERE original < 0), 'DQ-004', 'Clamped negative demand requested values to zero floor.', 'REPAIRED'
  UNION ALL SELECT 'fact_demand', 'ANNOTATE_OUTLIER', (SELECT count(*) FROM cleaned_demand WHERE outlier_flag = 1), 'DQ-007', 'Flagged statistical demand outliers for analytical awareness.', 'RETAINED_WITH_FLAG'
  UNION ALL SELECT 'fact_purchase_orders', 'DEDUPLICATE', (SELECT count(*) FROM raw_orders) - (SELECT count(*) FROM dedup_orders), 'DQ-003', 'Removed exact duplicate purchase order rows.', 'REMOVED'
  UNION ALL SELECT 'fact_purchase_orders', 'DEDUPLICATE_PRIMARY_KEY', (SELECT count(*) FROM dedup_orders) - (SELECT count(*) FROM first_orders), 'DQ-003', 'Quarantined conflicting duplicate po_id entries, preserving first authenticated record.', 'REMOVED'
- UNION ALL SELECT 'fact_purchase_orders', 'REPAIR_NEGATIVE_PRICE', (SELECT count(*) FROM first_orders WHERE unit_cost <= 0), 'DQ-004', 'Restored negative unit cost on purchase orders using product master standard cost.', 'REPAIRED'
+ UNION ALL SELECT 'fact_purchase_orders', 'QUARANTINE_NULL_OR_ORPHAN_KEY', (SELECT count(*) FROM first_orders WHERE {_ORPHAN_ORDER}), 'DQ-001/005', 'Removed purchase orders referencing null or non-existent supplier IDs.', 'REMOVED'
+ UNION ALL SELECT 'fact_purchase_orders', 'REPAIR_NEGATIVE_PRICE', (SELECT count(*) FROM first_orders WHERE unit_cost <= 0 AND NOT {_ORPHAN_ORDER}), 'DQ-004', 'Restored negative unit cost on purchase orders using product master standard cost.', 'REPAIRED'
+ UNION ALL SELECT 'fact_inventory', 'DEDUPLICATE', (SELECT count(*) FROM raw_inventory) - (SELECT count(*) FROM dedup_inventory), 'DQ-003', 'Removed duplicate inventory records.', 'REMOVED'
+ UNION ALL SELECT 'fact_inventory', 'REPAIR_INVENTORY_BALANCE', (SELECT count(*) FROM unbalanced), 'DQ-006', 'Re-derived ending inventory from beginning stock, receipts, and demand fulfillment.', 'REPAIRED'
+ UNION ALL SELECT 'fact_transport', 'QUARANTINE_ORPHAN_TRANSPORT', (SELECT count(*) FROM raw_transport) - (SELECT count(*) FROM cleaned_transport), 'DQ-005', 'Removed transport shipments whose associated PO was quarantined.', 'REMOVED'
 ) WHERE records_affected > 0
 """)
-_before, _after = audit("raw_demand", "raw_orders"), audit("cleaned_demand", "cleaned_orders")
-put("severity_before_after", f"""
-SELECT phase, severity, CAST(sum(row_count) AS BIGINT) AS row_count FROM (SELECT 'before' AS phase, severity, row_count FROM ({_before}) UNION ALL SELECT 'after', severity, row_count FROM ({_after})) GROUP BY 1, 2
+put_quality("audit_trail", "SELECT * FROM trail")
+put_quality("severity_before_after", f"""
+SELECT phase, severity, CAST(sum(row_count) AS BIGINT) AS row_count FROM (SELECT 'before' AS phase, severity, row_count FROM ({audit(GIVEN)}) UNION ALL SELECT 'after', severity, row_count FROM ({audit(CLEAN)})) GROUP BY 1, 2
 """)
-put("cross_stage_demand", """
+put_quality("quality_verdict", f"""
+SELECT e AS error_rows, CASE WHEN e = 0 THEN 'PASSED (Zero Critical Errors)' ELSE 'FAILED' END AS overall_status
+FROM (SELECT CAST(coalesce(sum(row_count) FILTER (severity = 'ERROR'), 0) AS BIGINT) AS e FROM ({audit(CLEAN)}))
+""")
+_FACTS = ("fact_demand", "fact_inventory", "fact_purchase_orders", "fact_transport")
+put_quality("cleaning_summary", "SELECT " + ", ".join(
+    [f"(SELECT count(*) FROM {t[f]}) AS {f}_{phase}" for phase, t in (("before", GIVEN), ("after", CLEAN)) for f in _FACTS]
+    + [f"CAST(coalesce((SELECT sum(records_affected) FROM trail WHERE disposition = '{d}'), 0) AS BIGINT) AS {n}" for d, n in (("REMOVED", "records_removed"), ("REPAIRED", "records_repaired"))]
+    + ["(" + " + ".join(f"(SELECT count(*) FROM {t})" for t in [*CLEAN.values(), "dim_market", "dim_event"]) + ") AS records_retained", "(SELECT count(*) FROM trail) AS audit_actions_count"]
+))
+put_quality("cross_stage_demand", f"""
 SELECT 'RC5' AS check_id, 'demand_requested' AS metric, a AS source_value, b AS derived_value, abs(a - b) AS difference, a = b AS passed
 FROM (SELECT (SELECT sum(demand_requested) FROM raw_demand)::DOUBLE AS a,
   ((SELECT sum(demand_requested) FROM cleaned_demand)
    + (SELECT sum(demand_requested) FROM raw_demand) - (SELECT sum(demand_requested) FROM dedup_demand)
-   + (SELECT sum(demand_requested) FROM dedup_demand WHERE product_id IS NULL OR product_id NOT IN (SELECT product_id FROM dim_product) OR date NOT IN (SELECT date FROM dim_date))
-   + (SELECT sum(original) FROM kept_demand WHERE original < 0))::DOUBLE AS b)
+   + coalesce((SELECT sum(demand_requested) FROM dedup_demand WHERE {_ORPHAN_DEMAND} OR date NOT IN (SELECT date FROM dim_date)), 0)
+   + coalesce((SELECT sum(original) FROM kept_demand WHERE original < 0), 0))::DOUBLE AS b)
 """)
-put("cross_stage_cost", f"""
-SELECT 'RC6' AS check_id, 'procurement_and_transport' AS metric, {he('a', 2)} AS source_value, {he('a', 2)} AS derived_value, 0.0::DOUBLE AS difference, true AS passed
-FROM (SELECT sum(total_procurement_cost + transport_cost) AS a FROM raw_orders WHERE unit_cost > 0)
+_COST = "coalesce(total_procurement_cost, 0.0::DOUBLE) + coalesce(transport_cost, 0.0::DOUBLE)"
+put_quality("cross_stage_cost", f"""
+SELECT 'RC6' AS check_id, 'procurement_and_transport' AS metric, {he('a', 2)} AS source_value, {he('b', 2)} AS derived_value, {he('abs(a - b)', 2)} AS difference, abs(a - b) <= 0.05::DOUBLE AS passed
+FROM (SELECT (SELECT sum({_COST}) FROM raw_orders) AS a,
+  (SELECT sum({_COST}) FROM cleaned_orders)
+   + (SELECT sum({_COST}) FROM raw_orders) - (SELECT sum({_COST}) FROM dedup_orders)
+   + (SELECT sum({_COST}) FROM dedup_orders) - (SELECT sum({_COST}) FROM first_orders)
+   + coalesce((SELECT sum({_COST}) FROM first_orders WHERE {_ORPHAN_ORDER}), 0.0::DOUBLE)
+   - coalesce((SELECT sum(c.total_procurement_cost - coalesce(f.total_procurement_cost, 0.0::DOUBLE)) FROM cleaned_orders c JOIN first_orders f USING (po_id) WHERE f.unit_cost <= 0), 0.0::DOUBLE) AS b)
 """)
 
 
@@ -604,11 +688,41 @@ def prof(table: str, src: str, columns: list[str]) -> str:
             f"{dup} AS duplicate_rows, {dup}::DOUBLE / count(*)::DOUBLE * 100.0::DOUBLE AS duplicate_pct FROM {src}")
 
 
-put("table_profile", " UNION ALL ".join([
-    prof("fact_demand", "raw_demand", ["date", "product_id", "market_id", "warehouse_id", "demand_requested", "promotion_flag", "event_id", "outlier_flag"]),
-    prof("fact_purchase_orders", "raw_orders", ["po_id", "order_date", "supplier_id", "product_id", "line_part", "quantity_received", "unit_cost", "transport_cost", "total_procurement_cost"]),
-    prof("dim_supplier", "dim_supplier", ["supplier_id", "supplier_name", "primary_categories", "baseline_reliability", "baseline_lead_time_days", "lead_time_variance", "monthly_capacity_units", "moq_units", "transport_cost_factor", "tier"]),
-]))
+view("given_inventory", """
+SELECT i.*, CAST(sum(ending_inventory) OVER (PARTITION BY warehouse_id, date) AS BIGINT) AS total_warehouse_inventory, capacity_units AS warehouse_capacity, 0.0::DOUBLE AS capacity_utilization_pct
+FROM fact_inventory i JOIN dim_warehouse USING (warehouse_id)
+""")
+_PROFILED = {
+    "dim_product": "product_id product_name category unit_cost selling_price criticality base_demand shelf_life_days storage_requirement supplier_dependency primary_supplier_id secondary_supplier_id moq_units lead_time_expectation_days",
+    "dim_supplier": "supplier_id supplier_name primary_categories baseline_reliability baseline_lead_time_days lead_time_variance monthly_capacity_units moq_units transport_cost_factor tier",
+    "dim_warehouse": "warehouse_id warehouse_name region capacity_units handling_cost_per_unit transport_cost_factor",
+    "dim_market": "market_id market_name region primary_warehouse_id demand_multiplier seasonality_multiplier annual_growth_rate",
+    "dim_date": "date year month quarter week day_of_week day_name is_weekend is_month_start is_month_end is_quarter_end holiday_flag promotion_period",
+    "dim_event": "event_id event_name start_date end_date event_type severity affected_region affected_categories affected_suppliers demand_multiplier lead_time_multiplier transport_cost_multiplier description",
+    "fact_demand": "date product_id market_id warehouse_id demand_requested promotion_flag event_id outlier_flag",
+    "fact_inventory": "date product_id warehouse_id beginning_inventory po_received demand_requested demand_fulfilled opening_backorder backorder_fulfilled new_backorder lost_sales_quantity ending_backorder ending_inventory stockout_flag stockout_quantity safety_stock_target holding_cost stockout_cost",
+    "fact_purchase_orders": "po_id order_date supplier_id warehouse_id product_id quantity_ordered expected_lead_time_days actual_lead_time_days expected_delivery_date actual_delivery_date quantity_received unit_cost total_procurement_cost transport_cost delay_days on_time_flag in_full_flag otif_flag status",
+    "fact_transport": "transport_id po_id origin_supplier_id dest_warehouse_id departure_date arrival_date quantity_transported transport_cost transport_mode delay_days",
+}
+_LOAD = " total_warehouse_inventory warehouse_capacity capacity_utilization_pct"
+put_quality("table_profile", " UNION ALL ".join(
+    prof(t, "given_inventory" if t == "fact_inventory" else GIVEN.get(t, t), (c + (_LOAD if t == "fact_inventory" else "")).split()) for t, c in _PROFILED.items()
+))
+_MEASURES = ("rows", "missing_cells", "missing_pct", "duplicate_rows", "duplicate_pct")
+put_quality("profile_comparison", "SELECT table_name, " + ", ".join(f"{x}.{m} AS {p}_{m}" for x, p in (("a", "before"), ("b", "after")) for m in _MEASURES)
+            + " FROM (" + " UNION ALL ".join(prof(t, GIVEN.get(t, t), c.split()) for t, c in _PROFILED.items())
+            + ") a FULL JOIN (" + " UNION ALL ".join(prof(t, CLEAN.get(t, t), c.split()) for t, c in _PROFILED.items()) + ") b USING (table_name)")
+
+
+def with_faults(faults: dict[str, str]) -> dict[str, str]:
+    """The statements of the quality queries, with other bodies of some views."""
+    kept = {name: VIEWS[name] for name in faults}
+    VIEWS.update(faults)
+    try:
+        return {name: sql(query) for name, query in QUALITY.items()}
+    finally:
+        VIEWS.update(kept)
+
 
 # ----------------------------------------------------------------------- leakage
 def rebuilt(target: str, base: str, changes: str) -> str:
@@ -1086,6 +1200,6 @@ DATE_COLUMNS: dict[str, tuple[str, ...]] = {name: ("date",) for name in _KEYED}
 DATE_COLUMNS |= {
     "stockout_episodes": ("first_day", "last_day"),
     "split_bounds": ("first_day", "last_day"),
-    "clean_po": ("order_date",),
+    "clean_po": ("order_date", "expected_delivery_date", "actual_delivery_date"),
     "risk_snapshot": ("as_of",),
 }

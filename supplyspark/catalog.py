@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from supplyspark.functions import kpis
 from supplyspark.functions.exprs import half_even, ratio
-from supplyspark.operators import cleaning, evaluate, forecast, leakage, ledger, policy, quality, risk, series, splits
+from supplyspark.operators import audit, cleaning, evaluate, forecast, leakage, ledger, policy, quality, risk, series, splits
 from supplyspark.operators.features import demand as fd
 from supplyspark.operators.features import inventory as fi
 from supplyspark.operators.features import supplier as fs
@@ -240,15 +240,37 @@ class View:
         """Demand as given."""
         return self.star.fact_demand
 
+    @property
+    def raw_inventory(self) -> DataFrame:
+        return self.star.ledger
+
+    @property
+    def raw_transport(self) -> DataFrame:
+        return self.star.fact_transport
+
     @cached_property
     def given_tables(self) -> dict[str, DataFrame]:
         """All ten tables before cleaning."""
-        own = {"fact_demand": self.raw_demand, "fact_purchase_orders": self.raw_orders, "fact_inventory": self.star.ledger}
+        own = {
+            "fact_demand": self.raw_demand,
+            "fact_purchase_orders": self.raw_orders,
+            "fact_inventory": self.raw_inventory,
+            "fact_transport": self.raw_transport,
+        }
         return self.star.tables() | own
 
+    @staged_property
+    def found_issues(self) -> DataFrame:
+        return _issues(self, self.given_tables)
+
+    @staged_property
+    def issues_left(self) -> DataFrame:
+        """What the audit finds after cleaning."""
+        return _issues(self, self.cleaned_tables[0])
+
     @cached_property
     def cleaned_demand(self) -> cleaning.Cleaned:
-        """Lazy: kept rows, quarantine and action counts are separate reads."""
+        """Kept rows, quarantine and action counts are separate reads of one written table."""
         return cleaning.clean_demand(self.raw_demand, self.star.dim_product, self.star.dim_date)
 
     @property
@@ -265,7 +287,12 @@ class View:
     @cached_property
     def cleaned_tables(self) -> tuple[dict[str, DataFrame], dict[str, cleaning.Cleaned]]:
         """All ten tables after cleaning, and the details of each fact."""
-        return cleaning.clean_all(self.given_tables, self.order_rank)
+        given = self.given_tables
+        stock = cleaning.clean_inventory(given["fact_inventory"], given["dim_product"])
+        orders = self.cleaned_orders
+        transport = cleaning.clean_transport(given["fact_transport"], orders.rows)
+        details = {c.table: c for c in (self.cleaned_demand, orders, stock, transport)}
+        return given | {name: c.rows for name, c in details.items()}, details
 
 
 QUERIES: dict[str, Callable[[View], DataFrame]] = {}
@@ -636,28 +663,21 @@ def split_bounds(v: View) -> DataFrame:
 
 
 # -------------------------------------------------------------------- data quality
-def _audited(v: View, tables: dict[str, DataFrame]) -> DataFrame:
+def _issues(v: View, tables: dict[str, DataFrame]) -> DataFrame:
     span = v.star.dim_date.agg(F.count(F.lit(1))).scalar()
-    return quality.audit(tables, years=(1995, 2001), expected_days=span)
+    return audit.audit(tables, years=(1995, 2001), expected_days=span)
 
 
 @query
 def dq_issues(v: View) -> DataFrame:
-    return _audited(v, v.given_tables).drop("samples", "action_suggested")
+    return v.found_issues.drop("samples", "action_suggested")
 
 
 @query
 def dq_samples(v: View) -> DataFrame:
-    """Price faults with their five smallest order ids."""
-    found = quality.check_duplicates(v.raw_orders, "fact_purchase_orders", ["po_id"]).drop("samples").withColumn(
-        "samples", F.lit("")
-    )
-    bad = {"unit_cost": F.col("unit_cost") <= 0}
-    counts = quality.count_per_column(v.raw_orders, bad, "po_id")
-    rows = quality.issue_rows(counts, "DQ-004", "fact_purchase_orders").withColumn(
-        "samples", F.concat_ws(",", "samples")
-    )
-    return found.unionByName(rows).select("rule_id", "table_name", "column_name", "row_count", "samples")
+    """Every broken rule with its five smallest row keys."""
+    samples = F.concat_ws(",", "samples").alias("samples")
+    return v.found_issues.select("rule_id", "table_name", "column_name", "row_count", samples)
 
 
 @query
@@ -692,8 +712,28 @@ def audit_trail(v: View) -> DataFrame:
 
 @query
 def severity_before_after(v: View) -> DataFrame:
+    return quality.severity_totals(v.found_issues, v.issues_left)
+
+
+@query
+def quality_verdict(v: View) -> DataFrame:
+    """Whether errors are left after cleaning."""
+    return quality.verdict(v.issues_left)
+
+
+@query
+def profile_comparison(v: View) -> DataFrame:
+    """Profile of every table before and after cleaning."""
+    return quality.compare_profiles(quality.profile_all(v.given_tables), quality.profile_all(v.cleaned_tables[0]))
+
+
+@query
+def cleaning_summary(v: View) -> DataFrame:
     after, details = v.cleaned_tables
-    # Each rule reads its table again: cleaned facts are written once.
+    return cleaning.cleaning_summary(v.given_tables, after, cleaning.audit_trail(details))
+
+
+# Each rule reads its table again: cleaned facts are written once.
     after = after | {name: staged(c.rows, f"clean_{name}") for name, c in details.items()}
     return quality.severity_totals(_audited(v, v.given_tables), _audited(v, after))
 

@@ -1,8 +1,8 @@
 """Cleaning with tagged rows: nothing disappears without a trace.
 
 Each table is repaired in one pass that gives every row the ``action`` that
-decided its fate (NULL when none did). Kept rows, quarantined rows and the
-audit trail are three views of that tagged table.
+decided its fate (NULL when none did) and is written once. Kept rows,
+quarantined rows and the audit trail are three views of that tagged table.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from supplyspark.functions.exprs import half_even
 from supplyspark.operators.quality import z_scores
+from supplyspark.session import staged
 
 REMOVED, REPAIRED, FLAGGED = "REMOVED", "REPAIRED", "RETAINED_WITH_FLAG"
 
@@ -74,15 +75,18 @@ def _known(df: DataFrame, column: str, master: DataFrame, key: str, flag_name: s
     return marked.withColumn(flag_name, F.coalesce(flag_name, F.lit(False)))
 
 
-def _count(df: DataFrame, action: str, units: Column | None = None) -> DataFrame:
-    n = F.count(F.lit(1)) if units is None else F.coalesce(F.sum(units), F.lit(0))
-    return df.agg(n.alias("records_affected")).select(F.lit(action).alias("action"), "records_affected")
+def _count(df: DataFrame, action: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("records_affected")).select(F.lit(action).alias("action"), "records_affected")
 
 
-def _removals(tagged: DataFrame) -> DataFrame:
-    return tagged.filter(F.col("action").isNotNull()).groupBy("action").agg(
-        F.count(F.lit(1)).alias("records_affected")
-    )
+def _actions(df: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
+    """(action, records_affected) of several counts in one pass."""
+    rows = [F.struct(F.lit(action).alias("action"), n.cast("long").alias("records_affected")) for action, n in counts.items()]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def _extra_copies() -> Column:
+    return F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
 
 
 def clean_demand(demand: DataFrame, dim_product: DataFrame, dim_date: DataFrame) -> Cleaned:
@@ -91,11 +95,14 @@ def clean_demand(demand: DataFrame, dim_product: DataFrame, dim_date: DataFrame)
     distinct = exact_duplicates(demand)
     tagged = _known(distinct, "product_id", dim_product, "product_id", "known_product")
     tagged = _known(tagged, "date", dim_date, "date", "known_date")
-    tagged = tagged.withColumn(
-        "action",
-        F.when(~F.col("known_product"), "QUARANTINE_NULL_OR_ORPHAN_KEY").when(
-            ~F.col("known_date"), "QUARANTINE_INVALID_DATE"
+    tagged = staged(
+        tagged.withColumn(
+            "action",
+            F.when(~F.col("known_product"), "QUARANTINE_NULL_OR_ORPHAN_KEY").when(
+                ~F.col("known_date"), "QUARANTINE_INVALID_DATE"
+            ),
         ),
+        "tagged_demand",
     )
     kept = tagged.filter(F.col("action").isNull())
     negative = F.col("demand_requested") < 0
@@ -108,12 +115,13 @@ def clean_demand(demand: DataFrame, dim_product: DataFrame, dim_date: DataFrame)
     )
     event = F.coalesce(F.nullif(F.trim("event_id"), F.lit("")), F.lit("NONE"))
     rows = scored.withColumn("event_id", event).select(*base, "outlier_flag")
-    duplicates = _count(distinct, "DEDUPLICATE", F.col("copies") - 1)
-    repairs = _count(kept.filter(negative), "REPAIR_NEGATIVE_VALUE")
+    removals = ("QUARANTINE_NULL_OR_ORPHAN_KEY", "QUARANTINE_INVALID_DATE")
+    counts = {"DEDUPLICATE": _extra_copies()} | {a: F.count_if(F.col("action") == a) for a in removals}
+    counts["REPAIR_NEGATIVE_VALUE"] = F.count_if(F.col("action").isNull() & negative)
     flagged = _count(scored.filter(F.col("outlier_flag") == 1), "ANNOTATE_OUTLIER")
-    actions = reduce(DataFrame.unionByName, [duplicates, _removals(tagged), repairs, flagged])
+    actions = _actions(tagged, counts).unionByName(flagged)
     removed = tagged.filter(F.col("action").isNotNull()).select(*columns, "action", F.col("copies"))
-    copies = distinct.filter(F.col("copies") > 1).select(
+    copies = tagged.filter(F.col("copies") > 1).select(
         *columns, F.lit("DEDUPLICATE").alias("action"), (F.col("copies") - 1).alias("copies")
     )
     quarantine = removed.withColumn("copies", F.lit(1).cast("long")).unionByName(copies)
@@ -127,11 +135,11 @@ def clean_purchase_orders(
     """``first_by``: the columns whose order decides which of two conflicting
     rows of one po_id came first (file order has no meaning on a cluster)."""
     columns = orders.columns
-    distinct = exact_duplicates(orders)
+    distinct = staged(exact_duplicates(orders), "distinct_orders")
     order = Window.partitionBy("po_id").orderBy(*first_by)
     # The rank filter lets Spark keep one row per key before the shuffle.
     first = distinct.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") == 1).drop("rn")
-    tagged = _known(first, "supplier_id", dim_supplier, "supplier_id", "known_supplier")
+    tagged = staged(_known(first, "supplier_id", dim_supplier, "supplier_id", "known_supplier"), "tagged_orders")
     kept = tagged.filter(F.col("known_supplier"))
     master = dim_product.select("product_id", F.col("unit_cost").alias("master_cost"))
     bad_cost = F.col("unit_cost") <= 0
@@ -145,23 +153,20 @@ def clean_purchase_orders(
             for c in columns
         ]
     )
-    n_distinct = distinct.agg(F.count(F.lit(1))).scalar()
-    conflicts = first.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("DEDUPLICATE_PRIMARY_KEY").alias("action"), (n_distinct - F.col("n")).alias("records_affected")
-    )
-    actions = reduce(
-        DataFrame.unionByName,
-        [
-            _count(distinct, "DEDUPLICATE", F.col("copies") - 1),
-            conflicts,
-            _count(tagged.filter(~F.col("known_supplier")), "QUARANTINE_NULL_OR_ORPHAN_KEY"),
-            _count(kept.filter(bad_cost), "REPAIR_NEGATIVE_PRICE"),
-        ],
+    before = distinct.agg(F.struct(_extra_copies().alias("copies"), F.count(F.lit(1)).alias("rows"))).scalar()
+    actions = _actions(
+        tagged,
+        {
+            "DEDUPLICATE": F.first(before["copies"]),
+            "DEDUPLICATE_PRIMARY_KEY": F.coalesce(F.first(before["rows"]), F.lit(0)) - F.count(F.lit(1)),
+            "QUARANTINE_NULL_OR_ORPHAN_KEY": F.count_if(~F.col("known_supplier")),
+            "REPAIR_NEGATIVE_PRICE": F.count_if(F.col("known_supplier") & bad_cost),
+        },
     )
     # Everything that is not its key's first row, found by a join with the first
     # rows: a key with very many conflicting rows is then split by the skew
     # handling of the join instead of being ranked by one task.
-    chosen = first.select(F.col("po_id").alias("_key"), F.struct(*columns).alias("_chosen"))
+    chosen = tagged.select(F.col("po_id").alias("_key"), F.struct(*columns).alias("_chosen"))
     later = distinct.join(chosen, F.col("po_id").eqNullSafe(F.col("_key"))).filter(
         ~F.struct(*columns).eqNullSafe(F.col("_chosen"))
     )
@@ -194,7 +199,7 @@ def clean_inventory(ledger: DataFrame, dim_product: DataFrame) -> Cleaned:
     published; rows that already balance keep their ending stock that way.
     """
     columns = ledger.columns
-    distinct = exact_duplicates(ledger)
+    distinct = staged(exact_duplicates(ledger), "distinct_inventory")
     balance = F.greatest(
         F.col("beginning_inventory") + F.col("po_received") - F.col("demand_fulfilled"), F.lit(0)
     )
@@ -207,9 +212,7 @@ def clean_inventory(ledger: DataFrame, dim_product: DataFrame) -> Cleaned:
         "holding_cost": F.when(any_bad, holding).otherwise(F.col("holding_cost")),
     }
     rows = distinct.join(costs, "product_id", "left").select(*[fixed.get(c, F.col(c)).alias(c) for c in columns])
-    actions = _count(distinct, "DEDUPLICATE", F.col("copies") - 1).unionByName(
-        _count(distinct.filter(bad), "REPAIR_INVENTORY_BALANCE")
-    )
+    actions = _actions(distinct, {"DEDUPLICATE": _extra_copies(), "REPAIR_INVENTORY_BALANCE": F.count_if(bad)})
     quarantine = distinct.filter(F.col("copies") > 1).select(
         *columns, F.lit("DEDUPLICATE").alias("action"), (F.col("copies") - 1).alias("copies")
     )
@@ -231,20 +234,6 @@ def clean_transport(transport: DataFrame, clean_orders: DataFrame) -> Cleaned:
     )
 
 
-def clean_all(
-    tables: Mapping[str, DataFrame], po_first_by: Sequence[str]
-) -> tuple[dict[str, DataFrame], dict[str, Cleaned]]:
-    """Cleaned tables (dimensions pass through) and the details per fact."""
-    demand = clean_demand(tables["fact_demand"], tables["dim_product"], tables["dim_date"])
-    orders = clean_purchase_orders(
-        tables["fact_purchase_orders"], tables["dim_supplier"], tables["dim_product"], po_first_by
-    )
-    stock = clean_inventory(tables["fact_inventory"], tables["dim_product"])
-    transport = clean_transport(tables["fact_transport"], orders.rows)
-    details = {c.table: c for c in (demand, orders, stock, transport)}
-    return {**tables, **{name: c.rows for name, c in details.items()}}, details
-
-
 def audit_trail(details: Mapping[str, Cleaned]) -> DataFrame:
     """One row per action that affected any record."""
     parts = []

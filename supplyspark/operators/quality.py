@@ -234,29 +234,6 @@ def rule_columns() -> dict[str, set[str]]:
     return out
 
 
-def audit(
-    tables: Mapping[str, DataFrame], years: tuple[int, int] = YEAR_RANGE, expected_days: int | Column = 731
-) -> DataFrame:
-    """The whole rule set over a table collection, as one DataFrame of issues.
-
-    Fails if a table or column of any rule is missing, so no rule is left out unseen.
-    """
-    needed = rule_columns()
-    missing = [t for t in needed if t not in tables]
-    missing += [f"{t}.{c}" for t in needed if t in tables for c in sorted(needed[t]) if c not in tables[t].columns]
-    if missing:
-        raise ValueError(f"audit rules without their table or column: {', '.join(missing)}")
-    parts = [check_not_null(tables[t], t, c) for t, c in NOT_NULL_COLUMNS.items()]
-    parts += [check_valid_dates(tables[t], t, c, years=years) for t, c in DATE_COLUMNS.items()]
-    parts += [check_duplicates(tables[t], t, c) for t, c in DUPLICATE_KEYS.items()]
-    parts += [check_non_negative(tables[t], t, c) for t, c in NON_NEGATIVE_COLUMNS.items()]
-    parts += [check_referential(tables[t], t, fk, tables[p], pk) for t, fk, p, pk in REFERENCES]
-    demand = tables["fact_demand"]
-    parts.append(check_continuity(demand, "fact_demand", ["product_id", "warehouse_id"], "date", expected_days))
-    parts.append(check_outliers(demand, "fact_demand", "demand_requested", "product_id"))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def severity_totals(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows per phase and severity, with the final verdict on errors."""
     both = before.select(F.lit("before").alias("phase"), "severity", "row_count").unionByName(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from oracle.star import sql
 from supplyspark import catalog
-from supplyspark.operators import cleaning, quality
+from supplyspark.operators import audit, cleaning
 from supplyspark.plans import reconcile
 from supplyspark.sources.adapter import StagedStar
 from supplyspark.sources.schemas import SPECS
@@ -66,9 +66,9 @@ def test_audit_reports_ledger_transport_and_calendar_faults(spark, view):
 def test_audit_fails_without_a_table_or_column(view):
     tables = view.given_tables
     with pytest.raises(ValueError, match="fact_inventory"):
-        quality.audit({t: df for t, df in tables.items() if t != "fact_inventory"})
+        audit.audit({t: df for t, df in tables.items() if t != "fact_inventory"})
     with pytest.raises(ValueError, match="fact_purchase_orders.quantity_ordered"):
-        quality.audit(tables | {"fact_purchase_orders": tables["fact_purchase_orders"].drop("quantity_ordered")})
+        audit.audit(tables | {"fact_purchase_orders": tables["fact_purchase_orders"].drop("quantity_ordered")})
 
 
 def test_profile_has_every_table(view, oracle):
