@@ -402,7 +402,6 @@ INV1 = {
     "target_stockout_within_14d": f"CASE WHEN {fr('count(*)', 0, 13)} = 14 THEN {fr('max(stockout_flag)', 0, 13)} END",
     "target_lost_sales_7d": f"CASE WHEN {fr('count(*)', 0, 6)} = 7 THEN CAST({fr('sum(lost_sales_quantity)', 0, 6)} AS BIGINT) END",
     "run_break": f"sum(CASE WHEN stockout_flag = 0 THEN 1 ELSE 0 END) OVER ({W})",
-    "forecast_demand_7d": f"CAST(coalesce({fr(f'sum({X})', -7, -1)}, 0) AS BIGINT)",
 }
 INV2 = {
     "inventory_change_1d": "coalesce(ending_inventory_lag1 - ending_inventory_lag2, 0)::DOUBLE", "safety_stock_gap": "beginning_inventory - safety_stock_target",
@@ -757,7 +756,10 @@ view("demand_built", f"SELECT *, {cols(DYN)} FROM demand_wide")
 view("demand_leaking", f"SELECT {K}, lead({X}, 1) OVER ({W}) AS next_day FROM grid")
 view("rollup_built", f"SELECT {K}, {cols(_SP)} FROM daily_demand")
 view("inv_built", "SELECT * FROM inv_features")
-view("sup_built", "SELECT * FROM sup_features")
+view("sup_built", """
+SELECT *, coalesce(avg(unit_cost) OVER w, unit_cost) AS sku_mean, coalesce(stddev_samp(unit_cost) OVER w, 0) AS sku_std FROM sup_features
+WINDOW w AS (PARTITION BY supplier_id, product_id ORDER BY order_date, po_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""")
 _SHOCK = {"demand_requested": "demand_requested + 10000"}
 leak("leakage_demand", "demand", "demand_built", "grid", _SHOCK, K, [X, *LAGC, *ROLLC, *DYN])
 leak("leakage_detected", "demand", "demand_leaking", "grid", _SHOCK, K, ["next_day"])
@@ -769,10 +771,12 @@ leak(
 )
 leak(
     "leakage_supplier", "supplier", "sup_built", "fact_purchase_orders",
-    {"delay_days": "delay_days + 50", "actual_lead_time_days": "actual_lead_time_days + 50", "on_time_flag": "0", "otif_flag": "0"}, "po_id",
+    {"delay_days": "delay_days + 50", "actual_lead_time_days": "actual_lead_time_days + 50", "on_time_flag": "0", "otif_flag": "0",
+     "unit_cost": "unit_cost + 1000", "quantity_ordered": "quantity_ordered + 500", "quantity_received": "0"}, "po_id",
     ["hist_order_count", "hist_order_volume", "hist_on_time_rate", "hist_otif_rate", "hist_fill_rate", "hist_mean_delay", "hist_std_delay",
      "hist_p90_delay", "hist_p95_delay", "recent_delay_30d", "recent_otif_30d", "recent_otif_90d", "delay_trend", "supplier_active_orders_count",
-     "supplier_active_volume", "supplier_capacity_pressure", "days_since_last_delivery", "is_cold_start"], "order_date",
+     "supplier_active_volume", "supplier_capacity_pressure", "days_since_last_delivery", "is_cold_start", "sku_mean", "sku_std",
+     "quantity_ordered", "unit_cost", "transport_cost", "baseline_reliability"], "order_date",
 )
 # Column counts of the feature tables: keys, descriptions, features, targets and flags.
 put("feature_summary", " UNION ALL ".join(
@@ -795,7 +799,8 @@ for _h in (1, 7, 14, 28):
                f"greatest(coalesce(({_sn})::DOUBLE, (SELECT quantile_cont(demand_requested::DOUBLE, 0.5) FROM series_rows WHERE split = 'TRAIN')), 0) AS forecast FROM series_rows")
     for _w in (7, 14, 28):
         _fc.append(f"SELECT {K}, category, split, 't+{_h}', 'Moving Average (W={_w})', lead(demand_requested, {_h}) OVER ({W})::DOUBLE, greatest({fr('avg(demand_requested)', 1 - _w, 0)}, 0) FROM series_rows")
-view("base_forecasts", "SELECT * FROM (" + " UNION ALL ".join(_fc) + ") WHERE actual IS NOT NULL")
+view("all_forecasts", " UNION ALL ".join(_fc))
+view("base_forecasts", "SELECT * FROM all_forecasts WHERE actual IS NOT NULL")
 put("seasonal_naive", f"SELECT {K}, horizon, actual, forecast FROM base_forecasts WHERE model = 'Seasonal Naive' AND split = 'TEST'")
 put("moving_average", f"SELECT {K}, horizon, model, {he('forecast', 6)} AS forecast FROM base_forecasts WHERE model <> 'Seasonal Naive' AND split = 'TEST'")
 view("val_metrics", f"""
@@ -807,6 +812,9 @@ FROM base_forecasts WHERE split = 'VAL' GROUP BY 1, 2
 """)
 put("forecast_metrics", "SELECT * FROM val_metrics")
 view("winners", "SELECT * FROM val_metrics QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY wape, mae, model) = 1")
+view("weekly_forecast", f"""
+SELECT {K}, {he('greatest(0.0::DOUBLE, forecast)', 2)} AS forecast_demand_7d FROM all_forecasts a JOIN winners w ON a.model = w.model AND a.horizon = w.horizon WHERE a.horizon = 't+7'
+""")
 put("best_model", "SELECT horizon, model AS selected_model, wape AS primary_value, mae, rmse, wape, smape, bias, n_samples FROM winners")
 view("chosen", "SELECT b.* FROM base_forecasts b JOIN winners w ON b.horizon = w.horizon AND b.model = w.model")
 view("q_interval", """
@@ -850,7 +858,7 @@ def bands(x: str, cuts: tuple[int, int, int]) -> str:
 
 
 _w = share(0.35, 0.20, 0.15, 0.15, 0.15)
-view("inv_test", f"SELECT *, {PSTOCK} AS p, coalesce(ending_inventory_lag1, beginning_inventory, 0)::DOUBLE AS stk FROM inv_features WHERE date > {VAL_END} AND is_target_available_7d = 1")
+view("inv_test", f"SELECT *, {PSTOCK} AS p, coalesce(ending_inventory_lag1, beginning_inventory, 0)::DOUBLE AS stk FROM inv_features LEFT JOIN weekly_forecast USING ({K}) WHERE date > {VAL_END} AND is_target_available_7d = 1")
 view("scored_inv", f"""
 SELECT *, {bands('inventory_risk_score', (25, 60, 80))} AS inventory_risk_band FROM (
  SELECT *, p AS stockout_probability_7d, {clamp(he(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from supplyspark.functions import kpis
 from supplyspark.functions.exprs import half_even, ratio
-from supplyspark.operators import audit, cleaning, evaluate, forecast, leakage, ledger, policy, quality, risk, series, splits
+from supplyspark.operators import audit, cleaning, evaluate, forecast, forecast_store, leakage, ledger, policy, quality, risk, series, splits
 from supplyspark.operators.features import demand as fd
 from supplyspark.operators.features import inventory as fi
 from supplyspark.operators.features import supplier as fs
@@ -105,22 +105,43 @@ class View:
     def series_rows(self) -> DataFrame:
         return splits.with_split(self.grid, "date", TRAIN_END, VAL_END)
 
-    @staged_property
+    @cached_property
+    def forecast_store(self) -> DataFrame:
+        """Forecasts of the baselines for every day and horizon, written by horizon."""
+        made = forecast.baseline_forecasts(self.series_rows, known_only=False)
+        return staged(forecast_store.store_rows(made, forecast_store.BASELINE), "forecast_store", ("horizon",))
+
+    @cached_property
+    def learned_store(self) -> DataFrame:
+        """Forecasts of the tuned ridge and boosted models, in the same form."""
+        parts = [models.best_forecasts(self.horizon_rows(h), h) for h in fd.HORIZONS]
+        made = reduce(DataFrame.unionByName, parts)
+        return staged(forecast_store.store_rows(made, forecast_store.LEARNED), "learned_store", ("horizon",))
+
+    def horizon_rows(self, horizon: int) -> DataFrame:
+        return staged(models.horizon_rows(self.demand_features, horizon, TRAIN_END, VAL_END), f"rows_{horizon}")
+
+    @cached_property
+    def full_store(self) -> DataFrame:
+        return self.forecast_store.unionByName(self.learned_store)
+
+    @cached_property
     def baseline_forecasts(self) -> DataFrame:
-        return forecast.baseline_forecasts(self.series_rows)
+        return forecast_store.known(self.forecast_store)
 
     @staged_property
     def validation_metrics(self) -> DataFrame:
-        val = self.baseline_forecasts.filter(F.col("split") == splits.VALIDATION)
-        return evaluate.forecast_metrics(val, ["model", "horizon"])
+        return forecast_store.validation_metrics(self.forecast_store)
+
+    @cached_property
+    def forecast_winners(self) -> DataFrame:
+        best = evaluate.best_model(self.validation_metrics)
+        return best.select("horizon", F.col("selected_model").alias("model"))
 
     @staged_property
     def selected_forecasts(self) -> DataFrame:
         """Validation and test rows of the winning model of each horizon."""
-        winners = evaluate.best_model(self.validation_metrics).select(
-            "horizon", F.col("selected_model").alias("model")
-        )
-        return self.baseline_forecasts.join(winners, ["horizon", "model"], "left_semi")
+        return self.baseline_forecasts.join(self.forecast_winners, ["horizon", "model"], "left_semi")
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -135,11 +156,9 @@ class View:
     # ------------------------------------------------------------------ risk
     @cached_property
     def inventory_rows(self) -> DataFrame:
-        """Features with the 7-day demand signal (the last seven days' units)."""
-        signal = series.rolling_sum("demand_requested", 7)
-        return splits.with_split(
-            self.inventory_features.withColumn("forecast_demand_7d", signal), "date", TRAIN_END, VAL_END
-        )
+        """Features with the 7-day forecast that was made on the row's day."""
+        rows = forecast_store.as_of(self.inventory_features, self.forecast_store, self.forecast_winners, "t+7", "forecast_demand_7d")
+        return splits.with_split(rows, "date", TRAIN_END, VAL_END)
 
     @staged_property
     def scored_inventory(self) -> DataFrame:
@@ -733,11 +752,6 @@ def cleaning_summary(v: View) -> DataFrame:
     return cleaning.cleaning_summary(v.given_tables, after, cleaning.audit_trail(details))
 
 
-# Each rule reads its table again: cleaned facts are written once.
-    after = after | {name: staged(c.rows, f"clean_{name}") for name, c in details.items()}
-    return quality.severity_totals(_audited(v, v.given_tables), _audited(v, after))
-
-
 # ------------------------------------------------------------------------- leakage
 @query
 def leakage_demand(v: View) -> DataFrame:
@@ -774,9 +788,7 @@ def leakage_inventory(v: View) -> DataFrame:
 
 @query
 def leakage_supplier(v: View) -> DataFrame:
-    return leakage.supplier_leakage(
-        lambda d: fs.supplier_features(d).select("po_id", "order_date", *SUPPLIER_HISTORY), v.order_base, LEAK_CUTOFF
-    )
+    return leakage.supplier_leakage(fs.supplier_features, v.order_base, LEAK_CUTOFF)
 
 
 @query
@@ -1067,33 +1079,23 @@ def decision_log(v: View) -> DataFrame:
 
 
 # ------------------------------------------------------------------- learned models
-# Labelled rows that boosted trees and forests are fitted on; validation and test
-# rows are all used. Rounds, depths and configurations are the published ones.
-TREE_ROWS = 20_000
-
-
-def _horizon_rows(v: View, horizon: int, name: str, limit: int | None = None) -> DataFrame:
-    rows = models.horizon_rows(v.demand_features, horizon, TRAIN_END, VAL_END)
-    return staged(models.bounded(rows, SERIES_KEY, limit) if limit else rows, name)
+# Labelled rows that classifiers are fitted on; validation and test rows are all
+# used, and regressors are fitted on all training rows. Rounds, depths and
+# configurations are the published ones.
+CLASSIFIER_ROWS = 20_000
 
 
 @query
 def ridge_forecast(v: View) -> DataFrame:
     """Test forecasts of the ridge model with the best strength, at every horizon."""
-    parts = []
-    for horizon in fd.HORIZONS:
-        rows = _horizon_rows(v, horizon, "ridge_rows")
-        encoder, model, alpha, _ = models.tune_ridge(rows)
-        parts.append(models.forecast_rows(rows, encoder, model, f"Ridge (alpha={alpha})", horizon))
-    return reduce(DataFrame.unionByName, parts).filter(F.col("split") == splits.TEST)
+    rows = forecast_store.known(v.learned_store)
+    return rows.filter((F.col("split") == splits.TEST) & F.col("model").startswith("Ridge"))
 
 
 def _boosted(v: View, horizon: int) -> DataFrame:
     """Metrics and residual spread of the best of the three configurations."""
-    rows = _horizon_rows(v, horizon, "tree_rows", TREE_ROWS)
-    encoder, model, name, _ = models.tune_trees(rows)
-    out = models.forecast_rows(rows, encoder, model, f"Boosted ({name})", horizon)
-    return evaluate.forecast_metrics(out, ["model", "horizon", "split"])
+    rows = forecast_store.known(v.learned_store).filter((F.col("horizon") == f"t+{horizon}") & F.col("model").startswith("Boosted"))
+    return evaluate.forecast_metrics(rows, ["model", "horizon", "split"])
 
 
 @query
@@ -1116,6 +1118,20 @@ def gbt_forecast_28(v: View) -> DataFrame:
     return _boosted(v, 28)
 
 
+@query
+def model_comparison(v: View) -> DataFrame:
+    """Validation metrics of all four families at every horizon, on the rows that all of them forecast."""
+    keys = ["product_id", "warehouse_id", "made_on", "horizon"]
+    common = v.learned_store.select(*keys).distinct()
+    return forecast_store.validation_metrics(v.full_store.join(common, keys, "left_semi"))
+
+
+@query
+def best_model_all(v: View) -> DataFrame:
+    """The winner of each horizon among baselines, ridge and boosted trees."""
+    return evaluate.best_model(model_comparison(v))
+
+
 @query
 def inventory_classifiers(v: View) -> DataFrame:
     """Validation metrics of the stockout classifiers."""
@@ -1126,7 +1142,7 @@ def inventory_classifiers(v: View) -> DataFrame:
         ),
         "stockout_rows",
     )
-    rows = models.bounded(rows, SERIES_KEY, TREE_ROWS)
+    rows = models.bounded(rows, SERIES_KEY, CLASSIFIER_ROWS)
     return models.fit_candidates(rows, splits.INVENTORY_CATEGORICAL, splits.INVENTORY_FEATURES)[2]
 
 
@@ -1138,7 +1154,7 @@ def supplier_classifiers(v: View) -> DataFrame:
         models.risk_rows(v.supplier_rows, features, "target_supplier_late", splits.FORBIDDEN_SUPPLIER, ["po_id"]),
         "late_rows",
     )
-    bounded = models.bounded(rows, ["po_id"], TREE_ROWS)
+    bounded = models.bounded(rows, ["po_id"], CLASSIFIER_ROWS)
     encoder, fitted, metrics = models.fit_candidates(
         bounded, splits.SUPPLIER_CATEGORICAL, features, settings=models.SUPPLIER_SETTINGS
     )

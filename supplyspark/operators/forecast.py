@@ -45,10 +45,16 @@ def moving_average(window: int, x: str = "demand_requested") -> Column:
 
 
 def baseline_forecasts(
-    df: DataFrame, horizons: Sequence[int] = HORIZONS, windows: Sequence[int] = WINDOWS, fallback: Column | float | None = None
+    df: DataFrame,
+    horizons: Sequence[int] = HORIZONS,
+    windows: Sequence[int] = WINDOWS,
+    fallback: Column | float | None = None,
+    known_only: bool = True,
 ) -> DataFrame:
     """Long table (keys, split, horizon, model, actual, forecast) of all baselines.
 
+    Forecasts beyond the last day have no actual value yet; ``known_only`` leaves them out.
+
     Every forecast is one column of a single window pass; the columns are then
     unrolled per row, so the series are sorted once for all horizons and models.
     """
@@ -71,7 +77,7 @@ def baseline_forecasts(
                 )
             )
     long = wide.select(*keep, F.explode(F.array(*rows)).alias("r")).select(*keep, "r.*")
-    return long.filter(F.col("actual").isNotNull())
+    return long.filter(F.col("actual").isNotNull()) if known_only else long
 
 
 def best_moving_average(metrics: DataFrame) -> DataFrame:

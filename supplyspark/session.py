@@ -6,7 +6,7 @@ memory: those belong to whoever starts the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 import tempfile
 import uuid
 
@@ -59,8 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders by ``partition_by``, and read it back.
 
     Used where a table is consumed by several later jobs (model training,
     leakage comparison), so that losing an executor costs a re-read of Parquet
@@ -69,7 +69,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
     _staged_paths.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
