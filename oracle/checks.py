@@ -1197,6 +1197,24 @@ SELECT scenario_name, 'Coordinated plan for scenario ''' || scenario_name || '''
 FROM plan_total_rows o JOIN base_totals b USING (scenario_name) LEFT JOIN (SELECT scenario_name, count(*) AS n FROM plan_moves GROUP BY 1) USING (scenario_name)
 """)
 
+# ------------------------------------------------------------------ stores and logs
+put("run_logs", " UNION ALL ".join(
+    f"SELECT '{log}' AS log_name, r.run_id, count(*) AS n_rows FROM ({ORACLE[q]}) x, (VALUES ('RUN-1'), ('RUN-2')) r(run_id) GROUP BY r.run_id"
+    for log, q in (("decisions", "decision_log"), ("comparisons", "warehouse_policy_comparison"), ("explanations", "transfer_explanations"))
+))
+put("upserted_orders", """
+SELECT po_id, order_date, quantity_ordered, CASE WHEN quantity_ordered % 5 = 0 THEN 'Closed' ELSE status END AS status FROM fact_purchase_orders
+UNION ALL SELECT po_id || '-B', order_date, quantity_ordered, status FROM fact_purchase_orders WHERE quantity_ordered % 5 = 1
+""")
+put("slice_rows", """
+SELECT po_id, order_date, quantity_ordered, transport_id, transport_mode FROM fact_purchase_orders JOIN (SELECT po_id, transport_id, transport_mode FROM raw_transport) USING (po_id)
+WHERE order_date >= DATE '2001-09-15'
+""")
+put("csv_round_trip", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {GIVEN.get(t, t)}) AS rows_read, ({n}) AS lines_rejected, true AS equal"
+    for t, n in ({t: "0" for t in _PROFILED} | {"fact_demand": "SELECT count(*) FROM raw_demand WHERE demand_requested = 13", "fact_purchase_orders": "SELECT count(*) FROM raw_orders WHERE quantity_ordered = 11"}).items()
+).replace("(0) AS lines_rejected", "CAST(0 AS BIGINT) AS lines_rejected"))
+
 # Columns of type DATE per query, for callers that want ISO text.
 _KEYED = (
     "daily_demand_rollup inventory_health warehouse_daily coverage_kpis date_dimension dense_demand_grid event_overlay ledger_rows "
@@ -1207,6 +1225,8 @@ _KEYED = (
 DATE_COLUMNS: dict[str, tuple[str, ...]] = {name: ("date",) for name in _KEYED}
 DATE_COLUMNS |= {
     "stockout_episodes": ("first_day", "last_day"),
+    "upserted_orders": ("order_date",),
+    "slice_rows": ("order_date",),
     "split_bounds": ("first_day", "last_day"),
     "clean_po": ("order_date", "expected_delivery_date", "actual_delivery_date"),
     "risk_snapshot": ("as_of",),

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property, reduce
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from supplyspark.functions import kpis
@@ -20,16 +21,19 @@ from supplyspark.operators import audit, cleaning, evaluate, forecast, forecast_
 from supplyspark.operators.features import demand as fd
 from supplyspark.operators.features import inventory as fi
 from supplyspark.operators.features import supplier as fs
-from supplyspark.plans import models
+from supplyspark.plans import models, served
 from supplyspark.plans import queries as q
 from supplyspark.plans import reconcile, rollups
-from supplyspark.session import staged, staged_property
-from supplyspark.sources import io
+from supplyspark.session import shared_dir, staged, staged_property
+from supplyspark.sources import io, versioned
 from supplyspark.sources.adapter import HOLIDAYS, StarSchema
+from supplyspark.sources.commits import CommitConflict
+from supplyspark.sources.schemas import SPECS
 
 TRAIN_END, VAL_END = "1999-06-30", "2000-06-30"
 LEAK_CUTOFF = "2000-06-30"
 RECENT_CUTOFF = "2001-06-01"
+LATER_CUTOFF = "2001-09-15"
 SERIES_KEY = ["product_id", "warehouse_id", "date"]
 
 
@@ -205,6 +209,49 @@ class View:
         )
         return stock.unionByName(late)
 
+    # ---------------------------------------------------------- served models
+    @cached_property
+    def registry(self) -> served.Registry:
+        return served.Registry(self.spark, f"{shared_dir(self.spark)}/models-{uuid.uuid4().hex}")
+
+    @cached_property
+    def stockout_model(self):
+        """The chosen stockout classifier: fitted, published and loaded again."""
+        known = self.inventory_rows.filter((F.col("is_target_available_7d") == 1) & (F.col("has_sufficient_history_28d") == 1))
+        rows = models.risk_rows(known, splits.INVENTORY_FEATURES, "target_stockout_within_7d", splits.FORBIDDEN_INVENTORY, SERIES_KEY)
+        numeric = [c for c in splits.INVENTORY_FEATURES if c not in splits.INVENTORY_CATEGORICAL]
+        chosen = served.choose(rows, numeric, splits.INVENTORY_CATEGORICAL, SERIES_KEY, models.INVENTORY_SETTINGS, fit_rows=CLASSIFIER_ROWS)
+        self.registry.publish("stockout", chosen)
+        return self.registry.load("stockout")
+
+    @cached_property
+    def lateness_model(self):
+        """The chosen supplier classifier: fitted, published and loaded again."""
+        rows = models.risk_rows(self.supplier_rows, splits.SUPPLIER_FEATURES, "target_supplier_late", splits.FORBIDDEN_SUPPLIER, ["po_id"])
+        numeric = [c for c in splits.SUPPLIER_FEATURES if c not in splits.SUPPLIER_CATEGORICAL]
+        chosen = served.choose(rows, numeric, splits.SUPPLIER_CATEGORICAL, ["po_id"], models.SUPPLIER_SETTINGS, fit_rows=CLASSIFIER_ROWS)
+        self.registry.publish("lateness", chosen)
+        return self.registry.load("lateness")
+
+    @staged_property
+    def model_scored_inventory(self) -> DataFrame:
+        """Every inventory row, scored by the served model."""
+        rows = served.score(self.inventory_rows, self.stockout_model, "probability")
+        return risk.score_inventory(rows, F.col("probability")).drop("probability")
+
+    @staged_property
+    def model_scored_suppliers(self) -> DataFrame:
+        """Every order row, scored by the served model."""
+        rows = served.score(self.supplier_rows, self.lateness_model, "probability")
+        return risk.score_suppliers(rows, F.col("probability")).drop("probability")
+
+    @staged_property
+    def model_exposure(self) -> DataFrame:
+        """The exposure layer on served scores, for the rows that ``exposure`` has."""
+        test = self.model_scored_inventory.filter((F.col("split") == splits.TEST) & (F.col("is_target_available_7d") == 1))
+        profile = risk.latest_supplier_profile(self.model_scored_suppliers.filter(F.col("split") == splits.TEST))
+        return risk.with_explanations(risk.exposure_layer(test, profile, self.star.dim_product))
+
     # ---------------------------------------------------------------- policy
     @staged_property
     def positions(self) -> DataFrame:
@@ -1078,6 +1125,83 @@ def decision_log(v: View) -> DataFrame:
     return _rounded(policy.decision_rows(p["flows"], p["transfers"], p["orders"], "RUN-1"))
 
 
+# -------------------------------------------------------------------- stores and logs
+@query
+def run_logs(v: View) -> DataFrame:
+    """Decision, comparison and explanation logs of two runs, one of them appended twice: rows by log and run."""
+    folder = f"{shared_dir(v.spark)}/logs-{uuid.uuid4().hex}"
+    logs = {"decisions": decision_log(v), "comparisons": warehouse_policy_comparison(v), "explanations": transfer_explanations(v)}
+    parts = []
+    for name, df in logs.items():
+        kept = staged(df, f"log_{name}")
+        for run_id in ("RUN-1", "RUN-2", "RUN-1"):
+            versioned.append_once(kept, f"{folder}/{name}", run_id)
+        log = versioned.read_log(v.spark, f"{folder}/{name}", kept.schema)
+        counted = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+        parts.append(counted.select(F.lit(name).alias("log_name"), "run_id", "n_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def upserted_orders(v: View) -> DataFrame:
+    """Purchase orders written by one upsert, of which two later ones from the same version change different rows."""
+    columns = ["po_id", "order_date", "quantity_ordered", "status"]
+    orders = v.star.fact_purchase_orders.select(*columns)
+    table = versioned.VersionedTable(v.spark, f"{shared_dir(v.spark)}/orders-{uuid.uuid4().hex}", ["po_id"])
+    base = table.upsert(orders)
+    closed = orders.filter("quantity_ordered % 5 = 0").withColumn("status", F.lit("Closed"))
+    added = orders.filter("quantity_ordered % 5 = 1").withColumn("po_id", F.concat("po_id", F.lit("-B")))
+    late = table.prepare(added, base)
+    table.upsert(closed)
+    try:
+        table.commit(late)
+    except CommitConflict:  # the other writer was first
+        table.upsert(added)
+    return table.read()
+
+
+@query
+def slice_rows(v: View) -> DataFrame:
+    """Orders and shipments of the recent slice, read back from its files from a later day on."""
+    s = v.star
+    folder = f"{shared_dir(v.spark)}/slice-{uuid.uuid4().hex}"
+    tables = {"fact_purchase_orders": s.fact_purchase_orders, "fact_transport": s.fact_transport}
+    io.write_slice(io.recent_slice(tables, RECENT_CUTOFF), folder)
+    orders = io.read_slice(v.spark, folder, "fact_purchase_orders", LATER_CUTOFF).select("po_id", "order_date", "quantity_ordered")
+    moves = io.read_slice(v.spark, folder, "fact_transport").select("po_id", "transport_id", "transport_mode")
+    return orders.join(moves, "po_id", "left")
+
+
+@query
+def csv_round_trip(v: View) -> DataFrame:
+    """All ten tables written as CSV, two of them with broken lines added, and read back with checks."""
+    folder = f"{shared_dir(v.spark)}/csv-{uuid.uuid4().hex}"
+    broken = {
+        "fact_demand": (F.col("demand_requested") == 13, "demand_requested"),
+        "fact_purchase_orders": (F.col("quantity_ordered") == 11, "order_date"),
+    }
+    parts = []
+    for name in SPECS:
+        df = v.given_tables[name] if name != "fact_inventory" else v.star.fact_inventory
+        io.write_csv(df.select(*SPECS[name].schema.names), f"{folder}/{name}.csv")
+        if name in broken:
+            where, column = broken[name]
+            lines = df.filter(where).select(*[F.concat(F.lit("x"), F.col(c).cast("string")).alias(c) if c == column else F.col(c) for c in SPECS[name].schema.names])
+            io.write_csv(lines, f"{folder}/{name}.csv", mode="append")
+        good, bad = io.read_csv_checked(v.spark, f"{folder}/{name}.csv", name)
+        rejected = bad.agg(F.count(F.lit(1))).scalar()
+        written, back = (_content(x.select(*SPECS[name].schema.names)) for x in (df, good))
+        parts.append(
+            good.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows_read"), rejected.alias("lines_rejected"), (written == back).alias("equal"))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _content(df: DataFrame) -> Column:
+    """A number that equal sets of rows share: the sum of row hashes."""
+    return df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).scalar()
+
+
 # ------------------------------------------------------------------- learned models
 # Labelled rows that classifiers are fitted on; validation and test rows are all
 # used, and regressors are fitted on all training rows. Rounds, depths and
@@ -1162,3 +1286,33 @@ def supplier_classifiers(v: View) -> DataFrame:
     tuned = models.calibrate(encoder, fitted[best], rows.filter(F.col("split") == splits.VALIDATION))
     test = tuned.score(rows.filter(F.col("split") == splits.TEST)).select("label", "score")
     return evaluate.evaluate_classifier(test).withColumn("model", F.lit(best))
+
+
+@query
+def inventory_model_score(v: View) -> DataFrame:
+    """Calibrated stockout probability, score and band of every inventory row, from the saved model."""
+    return v.model_scored_inventory.select(*SERIES_KEY, "stockout_probability_7d", "inventory_risk_score", "inventory_risk_band")
+
+
+@query
+def supplier_model_score(v: View) -> DataFrame:
+    """Calibrated delay probability, score and band of every order, from the saved model."""
+    return v.model_scored_suppliers.select("po_id", "supplier_delay_probability", "supplier_risk_score", "supplier_risk_band")
+
+
+@query
+def model_exposure(v: View) -> DataFrame:
+    """Operational exposure on the scores of the served models."""
+    return v.model_exposure.select(*v.exposure.columns)
+
+
+@query
+def served_models(v: View) -> DataFrame:
+    """Version, family and validation figures of the models in use; served rows are counted."""
+    counts = {"stockout": v.model_scored_inventory, "lateness": v.model_scored_suppliers}
+    out = []
+    for name, scored in counts.items():
+        version, entry = v.registry.current(name)
+        figures = [F.lit(entry[k]).alias(k) for k in ("family", "pr_auc", "roc_auc", "brier_raw", "brier_calibrated")]
+        out.append(scored.agg(F.lit(name).alias("model"), F.lit(version).alias("version"), *figures, F.count(F.lit(1)).alias("scored_rows")))
+    return reduce(DataFrame.unionByName, out)

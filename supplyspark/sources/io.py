@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from supplyspark.functions.exprs import year_month
+from supplyspark.session import staged
 from supplyspark.sources.schemas import SPECS, text_schema
 
 MONTH = "month_key"
@@ -28,6 +30,44 @@ def read_csv_tables(
     }
 
 
+REJECTED = "_rejected_line"
+
+
+def read_csv_checked(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of one header CSV, and the lines that don't fit its schema.
+
+    A line with too few or too many fields, or with a value of the wrong type,
+    is kept whole instead of turning into NULLs. Both results come from one
+    written parse, so no line is lost or read as both.
+    """
+    schema = SPECS[name].schema
+    nullable = StructType([StructField(f.name, f.dataType, True) for f in schema] + [StructField(REJECTED, StringType(), True)])
+    parsed = (
+        spark.read.schema(nullable)
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", REJECTED)
+        .option("dateFormat", "yyyy-MM-dd")
+        .csv(path)
+    )
+    parsed = staged(parsed, f"parsed_{name}")
+    good = parsed.filter(F.col(REJECTED).isNull()).drop(REJECTED)
+    bad = parsed.filter(F.col(REJECTED).isNotNull()).select(F.lit(name).alias("table_name"), F.col(REJECTED).alias("line"))
+    return good, bad
+
+
+def rejected_actions(bad: DataFrame) -> DataFrame:
+    """Rejected lines as rows of the audit trail."""
+    return bad.groupBy("table_name").agg(F.count(F.lit(1)).alias("records_affected")).select(
+        "table_name",
+        F.lit("REJECT_MALFORMED_LINE").alias("action"),
+        "records_affected",
+        F.lit("DQ-002").alias("rule_id"),
+        F.lit("Kept lines that do not fit the table's columns and types out of the table.").alias("reason"),
+        F.lit("REMOVED").alias("disposition"),
+    )
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
@@ -77,15 +117,15 @@ def literal_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> Dat
 def write_parquet(df: DataFrame, path: str, date_column: str | None = None, mode: str = "overwrite") -> None:
     """Parquet, partitioned by month when a date column is named.
 
-    Rows are hashed by (month, spread) first: each month becomes a few large
-    files instead of one per task, and a heavy month is still split.
+    Rows are dealt by month, and Spark splits a month that holds more than its
+    advisory partition size and merges small ones: each month becomes a few
+    large files instead of one per task, however heavy it is.
     """
     if date_column is None:
         df.write.mode(mode).parquet(path)
         return
     out = df.withColumn(MONTH, year_month(date_column))
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(8))
-    out.repartition(F.col(MONTH), spread).write.mode(mode).partitionBy(MONTH).parquet(path)
+    out.hint("rebalance", F.col(MONTH)).write.mode(mode).partitionBy(MONTH).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -106,39 +146,6 @@ def publish_views(views: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows whose key is not in ``new``, plus all of ``new``."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
-
-
-def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> str:
-    """Keyed upsert on plain Parquet; returns the path of the new version.
-
-    Parquet has no MERGE and a job cannot overwrite the files it reads, so each
-    upsert writes the next numbered version beside the old one. Readers take
-    the highest version; a failed write leaves the old one untouched.
-    """
-    version = latest_version(spark, path)
-    merged = new if version is None else upsert(spark.read.parquet(f"{path}/v{version}"), new, keys)
-    target = f"{path}/v{0 if version is None else version + 1}"
-    merged.write.mode("errorifexists").parquet(target)
-    return target
-
-
-def latest_version(spark: SparkSession, path: str) -> int | None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return None
-    names = [s.getPath() for s in fs.listStatus(jvm_path)]
-    done = [
-        int(p.getName()[1:])
-        for p in names
-        if p.getName()[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    ]
-    return max(done) if done else None
-
-
 def write_manifest(df: DataFrame, path: str) -> None:
     """A small aggregated result as JSON lines."""
     df.write.mode("overwrite").json(path)
@@ -188,3 +195,18 @@ def recent_slice(tables: Mapping[str, DataFrame], cutoff: str) -> dict[str, Data
         recent_orders = out["fact_purchase_orders"].select("po_id")
         out["fact_transport"] = tables["fact_transport"].join(recent_orders, "po_id", "left_semi")
     return out
+
+
+def write_slice(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Each table of a slice; those cut by date in folders by month, so that later cuts read only what they need."""
+    for name, df in tables.items():
+        write_parquet(df, f"{folder}/{name}", SLICED.get(name))
+
+
+def read_slice(spark: SparkSession, folder: str, name: str, since: str | None = None) -> DataFrame:
+    """A table of a written slice from ``since`` on; earlier months are not read."""
+    df = spark.read.parquet(f"{folder}/{name}")
+    if since is not None:
+        day = F.to_date(F.lit(since))
+        df = df.filter((F.col(MONTH) >= year_month(day)) & (F.col(SLICED[name]) >= day))
+    return df.drop(MONTH) if MONTH in df.columns else df

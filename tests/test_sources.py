@@ -16,14 +16,6 @@ from supplyspark.sources.adapter import date_dimension, days_between
 from supplyspark.sources.schemas import SPECS
 
 
-def test_upsert_versions(spark):
-    path = tempfile.mkdtemp() + "/scenarios"
-    io.upsert_parquet(spark, path, spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), ["k"])
-    last = io.upsert_parquet(spark, path, spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int"), ["k"])
-    assert {(r.k, r.v) for r in spark.read.parquet(last).collect()} == {("a", 1), ("b", 3), ("c", 4)}
-    assert io.latest_version(spark, path) == 1
-
-
 def test_partitioned_write_prunes(spark):
     path = tempfile.mkdtemp() + "/t"
     rows = [(dt.date(2024, 1 + i % 3, 1 + i % 20), i) for i in range(90)]
