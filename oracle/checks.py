@@ -1197,6 +1197,62 @@ SELECT scenario_name, 'Coordinated plan for scenario ''' || scenario_name || '''
 FROM plan_total_rows o JOIN base_totals b USING (scenario_name) LEFT JOIN (SELECT scenario_name, count(*) AS n FROM plan_moves GROUP BY 1) USING (scenario_name)
 """)
 
+# ---------------------------------------------------------------------- part grain
+view("part_demand", """
+SELECT l_partkey AS part_id, 'WH-' || n_regionkey AS warehouse_id, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS demand_requested
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3
+""")
+view("part_receipts", """
+SELECT CAST(split_part(po_id, '-', 4) AS BIGINT) AS part_id, warehouse_id, actual_delivery_date AS date, CAST(sum(quantity_received) AS BIGINT) AS po_received
+FROM fact_purchase_orders GROUP BY 1, 2, 3
+""")
+_PK = "part_id, warehouse_id, date"
+# Each day with demand meets the earlier ones of its series; days without demand count as zero.
+_pairs = {}
+for _w in (7, 28):
+    _in = f"gap BETWEEN 1 AND {_w}"
+    _n = f"least({_w}, age_days)"
+    _pairs |= {
+        f"rolling_sum_{_w}": f"CAST(coalesce(sum(q) FILTER ({_in}), 0) AS BIGINT)",
+        f"rolling_mean_{_w}": he(f"coalesce(sum(q) FILTER ({_in}), 0)::DOUBLE / nullif({_n}, 0)", 4),
+        f"rolling_max_{_w}": f"CASE WHEN {_n} > 0 THEN CAST(coalesce(max(q) FILTER ({_in}), 0) AS BIGINT) END",
+        f"rolling_min_{_w}": f"CASE WHEN {_n} > 0 THEN CASE WHEN count(q) FILTER ({_in}) < {_n} THEN 0 ELSE CAST(min(q) FILTER ({_in}) AS BIGINT) END END",
+        f"active_days_{_w}": f"count(q) FILTER ({_in})",
+    }
+_s1, _s2 = (f"coalesce(sum({x}) FILTER (gap BETWEEN 1 AND 28), 0)" for x in ("q", "q * q"))
+_pairs["rolling_std_28"] = he(std("least(28, age_days)", _s1, _s2), 4)
+_lags = {f"demand_lag_{k}": f"CASE WHEN age_days >= {k} THEN CAST(coalesce(sum(q) FILTER (gap = {k}), 0) AS BIGINT) END" for k in (1, 7, 14, 28)}
+view("part_first_days", "SELECT part_id, warehouse_id, min(date) AS first_day FROM part_demand GROUP BY 1, 2")
+view("part_pairs", """
+SELECT a.part_id, a.warehouse_id, a.date, a.demand_requested, CAST(a.date - first_day AS INTEGER) AS age_days, b.demand_requested AS q, a.date - b.date AS gap
+FROM part_demand a JOIN part_first_days f ON a.part_id = f.part_id AND a.warehouse_id = f.warehouse_id
+LEFT JOIN part_demand b ON b.part_id = a.part_id AND b.warehouse_id = a.warehouse_id AND b.date < a.date
+""")
+put("part_demand_features", f"""
+SELECT {_PK}, demand_requested, age_days, CAST(min(gap) AS INTEGER) AS days_since_last, {", ".join(f"{e} AS {n}" for n, e in (_lags | _pairs).items())}
+FROM part_pairs GROUP BY {_PK}, demand_requested, age_days
+""")
+view("part_flows", f"""
+SELECT {_PK}, CAST(sum(d) AS BIGINT) AS demand_requested, CAST(sum(r) AS BIGINT) AS po_received
+FROM (SELECT {_PK}, demand_requested AS d, 0 AS r FROM part_demand UNION ALL SELECT {_PK}, 0, po_received FROM part_receipts) GROUP BY {_PK}
+""")
+view("part_stock", f"""
+SELECT {_PK}, demand_requested, po_received, bal + conj AS ending_inventory, coalesce(lag(bal + conj) OVER w, 20) AS beginning_inventory,
+       conj - coalesce(lag(conj) OVER w, 0) AS stockout_quantity, CAST(coalesce(lead(date) OVER w - date, 1) AS INTEGER) AS days_held
+FROM (
+  SELECT *, greatest(0, -min(bal) OVER (PARTITION BY part_id, warehouse_id ORDER BY date)) AS conj
+  FROM (SELECT *, CAST(20 + sum(po_received - demand_requested) OVER (PARTITION BY part_id, warehouse_id ORDER BY date) AS BIGINT) AS bal FROM part_flows)
+)
+WINDOW w AS (PARTITION BY part_id, warehouse_id ORDER BY date)
+""")
+put("part_ledger", "SELECT * FROM part_stock")
+put("part_stock_summary", f"""
+SELECT part_id, warehouse_id, min(date) AS first_day, max(date) AS last_day, CAST(sum(days_held) AS BIGINT) AS days, count(*) AS movement_days,
+       {he('sum(ending_inventory * days_held)::DOUBLE / sum(days_held)::DOUBLE', 4)} AS mean_stock,
+       CAST(sum(CASE WHEN ending_inventory = 0 THEN days_held ELSE 0 END) AS BIGINT) AS empty_days, CAST(sum(stockout_quantity) AS BIGINT) AS unmet_units
+FROM part_stock GROUP BY 1, 2
+""")
+
 # ------------------------------------------------------------------ stores and logs
 put("run_logs", " UNION ALL ".join(
     f"SELECT '{log}' AS log_name, r.run_id, count(*) AS n_rows FROM ({ORACLE[q]}) x, (VALUES ('RUN-1'), ('RUN-2')) r(run_id) GROUP BY r.run_id"
@@ -1225,6 +1281,9 @@ _KEYED = (
 DATE_COLUMNS: dict[str, tuple[str, ...]] = {name: ("date",) for name in _KEYED}
 DATE_COLUMNS |= {
     "stockout_episodes": ("first_day", "last_day"),
+    "part_demand_features": ("date",),
+    "part_ledger": ("date",),
+    "part_stock_summary": ("first_day", "last_day"),
     "upserted_orders": ("order_date",),
     "slice_rows": ("order_date",),
     "split_bounds": ("first_day", "last_day"),

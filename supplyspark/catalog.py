@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from supplyspark.functions import kpis
 from supplyspark.functions.exprs import half_even, ratio
-from supplyspark.operators import audit, cleaning, evaluate, forecast, forecast_store, leakage, ledger, policy, quality, risk, series, splits
+from supplyspark.operators import audit, cleaning, evaluate, forecast, forecast_store, leakage, ledger, policy, quality, ragged, risk, series, splits
 from supplyspark.operators.features import demand as fd
 from supplyspark.operators.features import inventory as fi
 from supplyspark.operators.features import supplier as fs
@@ -34,6 +34,7 @@ TRAIN_END, VAL_END = "1999-06-30", "2000-06-30"
 LEAK_CUTOFF = "2000-06-30"
 RECENT_CUTOFF = "2001-06-01"
 LATER_CUTOFF = "2001-09-15"
+PART_STOCK = 20  # units of each part that a warehouse starts with
 SERIES_KEY = ["product_id", "warehouse_id", "date"]
 
 
@@ -86,6 +87,10 @@ class View:
         start = self.star.dim_date.agg(F.min("date")).scalar()
         return fd.demand_features(self.grid, self.star.event_rows, HOLIDAYS, start)
 
+    @staged_property
+    def part_stock(self) -> DataFrame:
+        return ragged.ledger(ragged.flows(self.star.part_demand, self.star.part_receipts), PART_STOCK)
+
     @cached_property
     def ledger_base(self) -> DataFrame:
         s = self.star
@@ -1202,6 +1207,25 @@ def _content(df: DataFrame) -> Column:
     return df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).scalar()
 
 
+# ---------------------------------------------------------------------- part grain
+@query
+def part_demand_features(v: View) -> DataFrame:
+    """Lags and rolling measures of every part and warehouse, on its days with demand."""
+    return ragged.demand_features(v.star.part_demand)
+
+
+@query
+def part_ledger(v: View) -> DataFrame:
+    """Stock of every part and warehouse after each day with a movement."""
+    return v.part_stock
+
+
+@query
+def part_stock_summary(v: View) -> DataFrame:
+    """Span, mean stock, empty days and unmet units of every part and warehouse."""
+    return ragged.stock_summary(v.part_stock)
+
+
 # ------------------------------------------------------------------- learned models
 # Labelled rows that classifiers are fitted on; validation and test rows are all
 # used, and regressors are fitted on all training rows. Rounds, depths and

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from supplyspark.functions.exprs import calendar_columns, flag
 from supplyspark.operators import ledger as L
+from supplyspark.operators import ragged
 from supplyspark.session import staged_property, tune
 from supplyspark.sources.io import literal_rows, with_default_member
 from supplyspark.sources.schemas import SPECS
@@ -391,6 +392,24 @@ class StarSchema:
         ).agg(F.sum("quantity_received").alias("po_received"))
         return L.dense_flows(self.dim_product, self.dim_warehouse, self.dim_date, demand, receipts)
 
+    @cached_property
+    def part_demand(self) -> DataFrame:
+        """Units of each part, warehouse and day; days without orders have no row."""
+        orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
+        places = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+        nations = self.raw("nation").select("n_nationkey", tag("WH-", "n_regionkey").alias("warehouse_id"))
+        lines = self.raw("lineitem").select("l_orderkey", F.col("l_partkey").alias("part_id"), F.col("l_quantity").cast("long").alias("demand_requested"))
+        rows = lines.join(orders.join(places.join(nations, "n_nationkey"), "o_custkey"), "l_orderkey")
+        return ragged.daily(rows, "demand_requested")
+
+    @cached_property
+    def part_receipts(self) -> DataFrame:
+        """Units of each part that arrive at a warehouse on a day, from the purchase orders."""
+        orders = self.fact_purchase_orders
+        part = F.split_part("po_id", F.lit("-"), F.lit(4)).cast("long").alias("part_id")
+        rows = orders.select(part, "warehouse_id", F.col("actual_delivery_date").alias("date"), F.col("quantity_received").alias("po_received"))
+        return ragged.daily(rows, "po_received")
+
     @cached_property
     def policy_terms(self) -> DataFrame:
         return self.dim_product.select(
