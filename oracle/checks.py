@@ -679,6 +679,9 @@ FROM (SELECT (SELECT sum({_COST}) FROM raw_orders) AS a,
    - coalesce((SELECT sum(c.total_procurement_cost - coalesce(f.total_procurement_cost, 0.0::DOUBLE)) FROM cleaned_orders c JOIN first_orders f USING (po_id) WHERE f.unit_cost <= 0), 0.0::DOUBLE) AS b)
 """)
 
+_CHECKS = f"SELECT * FROM ({ORACLE['reconcile_all']}) UNION ALL SELECT * FROM ({ORACLE['cross_stage_demand']}) UNION ALL SELECT * FROM ({ORACLE['cross_stage_cost']})"
+put("reconciliation_verdict", f"SELECT count(*) AS n_checks, count(*) FILTER (NOT passed) AS n_failed, bool_and(passed) AS all_passed FROM ({_CHECKS})")
+
 
 def prof(table: str, src: str, columns: list[str]) -> str:
     miss = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in columns)
@@ -1175,16 +1178,15 @@ def money(x: str) -> str:
 
 put("transfer_explanations", f"""
 SELECT scenario_name, 'TRANSFER' AS entity_type, origin_warehouse || '->' || dest_warehouse || ':' || t.product_id AS entity_id, t.product_id, {he('q', 2)} AS quantity, {he('q * (unit_cost + 2.5e0) - c', 2)} AS impact_value,
-  'Prescribed lateral transfer of ' || {units('q')} || ' units of ' || product_name || ' (' || t.product_id || ') from ' || o.warehouse_name || ' (' || origin_warehouse || ') to ' || d.warehouse_name || ' (' || dest_warehouse
-  || ') at transfer cost of $' || {money('c')} || ' ($' || {money('unit_transfer_cost')} || '/unit). Surplus stock at ' || origin_warehouse || ' was mobilized to cover regional demand deficit at ' || dest_warehouse
-  || ', avoiding an estimated $' || {money('q * (unit_cost + 2.5e0)')} || ' in new purchase orders and freight.' AS explanation
+  'Move ' || {units('q')} || ' of ' || product_name || ' [' || t.product_id || '] by lateral transfer, ' || o.warehouse_name || ' to ' || d.warehouse_name || ' [' || origin_warehouse || ' > ' || dest_warehouse
+  || ']. Freight: ' || {money('c')} || ' in total, ' || {money('unit_transfer_cost')} || ' a unit. Buying the same units new would cost about ' || {money('q * (unit_cost + 2.5e0)')} || ' with freight.' AS explanation
 FROM (SELECT *, transfer_quantity AS q, total_transfer_cost AS c FROM plan_moves WHERE scenario_name = 'baseline' ORDER BY transfer_quantity DESC, product_id, origin_warehouse, dest_warehouse LIMIT 5) t
 JOIN dim_product p ON t.product_id = p.product_id JOIN dim_warehouse o ON o.warehouse_id = origin_warehouse JOIN dim_warehouse d ON d.warehouse_id = dest_warehouse
 """)
 put("dual_sourcing_explanations", f"""
 SELECT scenario_name, 'DUAL_SOURCING' AS entity_type, t.product_id || ':' || secondary_supplier_id AS entity_id, t.product_id, {he('q', 2)} AS quantity, {he('q / a * 100.0e0', 1)} AS impact_value,
-  'Allocated ' || {units('q')} || ' units (' || {f1('q / a * 100.0e0')} || '%) of ' || product_name || ' (' || t.product_id || ') to secondary supplier ' || s2.supplier_name || ' (' || secondary_supplier_id || ') alongside primary supplier '
-  || s1.supplier_name || ' (' || primary_supplier_id || '). Dual-sourcing protects delivery continuity against single-vendor delay exposure and respects the 60% single-supplier allocation policy ceiling.' AS explanation
+  product_name || ' [' || t.product_id || ']: ' || {units('q')} || ' units, ' || {f1('q / a * 100.0e0')} || '% of the order, go to ' || s2.supplier_name || ' [' || secondary_supplier_id || '], the rest to '
+  || s1.supplier_name || ' [' || primary_supplier_id || ']. No supplier may get more than 60%, so that a late delivery of one leaves the other.' AS explanation
 FROM (SELECT scenario_name, product_id, coalesce(sum(order_quantity) FILTER (NOT is_primary), 0) AS q, sum(order_quantity) AS a FROM plan_orders WHERE scenario_name = 'baseline' GROUP BY 1, 2 ORDER BY q DESC, product_id LIMIT 5) t
 JOIN dim_product p ON t.product_id = p.product_id JOIN dim_supplier s1 ON s1.supplier_id = primary_supplier_id JOIN dim_supplier s2 ON s2.supplier_id = secondary_supplier_id
 WHERE q > 0
@@ -1253,6 +1255,15 @@ SELECT part_id, warehouse_id, min(date) AS first_day, max(date) AS last_day, CAS
 FROM part_stock GROUP BY 1, 2
 """)
 
+put("supplier_display", """
+SELECT supplier_id, supplier_name, supplier_tier, printf('%.1f', supplier_delay_probability * 100.0::DOUBLE) || '%' AS supplier_delay_probability, supplier_risk_score, supplier_risk_band,
+       printf('%.1f', hist_on_time_rate * 100.0::DOUBLE) || '%' AS hist_on_time_rate, hist_p90_delay FROM profile
+""")
+put("worst_position", """
+SELECT date, product_id, warehouse_id, operational_exposure_score, CAST(least(len(ev), 4) AS INTEGER) AS n_evidence
+FROM explained WHERE date = (SELECT max(date) FROM explained) ORDER BY operational_exposure_score DESC, product_id, warehouse_id LIMIT 1
+""")
+
 # ------------------------------------------------------------------ stores and logs
 put("run_logs", " UNION ALL ".join(
     f"SELECT '{log}' AS log_name, r.run_id, count(*) AS n_rows FROM ({ORACLE[q]}) x, (VALUES ('RUN-1'), ('RUN-2')) r(run_id) GROUP BY r.run_id"
@@ -1282,6 +1293,7 @@ DATE_COLUMNS: dict[str, tuple[str, ...]] = {name: ("date",) for name in _KEYED}
 DATE_COLUMNS |= {
     "stockout_episodes": ("first_day", "last_day"),
     "part_demand_features": ("date",),
+    "worst_position": ("date",),
     "part_ledger": ("date",),
     "part_stock_summary": ("first_day", "last_day"),
     "upserted_orders": ("order_date",),

@@ -523,6 +523,13 @@ def reconcile_all(v: View) -> DataFrame:
     return reconcile.reconcile_all(v.star, v.stored_rollups)
 
 
+@query
+def reconciliation_verdict(v: View) -> DataFrame:
+    """Whether every check of one build holds, those across the cleaning included."""
+    cross = [cross_stage_demand(v), cross_stage_cost(v)]
+    return reconcile.all_passed(reconcile.reconcile_all(v.star, v.stored_rollups, cross))
+
+
 @query
 def fanout_audit(v: View) -> DataFrame:
     return reconcile.fanout_audit(v.star.ledger, v.star.fact_purchase_orders, v.cost_summary)
@@ -979,6 +986,20 @@ def risk_snapshot(v: View) -> DataFrame:
     return out.select(*[half_even(c, 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@query
+def supplier_display(v: View) -> DataFrame:
+    return risk.supplier_display(v.supplier_profile)
+
+
+@query
+def worst_position(v: View) -> DataFrame:
+    """The riskiest position of the snapshot, looked up as a drill-down does."""
+    order = [F.desc("operational_exposure_score"), "product_id", "warehouse_id"]
+    worst = v.snapshot.orderBy(*order).limit(1).select("product_id", "warehouse_id").first()
+    row = risk.drill_down(v.snapshot, worst["product_id"], worst["warehouse_id"])
+    return row.select("date", "product_id", "warehouse_id", "operational_exposure_score", F.size("evidence_items").alias("n_evidence"))
+
+
 @query
 def exposure_matrix(v: View) -> DataFrame:
     places = v.star.dim_warehouse.select("warehouse_id").orderBy("warehouse_id").collect()  # one column for each

@@ -142,12 +142,6 @@ def is_null_like(c: Column | str) -> Column:
     return col(c).isNull() | F.trim(col(c).cast("string")).isin(*NULL_TOKENS)
 
 
-def in_comma_list(item: Column | str, comma_list: Column | str) -> Column:
-    """Membership of an item in a comma separated text; 'ALL' holds everything."""
-    parts = F.split(col(comma_list), r",\s*")
-    return F.array_contains(parts, col(item)) | (col(comma_list) == "ALL")
-
-
 def lower_first(text: Column) -> Column:
     return F.concat(F.lower(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 

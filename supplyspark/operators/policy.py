@@ -709,12 +709,10 @@ def explain_transfers(transfers: DataFrame, dim_product: DataFrame, dim_warehous
     q, cost = F.col("transfer_quantity"), F.col("total_transfer_cost")
     purchase = q * (F.col("unit_cost") + costs.BASE_FREIGHT_RATE)
     text = F.concat(
-        F.lit("Prescribed lateral transfer of "), _units(q), F.lit(" units of "), F.col("product_name"), F.lit(" ("),
-        F.col("product_id"), F.lit(") from "), F.col("o"), F.lit(" ("), F.col("origin_warehouse"), F.lit(") to "),
-        F.col("d"), F.lit(" ("), F.col("dest_warehouse"), F.lit(") at transfer cost of $"), _money(cost), F.lit(" ($"),
-        _money(F.col("unit_transfer_cost")), F.lit("/unit). Surplus stock at "), F.col("origin_warehouse"),
-        F.lit(" was mobilized to cover regional demand deficit at "), F.col("dest_warehouse"),
-        F.lit(", avoiding an estimated $"), _money(purchase), F.lit(" in new purchase orders and freight."),
+        F.lit("Move "), _units(q), F.lit(" of "), F.col("product_name"), F.lit(" ["), F.col("product_id"), F.lit("] by lateral transfer, "),
+        F.col("o"), F.lit(" to "), F.col("d"), F.lit(" ["), F.col("origin_warehouse"), F.lit(" > "), F.col("dest_warehouse"),
+        F.lit("]. Freight: "), _money(cost), F.lit(" in total, "), _money(F.col("unit_transfer_cost")),
+        F.lit(" a unit. Buying the same units new would cost about "), _money(purchase), F.lit(" with freight."),
     )
     return joined.select(
         "scenario_name",
@@ -727,7 +725,9 @@ def explain_transfers(transfers: DataFrame, dim_product: DataFrame, dim_warehous
     )
 
 
-def explain_dual_sourcing(orders: DataFrame, dim_product: DataFrame, dim_supplier: DataFrame, top_n: int = 5) -> DataFrame:
+def explain_dual_sourcing(
+    orders: DataFrame, dim_product: DataFrame, dim_supplier: DataFrame, top_n: int = 5, max_share: float = MAX_SUPPLIER_SHARE
+) -> DataFrame:
     """Products with the largest quantity at their secondary supplier, in words."""
     per = orders.groupBy("scenario_name", "product_id").agg(
         F.sum(F.when(~F.col("is_primary"), F.col("order_quantity")).otherwise(0.0)).alias("q"),
@@ -742,11 +742,10 @@ def explain_dual_sourcing(orders: DataFrame, dim_product: DataFrame, dim_supplie
     )
     share = F.col("q") / F.col("all_units") * 100.0
     text = F.concat(
-        F.lit("Allocated "), _units(F.col("q")), F.lit(" units ("), F.format_string("%.1f", half_even(share, 1)),
-        F.lit("%) of "), F.col("product_name"), F.lit(" ("), F.col("product_id"), F.lit(") to secondary supplier "),
-        F.col("s"), F.lit(" ("), F.col("secondary_supplier_id"), F.lit(") alongside primary supplier "), F.col("p"),
-        F.lit(" ("), F.col("primary_supplier_id"), F.lit("). Dual-sourcing protects delivery continuity against "
-        "single-vendor delay exposure and respects the 60% single-supplier allocation policy ceiling."),
+        F.col("product_name"), F.lit(" ["), F.col("product_id"), F.lit("]: "), _units(F.col("q")), F.lit(" units, "),
+        F.format_string("%.1f", half_even(share, 1)), F.lit("% of the order, go to "), F.col("s"), F.lit(" ["), F.col("secondary_supplier_id"),
+        F.lit("], the rest to "), F.col("p"), F.lit(" ["), F.col("primary_supplier_id"), F.lit("]. No supplier may get more than "),
+        F.format_string("%.0f", F.lit(max_share * 100.0)), F.lit("%, so that a late delivery of one leaves the other."),
     )
     return joined.select(
         "scenario_name",
@@ -812,11 +811,6 @@ def decision_rows(flows: DataFrame, transfers: DataFrame, orders: DataFrame, run
     return rows.select(F.lit(run_id).alias("run_id"), "*")
 
 
-def stamped(df: DataFrame, run_id: str) -> DataFrame:
-    """Run id and time for append-only logs (runs, comparisons, explanations)."""
-    return df.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("created_at"), "*")
-
-
 def coordinated_plan(
     positions: DataFrame,
     dims: Mapping[str, DataFrame],
