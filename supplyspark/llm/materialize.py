@@ -7,9 +7,9 @@ dealt to shards by range, so a shard is a contiguous stretch of the training
 order. A record is its token count and its ids at a fixed stride: a reader finds
 any slot by arithmetic and resumes there.
 
-Slots need the number of sequences before each scan partition, so a first pass
-only counts. Tokenising again costs less disk than keeping the ids of the whole
-corpus between the passes; the second pass checks that it meets the counts.
+Slots need the number of sequences before each scan partition, so the sequences
+are staged as compressed blocks first, and dealt to slots when they are read
+again. A block's records for one shard travel together and compressed.
 """
 
 from __future__ import annotations
@@ -77,15 +77,21 @@ def _as_binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _lengths(block: bytes, stride_: int) -> np.ndarray:
-    return np.ndarray(len(block) // stride_, dtype="<u4", buffer=block, strides=(stride_,)).astype(np.int64)
+def _lengths(block: bytes | memoryview, stride_: int) -> np.ndarray:
+    return np.ndarray(memoryview(block).nbytes // stride_, dtype="<u4", buffer=block, strides=(stride_,)).astype(np.int64)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[np.ndarray]:
-    use = _encoder(path, pattern)
-    for batch in batches:
-        for text in batch.column(0):
-            yield np.append(use.encode(text.as_py()), END_ID)
+BLOCK = 1024  # sequences that are staged together
+BLOCKS = "part int, first long, tokens long, ids binary"
+DEALT = "shard int, n long, slots binary, records binary"
+
+
+def _squeezed(data: np.ndarray, level: int = 7) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(memoryview(np.ascontiguousarray(data)).cast("B"), asbytes=True)
+
+
+def _stretched(blob: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), dtype=kind)
 
 
 MANIFEST = "shard long, path string, first_slot long, sequences long, stride long, width int, tokens long"
@@ -110,13 +116,36 @@ def write_shards(
     """
     spark = docs.sparkSession
     texts = texts_of(docs.withColumn("_row", F.lit(0)), "_row", text_col).select("text")
+    width = np.dtype(np.uint16 if _encoder(path, pattern).fast.n_vocab <= 1 << 16 else np.uint32)
+    record_bytes = stride(size, width.itemsize)
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, part = _encoder(path, pattern), TaskContext.get().partitionId()
+        first, held, held_n = 0, [], 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(len(ids) for ids in _documents(batches, path, pattern))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total])], ["part", "tokens"])
+        def block(stream: np.ndarray) -> pa.RecordBatch:
+            row = [[part], [first], [len(stream)], [_squeezed(stream)]]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(np.append(use.encode(text.as_py()), END_ID).astype(width))
+                held_n += len(held[-1])
+                if held_n >= BLOCK * size:
+                    stream = np.concatenate(held)
+                    whole = len(stream) // (BLOCK * size) * BLOCK
+                    for at in range(0, whole, BLOCK):
+                        yield block(stream[at * size : (at + BLOCK) * size])
+                        first += BLOCK
+                    held = [stream[whole * size :]]
+                    held_n = len(held[0])
+        if held_n:
+            yield block(np.concatenate(held))
 
+    blocks = staged(texts.mapInArrow(tokenise, BLOCKS), "blocks")
     # A row of two numbers for each scan partition.
-    counted = {row["part"]: row["tokens"] for row in texts.mapInArrow(count, "part long, tokens long").collect()}
+    counted = {row["part"]: row["tokens"] for row in blocks.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect()}
     parts = max(counted, default=-1) + 1
     starts = np.concatenate([[0], np.cumsum([-(-counted.get(p, 0) // size) for p in range(parts)])]).astype(np.int64)
     n = int(starts[-1])
@@ -125,75 +154,47 @@ def write_shards(
     order = Permutation(n, key)
     shards = math.ceil(n / shard_sequences)
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    width = np.dtype(np.uint16 if _encoder(path, pattern).fast.n_vocab <= 1 << 16 else np.uint32)
-    record_bytes = stride(size, width.itemsize)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        done, held, held_n, tokens = 0, [], 0, 0
-
-        def out(stream: np.ndarray) -> pa.RecordBatch:
-            """Records of the sequences that ``stream`` is cut into; the last may be padded."""
-            nonlocal done
-            n_out = -(-len(stream) // size)
-            slots = order.slot(np.arange(starts[part] + done, starts[part] + done + n_out))
-            done += n_out
-            padded = np.full(n_out * size, END_ID, dtype=width)
-            padded[: len(stream)] = stream
-            lengths = np.full(n_out, size, dtype="<u4")
-            lengths[-1] = len(stream) - (n_out - 1) * size
-            records = np.concatenate([lengths.view(np.uint8).reshape(n_out, 4), padded.view(np.uint8).reshape(n_out, -1)], axis=1)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(slots // shard_sequences, pa.int32()), pa.array(slots), _as_binary(records)], ["shard", "slot", "record"]
-            )
-
-        for ids in _documents(batches, path, pattern):
-            held.append(ids)
-            held_n += len(ids)
-            tokens += len(ids)
-            if held_n >= 256 * size:
-                stream = np.concatenate(held)
-                whole = len(stream) // size * size
-                yield out(stream[:whole])
-                held = [stream[whole:]]
-                held_n = len(held[0])
-        if held_n:
-            yield out(np.concatenate(held))
-        if tokens != counted.get(part, 0):
-            raise RuntimeError("the scan was split differently than in the counting pass")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, first, tokens, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n_out = -(-tokens // size)
+                padded = np.full(n_out * size, END_ID, dtype=width)
+                padded[:tokens] = _stretched(blob, tokens, width)
+                lengths = np.full(n_out, size, dtype="<u4")
+                lengths[-1] = tokens - (n_out - 1) * size
+                records = np.concatenate([lengths.view(np.uint8).reshape(n_out, 4), padded.view(np.uint8).reshape(n_out, -1)], axis=1)
+                slots = order.slot(np.arange(starts[part] + first, starts[part] + first + n_out))
+                by = np.argsort(slots, kind="stable")
+                shard = slots[by] // shard_sequences
+                at = np.flatnonzero(np.diff(shard, prepend=-1))
+                rows = [(shard[a], b - a, slots[by[a:b]].tobytes(), _squeezed(records[by[a:b]])) for a, b in zip(at, [*at[1:], n_out], strict=True)]
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in DEALT.split(", ")])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = place(folder)
-        file, now = None, None
-
-        def close() -> pa.RecordBatch:
-            file.close()
-            row = [[v] for v in (now["shard"], now["path"], now["first"], now["n"], now["stride"], width.itemsize, now["tokens"])]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in MANIFEST.split(", ")])
-
+        """A partition is one shard."""
+        shard, body = None, None
         for batch in batches:
-            shards_, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            firsts = np.flatnonzero(np.diff(shards_, prepend=-1)) if len(shards_) else []
-            for a, b in zip(firsts, [*firsts[1:], len(shards_)], strict=True):
-                if now is None or now["shard"] != shards_[a]:
-                    if now is not None:
-                        yield close()
-                    # A new name for every attempt; only finished tasks report theirs.
-                    name = f"shard-{shards_[a]:06d}-{uuid.uuid4().hex}.bin"
-                    fs.create_dir(root, recursive=True)
-                    file = fs.open_output_stream(f"{root}/{name}")
-                    now = {"shard": int(shards_[a]), "path": f"{folder}/{name}", "first": int(slots[a]), "n": 0, "stride": record_bytes, "tokens": 0}
-                block = b"".join(batch.column(2).slice(a, b - a).to_pylist())
-                file.write(block)
-                now["n"] += int(b - a)
-                now["tokens"] += int(_lengths(block, record_bytes).sum())
-        if now is not None:
-            yield close()
-
-    rows = texts.mapInArrow(cut, "shard int, slot long, record binary")
-    ranged = rows.repartitionById(shards, "shard").sortWithinPartitions("slot")
-    return staged(ranged.mapInArrow(write, MANIFEST), "manifest")
+            for shard, k, slots, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if body is None:
+                    body = np.zeros((min(shard_sequences, n - shard * shard_sequences), record_bytes), dtype=np.uint8)
+                places = np.frombuffer(slots, np.int64) - shard * shard_sequences
+                body[places] = _stretched(records, k * record_bytes, np.dtype(np.uint8)).reshape(k, record_bytes)
+        if body is None:
+            return
+        fs, root = place(folder)
+        fs.create_dir(root, recursive=True)
+        # A new name for every attempt; only finished tasks report theirs.
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bin"
+        with fs.open_output_stream(f"{root}/{name}") as file:
+            file.write(memoryview(body).cast("B"))
+        tokens = int(_lengths(body.data, record_bytes).sum())
+        row = [[v] for v in (shard, f"{folder}/{name}", shard * shard_sequences, len(body), record_bytes, width.itemsize, tokens)]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in MANIFEST.split(", ")])
+
+    return staged(blocks.mapInArrow(deal, DEALT).repartitionById(shards, "shard").mapInArrow(write, MANIFEST), "manifest")
 
 
 def _blocks(path: str, offset: int, stride_: int, slot: int) -> Iterator[tuple[int, bytes]]:
