@@ -1,8 +1,8 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
 Built-in functions only. A text's full content is hashed only where another
-text has the same length and the same prefix. Text is never shuffled: the
-groups of one level are small rows that go to the scan of the next.
+text has the same length and the same prefix. As long as the groups of a level
+are few, they go to the scan of the next one and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from supplyspark.llm.common import staged
 
 PREFIX_CHARS = 64
 # Groups of a level with at most so many rows (24 bytes each) are broadcast to
-# the next scan. With more of them, that level rules nothing out and the next
-# one decides: hashing a text in place costs less than moving it.
+# the next scan. With more of them the level is a shuffled join, whose hot
+# groups Spark splits.
 BROADCAST_GROUPS = 500_000
 
 
@@ -23,9 +23,8 @@ def _narrow(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Leave ``_alive`` true only where the group over ``keys`` has two rows or more."""
     repeated = rows.filter("_alive").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     repeated = staged(repeated, "repeated")
-    if repeated.count() > limit:
-        return rows
-    hit = F.broadcast(repeated.withColumn("_hit", F.lit(True)))
+    hit = repeated.withColumn("_hit", F.lit(True))
+    hit = F.broadcast(hit) if repeated.count() <= limit else hit
     return rows.join(hit, keys, "left").withColumn("_alive", F.col("_alive") & F.col("_hit").isNotNull()).drop("_hit")
 
 
@@ -94,18 +93,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with the columns of ``docs`` only.
 
-    Rows whose length and prefix are unique never move. Of the others only those
-    with the largest id of their group are shuffled, to leave one where a row
-    repeats (all of them, if the groups are too many to broadcast).
-    Columns of ``docs`` may have any names but those starting with ``_``.
+    Rows whose length and prefix are unique never move while the groups are few
+    enough to broadcast. Of the others only those with the largest id of their
+    group are shuffled, to leave one where a row repeats. Columns of ``docs``
+    may have any names: the operator works under names of its own.
     """
     names = docs.columns
-    rows, groups = refine(docs, id_col=id_col, text_col=text_col, **options)
+    inner = [f"c{i}" for i in range(len(names))]
+    id_, text = inner[names.index(id_col)], inner[names.index(text_col)]
+    rows, groups = refine(docs.toDF(*inner), id_col=id_, text_col=text, **options)
     joined = rows.filter("_alive").join(_small(groups, options), LEVELS, "left")
-    winners = joined.filter(F.col("_size").isNotNull() & F.col(id_col).eqNullSafe(F.col("_keep")))
-    return (
+    winners = joined.filter(F.col("_size").isNotNull() & F.col(id_).eqNullSafe(F.col("_keep")))
+    kept = (
         rows.filter(~F.col("_alive"))
-        .select(*names)
-        .unionByName(joined.filter("_size is null").select(*names))
-        .unionByName(winners.dropDuplicates([*LEVELS, "_keep"]).select(*names))
+        .select(*inner)
+        .unionByName(joined.filter("_size is null").select(*inner))
+        .unionByName(winners.dropDuplicates([*LEVELS, "_keep"]).select(*inner))
     )
+    return kept.toDF(*names)
