@@ -11,23 +11,25 @@ anew in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterator
-import functools
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from supplyspark.llm.common import staged
+from supplyspark.llm.common import shared_dir, staged
+from supplyspark.llm.language_model import _place as place
 
 SHARD_ROWS = 4000
 DEGREE = 32
 BEAM = 64
 RELAX = (1.0, 1.2)  # pruning factor of each pass
 BATCH = 256  # points that search and are pruned at once
-QUERY_BLOCK = 20_000  # queries sent to the shards at once
+QUERY_BLOCK = 1024  # queries that a worker reads at once
 
 
 def _squared(points: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -36,6 +38,31 @@ def _squared(points: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.einsum("bcd,bcd->bc", gap, gap)
 
 
+def _exponent(data: np.ndarray) -> int:
+    """Power of two that brings the largest component to about 1."""
+    return -int(np.frexp(np.abs(data).max())[1]) if data.size else 0
+
+
+def _coarse(vectors: np.ndarray, exponent: int) -> np.ndarray:
+    """Scaled to single precision; a query far beyond the shard's vectors is cut off at what can be squared."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.ldexp(vectors.astype("f8"), exponent), -1e15, 1e15).astype("f4")
+
+
+def _distances(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; squares that overflow or vanish are taken of scaled gaps."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = others.astype("f8") - points.astype("f8")[:, None]
+        plain = np.sqrt(np.einsum("bcd,bcd->bc", gap, gap))
+    odd = ~np.isfinite(plain) | (plain < 1e-140)
+    if odd.any():
+        half = (others.astype("f8") * 0.5 - points.astype("f8")[:, None] * 0.5)[odd]  # a gap may overflow too
+        largest = np.abs(half).max(axis=1, keepdims=True)
+        safe = np.where(largest > 0, largest, 1.0)
+        plain[odd] = np.sqrt(((half / safe) ** 2).sum(axis=1)) * safe[:, 0] * 2
+    return plain
+
+
 def beam_search(data: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The nearest nodes found for each query, their squared distances, and the nodes passed on the way.
 
@@ -180,61 +207,67 @@ class GraphIndex:
         def build(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("node")
             data = np.stack(part["vector"].to_numpy()).astype(kind)
-            graph, start = build_graph(data.astype("f4"))
+            graph, start = build_graph(_coarse(data, _exponent(data)))
             return pd.DataFrame(
                 {"ids": [part["node"].to_numpy("i8").tobytes()], "data": [data.tobytes()], "graph": [graph.astype("i4").tobytes()], "start": [start]}
             )
 
         # A partition for each shard: the rows are few and the work on them isn't.
-        sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards))).repartition(shards, "shard")
-        self.shards = staged(sharded.groupBy("shard").applyInPandas(build, "ids binary, data binary, graph binary, start long"), "graphs")
+        sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+
+        def build_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [frame for frame in frames if len(frame)]
+            if parts:
+                yield build(pd.concat(parts))
+
+        self.shards = staged(sharded.mapInPandas(build_all, "ids binary, data binary, graph binary, start long"), "graphs")
         self.rows = rows
 
-    def _near_nodes(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> DataFrame:
-        """``k`` nodes from every shard for each of a bounded block of queries."""
+    def _near_nodes(self, folder: str, k: int, beam: int) -> DataFrame:
+        """``k`` nodes from every shard for each of the queries in ``folder``."""
         kind = self.kind
 
+        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            fs, path = place(folder)
+            for block in pads.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=QUERY_BLOCK, use_threads=False):
+                if block.num_rows:
+                    vectors = block.column(block.schema.get_field_index("vector"))
+                    yield block.column(block.schema.get_field_index("vec_id")).to_numpy(), vectors.flatten().to_numpy().reshape(block.num_rows, -1)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     nodes = np.frombuffer(row["ids"], "i8")
                     data = np.frombuffer(row["data"], kind).reshape(len(nodes), -1)
                     graph = np.frombuffer(row["graph"], "i4").reshape(len(nodes), -1)
-                    coarse = data.astype("f4")
-                    for at in range(0, len(ids), BATCH):
-                        part = queries[at : at + BATCH]
-                        found = beam_search(coarse, graph, row["start"], part.astype("f4"), max(beam, k))[0][:, :k]
-                        exact = np.sqrt(_squared(part.astype("f8"), data[found].astype("f8")))
-                        real = found >= 0
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(ids[at : at + BATCH], real.sum(axis=1))), pa.array(nodes[found[real]]), pa.array(exact[real])],
-                            ["query_id", "node", "score"],
-                        )
+                    exponent = _exponent(data)
+                    coarse = _coarse(data, exponent)
+                    for ids, queries in blocks():
+                        for at in range(0, len(ids), BATCH):
+                            part = queries[at : at + BATCH]
+                            found = beam_search(coarse, graph, row["start"], _coarse(part, exponent), max(beam, k))[0]
+                            exact = np.where(found < 0, np.inf, _distances(part, data[found]))
+                            best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+                            found, exact = np.take_along_axis(found, best, 1), np.take_along_axis(exact, best, 1)
+                            real = found >= 0
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.repeat(ids[at : at + BATCH], real.sum(axis=1))), pa.array(nodes[found[real]]), pa.array(exact[real])],
+                                ["query_id", "node", "score"],
+                            )
 
         # Few large rows: each shard is a task of its own.
         return self.shards.mapInArrow(run, "query_id long, node long, score double")
 
-    def search(self, is_query, k: int = 10, beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
+    def search(self, is_query, k: int = 10, beam: int = BEAM) -> DataFrame:
         """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest rows to each row for which ``is_query``.
 
         A row isn't its own neighbour; ties go to the smaller id. ``keep`` of
-        the index must be more than ``k``.
+        the index must be more than ``k``. Without queries, or without rows, the
+        result is empty. Queries never pass through the driver.
         """
-        wanted = self.rows.filter(is_query).select("vec_id", "vector")
-        blocks = max(1, math.ceil(wanted.count() / block))
-        number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-        found = []
-        for b in range(blocks):
-            rows = wanted.filter(number == b).orderBy("vec_id").collect()  # about ``block`` queries
-            if not rows:
-                continue
-            ids = np.array([r["vec_id"] for r in rows], dtype="i8")
-            queries = np.array([r["vector"] for r in rows], dtype=self.kind).reshape(len(ids), -1)
-            found.append(self._near_nodes(ids, queries, k + 1, beam))
-        if not found:
-            return wanted.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        nearest = functools.reduce(DataFrame.unionAll, found)
-        nearest = _first(nearest, F.col("score"), F.col("node"), k + 1).drop("rank")
+        folder = f"{shared_dir(self.rows.sparkSession)}/vector-queries-{uuid.uuid4().hex}"
+        self.rows.filter(is_query).select("vec_id", "vector").write.parquet(folder)
+        nearest = _first(self._near_nodes(folder, k + 1, beam), F.col("score"), F.col("node"), k + 1).drop("rank")
         each = nearest.join(self.members, "node").filter("vec_id <> query_id")
         return _first(each.select("query_id", "vec_id", "score"), F.col("score"), F.col("vec_id"), k).select("query_id", "rank", "vec_id", "score")
 

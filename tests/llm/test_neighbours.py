@@ -73,8 +73,30 @@ def test_ties_copies_and_rows_left_out(spark):
 
 def test_few_and_no_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BATCH", 2)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 1)
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
-    found = found_in(GraphIndex(few).search(F.col("vec_id") % 20 == 0, block=1))
+    found = found_in(GraphIndex(few).search(F.col("vec_id") % 20 == 0))
     assert {q: [i for _, i in v] for q, v in found.items()} == {0: [20, 1], 20: [0, 1]}
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert GraphIndex(none).search(F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_large_and_small_vectors(spark):
+    """Magnitudes whose squares overflow or vanish, one at a time and together."""
+    rng = np.random.default_rng(8)
+    for scale in (1e20, 1e-20, 1e200, 1e-200):
+        rows = [(i, (rng.normal(size=4) * scale).tolist()) for i in range(60)]
+        found = found_in(GraphIndex(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=25).search(F.col("vec_id") % 20 == 0))
+        wanted = brute([(i, [x / scale for x in v]) for i, v in rows], [(i, [x / scale for x in v]) for i, v in rows if i % 20 == 0])
+        for q in wanted:
+            assert [i for _, i in found[q]] == [i for _, i in wanted[q]]
+            assert np.allclose([s / scale for s, _ in found[q]], [s for s, _ in wanted[q]])
+    rows = [(i, (rng.normal(size=4) * (1e20 if i % 2 else 1e-20)).tolist()) for i in range(60)]
+    found = found_in(GraphIndex(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).search(F.col("vec_id") % 20 == 0))
+    assert {len(v) for v in found.values()} == {10}
+
+
+def test_one_partition_for_each_shard(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(130)], "vec_id long, embedding array<double>")
+    index = GraphIndex(df, shard_rows=10)
+    assert index.shards.count() == 13 and sum(len(r["ids"]) for r in index.shards.collect()) == 129 * 8  # the zero vector takes no part
