@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from supplyspark.session import shared_dir, staged, tune  # noqa: F401
 
-# Rows handed to Python at once, and bytes of text worked on at once. Both only
-# bound memory; results do not depend on them.
+# Rows and bytes handed to Python at once, and bytes of text worked on at once.
+# They only bound memory; results do not depend on them.
 BATCH_ROWS = 1000
-CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,6 +56,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     tune(spark)
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -73,8 +76,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of rows of about CHUNK_BYTES; with each, its bytes and offsets.
+def _malloc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+_give_back = _malloc_trim()
+
+
+def trim() -> None:
+    """Give memory that a batch has freed back to the system: workers live on, and an executor pays for all of them."""
+    pa.default_memory_pool().release_unused()
+    _give_back(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run`` over batches, with ``trim`` after every one that it is done with."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                trim()
+
+        yield from run(each())
+
+    return lean
+
+
+def by_groups(run: Callable[[pa.Table], pa.Table], keys: Sequence[str]) -> Callable:
+    """``run`` on each group of rows with equal ``keys`` in partitions that are sorted by them.
+
+    Like a grouped map, but in workers that don't load pandas for it.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+            changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            for a, b in zip([0, *changes.tolist()], [*changes.tolist(), batch.num_rows], strict=True):
+                key = tuple(c[a] for c in columns)
+                if held and key != current:
+                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                current = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return whole
+
+
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut a batch into runs of rows of about ``size`` bytes; with each, its bytes and offsets.
 
     A row is never cut, so a chunk holds at least one row.
     """
@@ -84,7 +144,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
     ends = np.cumsum(sizes)
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
         part = batch.slice(start, stop - start)
         offsets = np.concatenate([[0], np.cumsum(sizes[start:stop])])
         data = np.frombuffer(b"".join(x or b"" for x in array.slice(start, stop - start).cast(pa.binary()).to_pylist()), dtype=np.uint8)
@@ -130,7 +190,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     have = _power_cache.get(int(base))
     if have is None or len(have) < n:
         have = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n + (n >> 2), base, dtype=np.uint64)]))
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 1 << 21:
             _power_cache[int(base)] = have
     return have[:n]
 

@@ -28,6 +28,7 @@ from supplyspark.llm.common import chunks, mix, shared_dir, texts_of, word_hashe
 
 SHARD_BYTES = 32 << 20  # of training text to a shard
 BUFFER = 2_000_000  # keys a task sorts at once
+LOOKUP_BYTES = 1 << 20  # of text whose keys are looked up together
 END = np.uint64(0x656E646F66746578)  # the hash that stands for the end of a text
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)  # where the counts of counts have gaps
 
@@ -233,7 +234,7 @@ def _vocabulary(texts: DataFrame, model: Model, folder: str) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Counter()
         for batch in batches:
-            for _, data, offsets in chunks(batch):
+            for _, data, offsets in chunks(batch, size=LOOKUP_BYTES):
                 found.add(_tokens(data, offsets)[0])
                 if found.full():
                     yield from found.rows(lambda keys: _spread(keys, shards))
@@ -283,7 +284,7 @@ def _pairs(texts: DataFrame, model: Model, folder: str) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Counter()
         for batch in batches:
-            for _, data, offsets in chunks(batch):
+            for _, data, offsets in chunks(batch, size=LOOKUP_BYTES):
                 ids, before, _, _ = _numbered(model, data, offsets)
                 found.add((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
                 if found.full():
@@ -404,7 +405,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in chunks(batch, size=LOOKUP_BYTES):
                 n, known, base, logs = _chunk_scores(model, data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(logs), pa.array(10 ** (-logs / n))],

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 import tiktoken
 import tokenizers
 
-from supplyspark.llm.common import staged, texts_of
+from supplyspark.llm.common import staged, texts_of, trimmed
 
 SEQUENCE = 1024
 END_ID = 0
@@ -139,7 +139,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 ["doc_id", "curve", "n", "ids"],
             )
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, curve long, n long, ids binary")
+    return texts_of(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, curve long, n long, ids binary")
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -212,7 +212,7 @@ def pack(
     parts = max(1, math.ceil(total / partition_tokens))
     order = ["curve", "doc_id", "n"]
     laid = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return laid.select("doc_id", "n", "ids").mapInArrow(_packer(size), PIECES)
+    return laid.select("doc_id", "n", "ids").mapInArrow(trimmed(_packer(size)), PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from supplyspark.llm.common import texts_of
+from supplyspark.llm.common import texts_of, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -318,7 +318,7 @@ def find_personal_data(docs: DataFrame, labelled: list[str] | None = None, id_co
                 [batch.column(0), *(pa.array(c, _SPANS) for c in columns or [[], []])], ["doc_id", "base", "spans"]
             )
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return texts_of(docs, id_col, text_col).mapInArrow(trimmed(run), SCHEMA)
 
 
 def redact(docs: DataFrame, labelled: list[str] | None = None, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -344,7 +344,7 @@ def redact(docs: DataFrame, labelled: list[str] | None = None, text_col: str = "
                 columns[count_at] = pa.array(counts, batch.schema.field(count_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -18,12 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyspark.llm.common import chunks, components, mix, staged, texts_of, word_hashes
+from supplyspark.llm.common import by_groups, chunks, components, mix, staged, texts_of, trimmed, word_hashes
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -39,7 +38,7 @@ TOP = (1 << 16) - 1
 RULED_OUT = 10.0
 LEAST_EQUAL = 36
 # Nodes of a bucket (or their shingles) that are compared with each other in one task.
-BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 # Ids that go to every task of a scan (8 bytes each); with more, the scan is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -158,21 +157,19 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _undecided(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+def _undecided(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of the left block, each with the rows of the right block that it has to be compared with.
 
     These are nodes of other components that the registers don't rule out. A
     pair that already met in an earlier band is left to that one.
     """
-    side = rows["i"].to_numpy() == rows["own"].to_numpy()
-    same = bool((rows["i"] == rows["j"]).iloc[0])
+    i, j, own, band, sizes, components_, nodes = (rows[c].to_numpy() for c in ("i", "j", "own", "band", "n", "component", "node"))
+    side, same = i == own, bool(i[0] == j[0])
     left = np.flatnonzero(side)
     right = left if same else np.flatnonzero(~side)
     if not len(left) or not len(right):
         return
-    band = int(rows["band"].iloc[0])
-    sketches = _registers_of(rows["sketch"].tolist())
-    sizes, components_, nodes = (rows[c].to_numpy() for c in ("n", "component", "node"))
+    sketches = _registers_of(rows["sketch"].to_pylist())
     for k in left:
         at = right[components_[right] != components_[k]]
         if same:
@@ -184,7 +181,7 @@ def _undecided(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
         equal = x == y
         # Fewer equal registers have no chance: 63 are expected at the threshold, with deviation 4.
         few = equal.sum(axis=1) >= LEAST_EQUAL
-        few &= equal.reshape(len(at), BANDS, BAND_SIZE).all(axis=2).argmax(axis=1) == band
+        few &= equal.reshape(len(at), BANDS, BAND_SIZE).all(axis=2).argmax(axis=1) == band[0]
         at, y = at[few], y[few]
         if len(at):
             larger, smaller = (x > y).sum(axis=1), (x < y).sum(axis=1)
@@ -193,18 +190,18 @@ def _undecided(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
                 yield int(k), at[possible]
 
 
-def _contested(rows: pd.DataFrame) -> pd.DataFrame:
+def _contested(rows: pa.Table) -> pa.Table:
     """The nodes of two blocks that have to be compared with others."""
-    found = np.zeros(len(rows), dtype=bool)
+    found = np.zeros(rows.num_rows, dtype=bool)
     for k, at in _undecided(rows):
         found[k] = True
         found[at] = True
-    return rows.loc[found, ["key", "i", "j", "node"]]
+    return rows.select(["key", "i", "j", "node"]).filter(pa.array(found))
 
 
-def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_links(rows: pa.Table) -> pa.Table:
     """Links between nodes of two blocks, as many as join their components."""
-    members = [np.frombuffer(m, dtype=np.uint64) for m in rows["members"]]
+    members = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in rows["members"]]
     nodes, parts = rows["node"].to_numpy(), rows["component"].to_numpy()
     parent = {c: c for c in set(parts.tolist())}
 
@@ -220,7 +217,8 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
             if a != b and _linked(members[k], members[other]):
                 parent[max(a, b)] = min(a, b)
                 out.append((min(nodes[k], nodes[other]), max(nodes[k], nodes[other])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -253,7 +251,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.texts = texts_of(docs, id_col, text_col)
         self.signatures = staged(
-            self.texts.mapInArrow(_sketch, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "signatures"
+            self.texts.mapInArrow(trimmed(_sketch), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "signatures"
         )
         self.nodes = staged(
             self.signatures.filter("n_shingles > 0 and doc_id is not null")
@@ -273,14 +271,14 @@ class NearDuplicates:
         a, b = (self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
         joined = pairs.join(a, "a").join(b, "b")
         joined = joined.filter(100 * F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
-        return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_estimate, "a long, b long, guess double")
+        return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(trimmed(_estimate), "a long, b long, guess double")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """``node`` and ``members`` (its sorted shingle hashes) for each of ``nodes``."""
         needed = staged(nodes.select(F.col("node").alias("doc_id")).distinct(), "needed")
         if needed.count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
-        rows = self.texts.join(needed, "doc_id", "left_semi").mapInArrow(_set_rows, "node long, members binary")
+        rows = self.texts.join(needed, "doc_id", "left_semi").mapInArrow(trimmed(_set_rows), "node long, members binary")
         return staged(rows, "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -289,7 +287,7 @@ class NearDuplicates:
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m_{x}")) for x in "ab")
         joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "m_a", "m_b")
-        return joined.mapInArrow(_verify, "a long, b long, linked boolean")
+        return joined.mapInArrow(trimmed(_verify), "a long, b long, linked boolean")
 
     def links(self) -> DataFrame:
         """Links (a, b) that join every node to its component; both ends are nodes."""
@@ -340,10 +338,12 @@ class NearDuplicates:
         # The rows are small and the work on them isn't: keep Spark from merging these partitions by their bytes.
         parts = int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = staged(rows, "blocks")
-        contested = rows.repartition(parts, *task).groupBy(*task).applyInPandas(_contested, "key long, i long, j long, node long")
+        dealt = rows.repartition(parts, *task).sortWithinPartitions(*task)
+        contested = dealt.mapInArrow(trimmed(by_groups(_contested, task)), "key long, i long, j long, node long")
         contested = staged(contested, "contested")
         rows = rows.join(contested, [*task, "node"], "left_semi").join(self.sets(contested), "node")
-        return rows.repartition(parts, *task).groupBy(*task).applyInPandas(_block_links, "a long, b long").distinct()
+        dealt = rows.repartition(parts, *task).sortWithinPartitions(*task)
+        return dealt.mapInArrow(trimmed(by_groups(_block_links, task)), "a long, b long").distinct()
 
     def result(self) -> DataFrame:
         found = components(self.links())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 import regex
 
-from supplyspark.llm.common import staged, texts_of
+from supplyspark.llm.common import staged, texts_of, trimmed
 
 # Labelled rows the classifier is fitted on; those with the smallest hash of their id.
 SAMPLE_ROWS = 8000
@@ -32,6 +32,7 @@ PREFIXES = range(3, 8)
 NEIGHBOURS = 15
 BLOCK = 64
 WORDS_WEIGHT = 1.0  # in place of an IDF, for the count of words
+KNOWN = 5000  # vectors whose scores a worker remembers
 NEAR = 0.02  # a vote weighs 1 / (NEAR + distance)
 
 _WORD = regex.compile(r"\p{L}+")
@@ -218,7 +219,7 @@ class Classifier:
         terms, weights = self.vectorizer.vector(text)
         key = terms, tuple(np.round(weights, 12))
         if key not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             at, similarity = self.index.nearest(terms, weights, NEIGHBOURS)
             score = float(np.interp(self.vote(at, similarity), *self.steps))
@@ -292,7 +293,7 @@ def score_texts(docs: DataFrame, model: Classifier, text_col: str = "text") -> D
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     schema = ", ".join([*fields, "score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:double>>"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
@@ -304,4 +305,4 @@ def drop_toxic(docs: DataFrame, model: Classifier, text_col: str = "text") -> Da
             clean = [model.score(t or "")[0] < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
