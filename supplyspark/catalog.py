@@ -120,15 +120,22 @@ class View:
         made = forecast.baseline_forecasts(self.series_rows, known_only=False)
         return staged(forecast_store.store_rows(made, forecast_store.BASELINE), "forecast_store", ("horizon",))
 
+    @cached_property
+    def _learned(self) -> dict[tuple[str, int], DataFrame]:
+        return {}
+
+    def learned(self, family: str, horizon: int) -> DataFrame:
+        """Forecasts of the tuned model of one family for one horizon, fitted on first use."""
+        if (family, horizon) not in self._learned:
+            rows = staged(models.horizon_rows(self.demand_features, horizon, TRAIN_END, VAL_END), f"rows_{horizon}")
+            made = models.best_forecasts(rows, horizon, family)
+            self._learned[family, horizon] = staged(forecast_store.store_rows(made, forecast_store.LEARNED), f"{family}_{horizon}")
+        return self._learned[family, horizon]
+
     @cached_property
     def learned_store(self) -> DataFrame:
         """Forecasts of the tuned ridge and boosted models, in the same form."""
-        parts = [models.best_forecasts(self.horizon_rows(h), h) for h in fd.HORIZONS]
-        made = reduce(DataFrame.unionByName, parts)
-        return staged(forecast_store.store_rows(made, forecast_store.LEARNED), "learned_store", ("horizon",))
-
-    def horizon_rows(self, horizon: int) -> DataFrame:
-        return staged(models.horizon_rows(self.demand_features, horizon, TRAIN_END, VAL_END), f"rows_{horizon}")
+        return reduce(DataFrame.unionByName, [self.learned(f, h) for f in models.FORECAST_FAMILIES for h in fd.HORIZONS])
 
     @cached_property
     def full_store(self) -> DataFrame:
@@ -1257,14 +1264,13 @@ CLASSIFIER_ROWS = 20_000
 @query
 def ridge_forecast(v: View) -> DataFrame:
     """Test forecasts of the ridge model with the best strength, at every horizon."""
-    rows = forecast_store.known(v.learned_store)
-    return rows.filter((F.col("split") == splits.TEST) & F.col("model").startswith("Ridge"))
+    made = reduce(DataFrame.unionByName, [v.learned("ridge", h) for h in fd.HORIZONS])
+    return forecast_store.known(made).filter(F.col("split") == splits.TEST)
 
 
 def _boosted(v: View, horizon: int) -> DataFrame:
     """Metrics and residual spread of the best of the three configurations."""
-    rows = forecast_store.known(v.learned_store).filter((F.col("horizon") == f"t+{horizon}") & F.col("model").startswith("Boosted"))
-    return evaluate.forecast_metrics(rows, ["model", "horizon", "split"])
+    return evaluate.forecast_metrics(forecast_store.known(v.learned("boosted", horizon)), ["model", "horizon", "split"])
 
 
 @query

@@ -187,12 +187,16 @@ def forecast_rows(rows: DataFrame, encoder: Encoder, model, label: str, horizon:
     )
 
 
-def best_forecasts(rows: DataFrame, horizon: int) -> DataFrame:
-    """Forecasts of the best ridge strength and of the best boosted configuration, fitted on all training rows."""
-    encoder, model, alpha, _ = tune_ridge(rows)
-    ridge_rows = forecast_rows(rows, encoder, model, f"Ridge (alpha={alpha})", horizon)
+FORECAST_FAMILIES = ("ridge", "boosted")
+
+
+def best_forecasts(rows: DataFrame, horizon: int, family: str) -> DataFrame:
+    """Forecasts of the best setting of a family, fitted on all training rows."""
+    if family == "ridge":
+        encoder, model, alpha, _ = tune_ridge(rows)
+        return forecast_rows(rows, encoder, model, f"Ridge (alpha={alpha})", horizon)
     encoder, model, name, _ = tune_trees(rows)
-    return ridge_rows.unionByName(forecast_rows(rows, encoder, model, f"Boosted ({name})", horizon))
+    return forecast_rows(rows, encoder, model, f"Boosted ({name})", horizon)
 
 
 def importance_rows(spark: SparkSession, names: Sequence[str], values: Sequence[float], top_n: int = 15) -> DataFrame:
