@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from supplyspark import catalog  # noqa: E402
-from supplyspark.session import build_session  # noqa: E402
+from supplyspark.session import build_session, staged  # noqa: E402
 from supplyspark.sources.adapter import StagedStar  # noqa: E402
 
 STAGES = {
@@ -25,7 +25,7 @@ STAGES = {
     "build_rollups": lambda v: (v.daily_demand, v.supplier_performance, v.warehouse_operations, v.cost_summary),
     "build_demand_features": lambda v: v.demand_features,
     "build_inventory_features": lambda v: v.inventory_features,
-    "build_supplier_features": lambda v: v.supplier_features,
+    "build_supplier_features": lambda v: staged(v.supplier_features, "supplier_features"),
     "build_baseline_forecasts": lambda v: (v.baseline_forecasts, v.validation_metrics, v.selected_forecasts),
     "build_risk_scores": lambda v: (v.scored_inventory, v.scored_suppliers, v.supplier_profile, v.exposure),
     "build_policies": lambda v: (v.positions, v.scenario_positions, v.baseline, v.plan),
