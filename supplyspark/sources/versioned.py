@@ -11,10 +11,9 @@ stay readable, because no file is ever changed.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -22,6 +21,8 @@ from supplyspark.sources.commits import CommitConflict, CommitLog
 
 BUCKETS = 16
 BUCKET = "_bucket"
+SLICE = "_slice"  # of a bucket, so that one bucket is not one task
+NEW = "_new"
 
 
 class VersionedTable:
@@ -32,6 +33,21 @@ class VersionedTable:
     def _dealt(self, df: DataFrame) -> DataFrame:
         return df.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
+    def _sliced(self, df: DataFrame) -> DataFrame:
+        """Dealt by bucket and slice of it, in one shuffle: about as many groups as Spark has shuffle partitions."""
+        slices = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        number = F.pmod(F.shiftright(F.xxhash64(*self.keys), 32), F.lit(slices)).cast("int")
+        return self._dealt(df).withColumn(SLICE, number).repartition(BUCKET, SLICE)
+
+    def _doubled(self, new: DataFrame) -> bool:
+        """Whether a key comes twice. Only keys whose hash does are compared in full."""
+        code = F.xxhash64(*self.keys).alias("_code")
+        codes = new.select(code).groupBy("_code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if codes.isEmpty():
+            return False
+        rows = new.select(*self.keys, code).join(codes.select("_code"), "_code", "left_semi")
+        return not rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
     def entry(self, version: int | None = None) -> dict:
         """``{"buckets": {number: folder}, "schema": DDL}`` of a version, by default the latest."""
         number = self.log.latest() if version is None else version
@@ -51,8 +67,7 @@ class VersionedTable:
 
     def prepare(self, new: DataFrame, base: int | None) -> dict:
         """Merge ``new`` into version ``base`` and write the touched buckets; the entry to commit."""
-        doubled = new.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if not doubled.isEmpty():
+        if self._doubled(new):
             raise ValueError("rows of an upsert must have distinct keys")
         old = self.entry(base)
         dealt = self._dealt(new)
@@ -60,11 +75,15 @@ class VersionedTable:
         merged = new
         if old["schema"] is not None:
             before = self._read(old, touched)
-            same = reduce(lambda a, b: a & b, [before[k].eqNullSafe(new[k]) for k in self.keys])
-            merged = before.join(new.select(*self.keys), same, "left_anti").unionByName(new, allowMissingColumns=True)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema)
+            merged = before.withColumn(NEW, F.lit(0)).unionByName(new.withColumn(NEW, F.lit(1)), allowMissingColumns=True)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema if f.name != NEW)
         root = f"{self.folder}/data/{uuid.uuid4().hex}"
-        self._dealt(merged).repartition(BUCKET).write.partitionBy(BUCKET).parquet(root)
+        out = self._sliced(merged)
+        if old["schema"] is not None:
+            # Old and new rows of a key lie in one slice, so the merge needs no shuffle of its own.
+            newest = F.max(NEW).over(Window.partitionBy(BUCKET, SLICE, *self.keys))
+            out = out.withColumn("_newest", newest).filter(F.col(NEW) == F.col("_newest")).drop(NEW, "_newest")
+        out.drop(SLICE).write.partitionBy(BUCKET).option("compression", "zstd").parquet(root)
         return {"buckets": old["buckets"] | {n: f"{root}/{BUCKET}={n}" for n in touched}, "schema": schema, "touched": touched, "base": base}
 
     def commit(self, entry: dict) -> int:
