@@ -39,6 +39,8 @@ RULED_OUT = 10.0
 LEAST_EQUAL = 36
 # Nodes of a bucket (or their shingles) that are compared with each other in one task.
 BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
+# Pairs of a task whose likelihood is taken at once.
+PAIRS_AT_ONCE = 4096
 # Ids that go to every task of a scan (8 bytes each); with more, the scan is joined.
 BROADCAST_IDS = 1_000_000
 
@@ -170,6 +172,8 @@ def _undecided(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     if not len(left) or not len(right):
         return
     sketches = _registers_of(rows["sketch"].to_pylist())
+    # Pairs wait until there are enough of them for one call of the likelihood.
+    waiting, held = [], 0
     for k in left:
         at = right[components_[right] != components_[k]]
         if same:
@@ -177,17 +181,34 @@ def _undecided(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         at = at[100 * np.minimum(sizes[at], sizes[k]) >= THRESHOLD * np.maximum(sizes[at], sizes[k])]
         if not len(at):
             continue
-        x, y = sketches[k], sketches[at]
-        equal = x == y
+        equal = sketches[k] == sketches[at]
         # Fewer equal registers have no chance: 63 are expected at the threshold, with deviation 4.
-        few = equal.sum(axis=1) >= LEAST_EQUAL
-        few &= equal.reshape(len(at), BANDS, BAND_SIZE).all(axis=2).argmax(axis=1) == band[0]
-        at, y = at[few], y[few]
+        enough = equal.view(np.uint8).sum(axis=1, dtype=np.uint8) >= LEAST_EQUAL
+        at, equal = at[enough], equal[enough]
+        whole = np.logical_and.reduce([equal[:, i::BAND_SIZE] for i in range(BAND_SIZE)])
+        at = at[whole.argmax(axis=1) == band[0]]
         if len(at):
-            larger, smaller = (x > y).sum(axis=1), (x < y).sum(axis=1)
-            _, possible = likelihood(larger, smaller, np.full(len(at), float(sizes[k])), sizes[at].astype(np.float64))
-            if possible.any():
-                yield int(k), at[possible]
+            waiting.append((int(k), at))
+            held += len(at)
+        if held >= PAIRS_AT_ONCE:
+            yield from _not_ruled_out(waiting, sketches, sizes)
+            waiting, held = [], 0
+    if waiting:
+        yield from _not_ruled_out(waiting, sketches, sizes)
+
+
+def _not_ruled_out(waiting: list[tuple[int, np.ndarray]], sketches: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    counts = [len(at) for _, at in waiting]
+    a, b = np.repeat([k for k, _ in waiting], counts), np.concatenate([at for _, at in waiting])
+    x, y = sketches[a], sketches[b]
+    larger, smaller = (z.view(np.uint8).sum(axis=1, dtype=np.uint8).astype(np.int64) for z in (x > y, x < y))
+    _, possible = likelihood(larger, smaller, sizes[a].astype(np.float64), sizes[b].astype(np.float64))
+    start = 0
+    for (k, at), n in zip(waiting, counts, strict=True):
+        left = at[possible[start : start + n]]
+        start += n
+        if len(left):
+            yield k, left
 
 
 def _contested(rows: pa.Table) -> pa.Table:

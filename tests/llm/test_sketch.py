@@ -105,3 +105,33 @@ def test_components(spark):
     wanted = plain({n for link in links for n in link}, links)
     found = components(spark.createDataFrame(links, "a long, b long"))
     assert {r["node"]: r["component"] for r in found.collect()} == {n: c for n, c in wanted.items() if n != c}
+
+
+def test_pairs_of_a_block_take_few_likelihoods(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 60
+    base = rng.integers(0, 1 << 16, sketch.REGISTERS, dtype=np.uint16)
+    rows = np.repeat(base[None, :], n, axis=0)
+    for row in rows[1:]:
+        row[rng.integers(sketch.BAND_SIZE, sketch.REGISTERS, 15)] = rng.integers(0, 1 << 16, 15, dtype=np.uint16)
+    zeros = np.zeros(n, dtype=np.int64)
+    table = pa.table({
+        "i": zeros, "j": zeros, "own": zeros, "band": zeros.astype(np.int32), "n": np.full(n, 100), "component": np.arange(n),
+        "node": np.arange(n), "sketch": pa.array([r.tobytes() for r in rows], pa.binary()),
+    })
+    calls, real = [], sketch.likelihood
+    monkeypatch.setattr(sketch, "likelihood", lambda *a: calls.append(len(a[0])) or real(*a))
+    found = {(k, int(b)) for k, at in sketch._undecided(table) for b in at}
+    assert len(calls) == 1
+    expected = set()
+    for a in range(n):
+        for b in range(a + 1, n):
+            larger, smaller = (rows[a] > rows[b]).sum(), (rows[a] < rows[b]).sum()
+            if sketch.REGISTERS - larger - smaller >= sketch.LEAST_EQUAL:
+                if real(np.array([larger]), np.array([smaller]), np.array([100.0]), np.array([100.0]))[1][0]:
+                    expected.add((a, b))
+    assert found == expected and expected
+    monkeypatch.setattr(sketch, "PAIRS_AT_ONCE", 7)
+    assert {(k, int(b)) for k, at in sketch._undecided(table) for b in at} == expected

@@ -63,6 +63,18 @@ def test_history_is_read_without_cost_history(spark, base):
     assert narrow.count("Window [") == 1
 
 
+def test_orders_are_dealt_once(spark, base):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exchanged(fs.supplier_features(base))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line[line.index("Exchange hash") :] for line in plan.splitlines() if "Exchange hash" in line]
+    # The join to the costs uses the orders as they lie for the history.
+    assert not [line for line in dealt if "product_id#" in line]
+    assert sum("REPARTITION_BY_COL" in line and "order_date#" in line for line in dealt) == 1
+
+
 def test_wide_feature_rows_are_not_written_for_their_readers(spark, tmp_path, base, monkeypatch):
     monkeypatch.setattr(catalog, "staged", lambda *_: pytest.fail("staged"))
     view = catalog.View(StarSchema(spark, str(tmp_path)))
