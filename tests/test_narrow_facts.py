@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from supplyspark import catalog, session
 from supplyspark.sources import io
-from supplyspark.sources.adapter import StagedStar
+from supplyspark.sources.adapter import StagedStar, StarSchema
 from supplyspark.sources.versioned import VersionedTable
 
 
@@ -80,3 +80,19 @@ def test_compressed_csv_reads_back(spark):
     assert all(f.endswith(".csv.gz") for f in os.listdir(folder) if f.startswith("part-"))
     good, bad = io.read_csv_checked(spark, folder, "fact_demand")
     assert sorted(r.demand_requested for r in good.collect()) == list(range(50)) and bad.count() == 3
+
+
+def test_order_lines_stay_where_they_are_for_small_dimensions(spark):
+    """Each dimension is below the limit, but the product of two sizes, taken as the size of their join, is above it."""
+    star = StarSchema(spark, small_tables(spark))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(200_000))
+    try:
+        plan = star.fact_purchase_orders._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("BroadcastHashJoin") == 3 and "hashpartitioning" not in plan
+    facts = {(r.supplier_id, r.warehouse_id, r.expected_lead_time_days, r.quantity_ordered, r.transport_cost) for r in star.fact_purchase_orders.collect()}
+    assert {(s, w, d) for s, w, d, _, _ in facts} == {("SUP-0", "WH-0", 5), ("SUP-1", "WH-1", 6)}
+    assert all(cost == n * {"SUP-0": 0.75 * 2.5, "SUP-1": 0.875 * 1.125 * 2.5}[s] for s, _, _, n, cost in facts)
