@@ -95,3 +95,15 @@ def test_only_rows_that_differ_are_compared_in_full(spark):
     assert found["x"] == (5.0, 4) and found["y"] == (5.0, 4) and found["z"] == (0.0, 4)
     same = leakage.table_differences(a.dropna(subset=["k"]), a.dropna(subset=["k"]), ["k"], ["x", "z"]).collect()
     assert {(r.column_name, r.max_abs_diff, r.differing_rows) for r in same} == {("x", 0.0, 0), ("z", 0.0, 0)}
+
+
+def test_orders_are_dealt_before_they_are_summed(spark):
+    """No sums where the orders are read: with nearly as many groups as orders they would spill there."""
+    rows = [("S", "P", dt.date(2020, 1, 1 + k % 9), dt.date(2020, 1, 5 + k % 9), 1.0 + k, k % 3, 5, 4, 1, 0) for k in range(30)]
+    names = "supplier_id string, product_id string, order_date date, actual_delivery_date date, unit_cost double, delay_days int, quantity_ordered long, quantity_received long, on_time_flag int, otif_flag int"
+    orders = spark.createDataFrame(rows, names)
+    plan = fs.daily_events(orders)._jdf.queryExecution().executedPlan().toString().splitlines()
+    lowest = max(i for i, line in enumerate(plan) if "Exchange" in line)
+    assert not [line for line in plan[lowest:] if "Aggregate" in line]
+    events = fs.daily_events(orders).agg(F.sum("n"), F.sum("placed"), F.sum("ordered"), F.sum("received")).first()
+    assert tuple(events) == (30, 30, 150, 120)
